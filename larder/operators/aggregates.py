@@ -52,7 +52,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
             F.min(F.when(F.col("_upto") >= low, F.col("_value"))).alias("_low"),
             F.min(F.when(F.col("_upto") >= high, F.col("_value"))).alias("_high"),
         )
-        .select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) / 2).alias(name), count)
+        .select(*keys, (F.col("_low") / 2 + F.col("_high") / 2).alias(name), count)
     )
 
 

@@ -72,9 +72,7 @@ def price_mart(
         labels = named.groupBy(*label_keys).agg(row.alias("_row")).select(*label_keys, "_row.*")
     labelled = labels.join(facts, labels.ciqual_food_code == facts.food_code, "left")
     carried = about if dedupe else []
-    profiles = labelled.select(
-        *label_keys, *carried, *as_columns(product_values(nutrients), nutrient_ids)
-    )
+    profiles = labelled.selectExpr(*label_keys, *carried, *as_columns(product_values(nutrients), nutrient_ids))
     catalog = profiles if dedupe else profiles.join(named.select("code", *about), "code")
     catalog = catalog.where("product_quantity > 0 AND product_quantity < 30000")
     catalog = catalog.join(foods, catalog.ciqual_food_code == foods._food, "left").drop("_food")
@@ -119,7 +117,7 @@ def food_mart(
         (agribalyse.select(F.col("ciqual_food_code").cast("long")), "ciqual_food_code"),
     )
     facts = food_facts(ciqual_compo, calnut_1, nutrients)
-    wide = codes.join(facts, codes.ciqual_food_code == facts.food_code, "left").select(
+    wide = codes.join(facts, codes.ciqual_food_code == facts.food_code, "left").selectExpr(
         "ciqual_food_code", *as_columns(food_values(nutrients), nutrient_ids)
     )
     sold = products.where("ciqual_food_code IS NOT NULL").where(F.col("product_quantity").between(1, 30000))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.text import join_text
@@ -67,25 +67,35 @@ def food_facts(ciqual_compo: DataFrame, calnut_1: DataFrame, nutrients: list[Nut
     )
     one_each = first.union(second).groupBy("food_code", "slot").agg(F.min("fact").alias("fact"))
     by_slot = one_each.groupBy("food_code").agg(F.map_from_entries(F.collect_list(F.struct("slot", "fact"))).alias("_f"))
-    return by_slot.select("food_code", F.array(*[_fact(n) for n in nutrients]).alias("facts"))
+    return by_slot.selectExpr("food_code", f"array({', '.join(_fact(n) for n in nutrients)}) AS facts")
 
 
-def _fact(n: Nutrient) -> Column:
-    ciqual = F.try_element_at("_f", F.lit(f"q{n.ciqual_const_code}"))
-    calnut = F.try_element_at("_f", F.lit(f"n{n.calnut_const_code}"))
+def _text(value: str | None) -> str:
+    """A SQL string literal. The per-nutrient expressions are written as SQL: one call each instead of dozens."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
-    def known(fact: Column, unit: str | None, source: str) -> Column:
-        return F.struct(
-            fact["mean"].alias("value"),
-            F.lit(unit).cast("string").alias("unit"),
-            F.lit(source).alias("source"),
-            fact["detail"].alias("detail"),
-            fact["combl"].alias("combl"),
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _fact(n: Nutrient) -> str:
+    def known(slot: str, unit: str | None, source: str) -> str:
+        fact = f"try_element_at(_f, '{slot}')"
+        return (
+            f"WHEN {fact} IS NOT NULL THEN named_struct('value', {fact}.mean, 'unit', {_text(unit)}, "
+            f"'source', '{source}', 'detail', {fact}.detail, 'combl', {fact}.combl)"
         )
 
-    return F.when(ciqual.isNotNull(), known(ciqual, n.ciqual_unit, "ciqual_")).when(
-        calnut.isNotNull(), known(calnut, n.calnut_unit, "calnut_")
-    )
+    first = known(f"q{n.ciqual_const_code}", n.ciqual_unit, "ciqual_")
+    second = known(f"n{n.calnut_const_code}", n.calnut_unit, "calnut_")
+    return f"CASE {first} {second} END"
+
+
+Choice = dict[str, tuple[str, str, str]]
 
 
 def product_values(
@@ -93,66 +103,58 @@ def product_values(
     nutriments: str = "nutriments",
     facts: str = "facts",
     food_origin: str = "ciqual_food_code_origin",
-) -> dict[str, tuple[Column, Column, Column]]:
-    """nutrient id -> (value, unit, origin) for a row with label array, food facts and food-code origin."""
-    names = F.col(f"{nutriments}.name")
-
-    def choose(i: int, n: Nutrient) -> tuple[Column, Column, Column]:
-        fact = F.get(F.col(facts), F.lit(i))
-        position = F.array_position(names, n.off_id).cast("int") if n.off_id else F.lit(None).cast("int")
-        label = F.get(F.col(nutriments), position - 1)
-        amount = label["100g"]
-        usable = amount.isNotNull() & (label["unit"] == F.lit(n.ciqual_unit).cast("string"))
-        value = F.when(usable, amount).otherwise(F.coalesce(fact["value"], F.lit(0.0).cast("float")))
-        unit = F.when(usable, label["unit"]).otherwise(F.coalesce(fact["unit"], F.lit(n.ciqual_unit)))
-        origin = (
-            F.when(usable, "product")
-            .when(
-                fact.isNotNull(),
-                join_text(
-                    fact["source"],
-                    F.col(food_origin),
-                    fact["detail"],
-                    F.when(fact["combl"], F.lit("_combl")),
-                ),
-            )
-            .otherwise("assumed 0")
+) -> Choice:
+    """nutrient id -> SQL for (value, unit, origin) of a row with label array, food facts and food-code origin.
+
+    Where a label repeats a nutrient, its first entry counts.
+    """
+
+    def choose(i: int, n: Nutrient) -> tuple[str, str, str]:
+        fact = f"get({facts}, {i})"
+        label = f"get({nutriments}, CAST(array_position({nutriments}.name, {_text(n.off_id)}) AS INT) - 1)"
+        usable = f"{label}.`100g` IS NOT NULL AND {label}.unit = {_text(n.ciqual_unit)}"
+        text = f"concat_ws('', {fact}.source, {food_origin}, {fact}.detail, IF({fact}.combl, '_combl', ''))"
+        return (
+            f"CASE WHEN {usable} THEN {label}.`100g` ELSE coalesce({fact}.value, CAST(0 AS FLOAT)) END",
+            f"CASE WHEN {usable} THEN {label}.unit ELSE coalesce({fact}.unit, {_text(n.ciqual_unit)}) END",
+            f"CASE WHEN {usable} THEN 'product' WHEN {fact} IS NOT NULL THEN {text} ELSE 'assumed 0' END",
         )
-        return value, unit, origin
 
     return {n.id: choose(i, n) for i, n in enumerate(nutrients)}
 
 
-def food_values(nutrients: list[Nutrient], facts: str = "facts") -> dict[str, tuple[Column, Column, Column]]:
+def food_values(nutrients: list[Nutrient], facts: str = "facts") -> Choice:
     """The same choice for a food itself: no label, and no food-code origin in the text."""
 
-    def choose(i: int, n: Nutrient) -> tuple[Column, Column, Column]:
-        fact = F.get(F.col(facts), F.lit(i))
-        value = F.coalesce(fact["value"], F.lit(0.0).cast("float"))
-        unit = F.coalesce(fact["unit"], F.lit(n.ciqual_unit))
-        text = join_text(fact["source"], fact["detail"], F.when(fact["combl"], F.lit("combl")))
-        return value, unit, F.when(fact.isNotNull(), text).otherwise("assumed 0")
+    def choose(i: int, n: Nutrient) -> tuple[str, str, str]:
+        fact = f"get({facts}, {i})"
+        text = f"concat_ws('', {fact}.source, {fact}.detail, IF({fact}.combl, 'combl', ''))"
+        return (
+            f"coalesce({fact}.value, CAST(0 AS FLOAT))",
+            f"coalesce({fact}.unit, {_text(n.ciqual_unit)})",
+            f"CASE WHEN {fact} IS NOT NULL THEN {text} ELSE 'assumed 0' END",
+        )
 
     return {n.id: choose(i, n) for i, n in enumerate(nutrients)}
 
 
-def as_columns(values: dict[str, tuple[Column, Column, Column]], ids: list[str]) -> list[Column]:
+def as_columns(choice: Choice, ids: list[str]) -> list[str]:
     """Wide form: `<id>`, `<id>_unit`, `<id>_origin` for each id; NULL where the nutrient map lacks it."""
-    unmapped = (F.lit(None).cast("float"), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    out = []
-    for nutrient in ids:
-        value, unit, origin = values.get(nutrient, unmapped)
-        out += [value.alias(nutrient), unit.alias(f"{nutrient}_unit"), origin.alias(f"{nutrient}_origin")]
-    return out
+    unmapped = ("CAST(NULL AS FLOAT)", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)")
+    return [
+        f"{sql} AS {_name(nutrient + suffix)}"
+        for nutrient in ids
+        for sql, suffix in zip(choice.get(nutrient, unmapped), ("", "_unit", "_origin"), strict=True)
+    ]
 
 
-def as_rows(df: DataFrame, values: dict[str, tuple[Column, Column, Column]], keep: list[str]) -> DataFrame:
+def as_rows(df: DataFrame, choice: Choice, keep: list[str]) -> DataFrame:
     """Long form: (keep..., nutrient_id, value, unit, origin), by exploding within each row."""
     cells = [
-        F.struct(F.lit(n).alias("nutrient_id"), v.alias("value"), u.alias("unit"), o.alias("origin"))
-        for n, (v, u, o) in values.items()
+        f"named_struct('nutrient_id', {_text(n)}, 'value', {v}, 'unit', {u}, 'origin', {o})"
+        for n, (v, u, o) in choice.items()
     ]
-    return df.select(*keep, F.inline(F.array(*cells)))
+    return df.selectExpr(*[_name(k) for k in keep], f"inline(array({', '.join(cells)}))")
 
 
 def nutrient_grid(entities: DataFrame, nutrients: list[Nutrient]) -> DataFrame:

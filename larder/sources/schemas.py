@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+TYPES = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "float": T.FloatType()}
+
+
+def _fields(text: str) -> T.StructType:
+    pairs = (field.split() for field in text.split(", "))
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
+
+
 def _text(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
 # Column names of the published input files.
-NUTRIENT_MAP = T.StructType.fromDDL(
+NUTRIENT_MAP = _fields(
     "id string, name string, ciqual_const_code bigint, ciqual_const_name_eng string, ciqual_const_name_fr string, "
     "ciqual_unit string, calnut_const_code bigint, calnut_const_name string, calnut_unit string, off_id string, "
     "count bigint, template string, nnr2023_id string, nutrient_type string, disabled string, comments string"
 )
-RECOMMENDATIONS_MACRO = T.StructType.fromDDL(
+RECOMMENDATIONS_MACRO = _fields(
     "id string, unit string, value_males double, value_females double, value_upper_intake double"
 )
-RECOMMENDATIONS_NNR2023 = T.StructType.fromDDL(
+RECOMMENDATIONS_NNR2023 = _fields(
     "nutrient string, unit string, RI_or_AI string, value_males double, value_females double, "
     "value_upper_intake double"
 )
-UNIT_CONVERSION = T.StructType.fromDDL(
+UNIT_CONVERSION = _fields(
     "from_unit string, to_unit string, conversion_factor double, name string, comment string"
 )
 SSGRP_COLORS = _text("color", "alim_ssgrp_code", "alim_ssgrp_nom_eng")
@@ -38,11 +46,11 @@ CALNUT_0 = _text(
     "alim_grp_nom_fr", "alim_ssgrp_nom_fr", "alim_ssssgrp_nom_fr",
 )
 CALNUT_1 = _text("ALIM_CODE", "FOOD_LABEL", "CONST_LABEL", "CONST_CODE", "indic_combl", "LB", "UB", "MB")
-EXCHANGE_RATES = T.StructType.fromDDL("currency string, rate double")
+EXCHANGE_RATES = _fields("currency string, rate double")
 
 NUTRIMENTS = T.ArrayType(
-    T.StructType.fromDDL(
-        "name string, unit string, value float, `100g` float, serving float, prepared_100g float, "
+    _fields(
+        "name string, unit string, value float, 100g float, serving float, prepared_100g float, "
         "prepared_value float, prepared_serving float, prepared_unit string"
     )
 )

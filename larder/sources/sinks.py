@@ -29,10 +29,9 @@ def write_serving_copy(tables: dict[str, DataFrame], folder: str, names: tuple[s
 
 def with_comments(df: DataFrame, comments: dict[str, str]) -> DataFrame:
     """Attach column comments as field metadata; Parquet and catalog tables keep them."""
-    for name in df.columns:
-        if name in comments:
-            df = df.withMetadata(name, {"comment": comments[name]})
-    return df
+    return df.select(
+        *[F.col(c).alias(c, metadata={"comment": comments[c]}) if c in comments else F.col(c) for c in df.columns]
+    )
 
 
 def synthetic_rows(spark: SparkSession, rows: int, seed: int = 42) -> DataFrame:

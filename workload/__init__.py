@@ -1 +1,5 @@
 """Every operator wired to the test tables, each with the SQL that checks it."""
+
+from workload import marts, pricing, relations
+
+MODULES = [marts, pricing, relations]
