@@ -23,6 +23,12 @@ def ieee_divide(a: Column, b: Column) -> Column:
     return F.when(bottom == 0, top * INF).otherwise(F.try_divide(top, bottom))
 
 
+def round_half_away(x: Column, digits: int) -> Column:
+    """Round the scaled binary value, as SQL engines on doubles do; Spark's round works on its decimal text."""
+    scale = 10.0**digits
+    return F.round(x.cast("double") * scale) / scale
+
+
 def ieee_log(x: Column, log=F.ln) -> Column:
     value = x.cast("double")
     return F.when(value > 0, log(value)).when(value == 0, -INF).when(value.isNotNull(), NAN)

@@ -92,7 +92,7 @@ FUNCTIONS: dict[str, tuple[tuple[int, ...] | None, Callable[..., Column]]] = {
     "power": ((2,), N.ieee_power),
     "radians": ((1,), F.radians),
     "random": ((0,), F.rand),
-    "round": ((1, 2), F.round),
+    "round": ((1, 2), N.round_half_away),
     "round_even": ((1, 2), F.bround),
     "setseed": ((1,), lambda x: F.when(x.isNull(), F.lit(None).cast("double"))),
     "sign": ((1,), lambda x: F.sign(x).cast("int")),
@@ -296,7 +296,7 @@ def _column(node: ast.AST, columns: dict[str, T.StructField]) -> Column:
         case ast.Call(func=ast.Name(id=name)):
             args = [_column(a, columns) for a in node.args]
             if name.lower() in ("round", "round_even"):
-                return FUNCTIONS[name.lower()][1](args[0], F.lit(_digits(node)))
+                return FUNCTIONS[name.lower()][1](args[0], _digits(node))
             if name.lower() == "divide" and all(_integral(a, columns) for a in node.args):
                 return F.call_function("div", *args)
             return FUNCTIONS[name.lower()][1](*args)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.functions.numeric import ieee_divide
+from larder.functions.numeric import ieee_divide, round_half_away
 
 
 def unit_price(df: DataFrame, price: str, quantity: str, rate: str, per: float = 100) -> Column:
@@ -97,7 +97,7 @@ def prices_at_locations(priced: DataFrame, locations: list, name_contains: str |
         name.alias("product_name"),
         F.col("price").alias("product_price"),
         "product_quantity",
-        F.round(unit_price(priced, "price", "product_quantity", "rate", 1000), 2).alias("price_per_kg"),
+        round_half_away(unit_price(priced, "price", "product_quantity", "rate", 1000), 2).alias("price_per_kg"),
         "date",
     ).orderBy("price_per_kg")
 
@@ -109,7 +109,7 @@ def mart_prices_at_locations(mart: DataFrame, locations: list) -> DataFrame:
         .select(
             "product_name",
             F.split_part("location_osm_display_name", F.lit(","), F.lit(1)).alias("location_name"),
-            F.round(F.col("price") * 10, 2).alias("eur_price_per_kg"),
+            round_half_away(F.col("price") * 10, 2).alias("eur_price_per_kg"),
             "product_price",
             F.col("product_currency").alias("currency"),
             F.col("product_quantity").alias("product_quantity_g"),

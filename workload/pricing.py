@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.functions import geo
+from larder.functions.numeric import round_half_away
 from larder.operators import aggregates as A
 from larder.operators import pricing as P
 from larder.operators.units import convert_units
@@ -24,7 +25,7 @@ def _priced(spark, folder):
 def unit_price(spark, folder):
     priced = _priced(spark, folder)
     per_100 = P.unit_price(priced, "price", "product_quantity", "rate")
-    per_kg = F.round(P.unit_price(priced, "price", "product_quantity", "rate", 1000), 2)
+    per_kg = round_half_away(P.unit_price(priced, "price", "product_quantity", "rate", 1000), 2)
     return priced.select("id", "product_code", "location_id", "currency", per_100.alias("per_100g"), per_kg.alias("per_kg"))
 
 
@@ -38,7 +39,7 @@ def mart_prices_at_locations(spark, folder):
 
 def category_location_matrix(spark, folder):
     priced = _priced(spark, folder).where("product_quantity > 0")
-    per_kg = F.round(P.unit_price(priced, "price", "product_quantity", "rate", 1000), 2)
+    per_kg = round_half_away(P.unit_price(priced, "price", "product_quantity", "rate", 1000), 2)
     offers = priced.select("id", F.col("compared_to_category").alias("category"), "location_id", per_kg.alias("per_kg"))
     matrix = P.category_location_matrix(offers, "category", "location_id", "per_kg", "id", LOCATIONS)
     cells = [F.col(f"`{x}`.{part}").alias(f"at_{x}_{part}") for x in LOCATIONS for part in ("id", "price")]
