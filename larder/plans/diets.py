@@ -130,12 +130,13 @@ def _limits(bounds: DataFrame, nutrients: list[str]) -> DataFrame:
 
 def _pool(candidates: DataFrame, nutrients: list[str]) -> DataFrame:
     """Candidates with their amounts as an array. Of equal amounts only the cheapest can be in an optimum."""
-    amounts = F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in nutrients])
+    contents = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(f"_{i}") for i, n in enumerate(nutrients)]
     shaped = candidates.where("scenario IS NOT NULL AND item IS NOT NULL AND objective IS NOT NULL").select(
-        "scenario", "item", F.col("objective").cast("double").alias("cost"), amounts.alias("amounts")
+        "scenario", "item", F.col("objective").cast("double").alias("cost"), *contents
     )
-    cheapest = F.min(F.struct("cost", "item")).alias("_best")
-    return shaped.groupBy("scenario", "amounts").agg(cheapest).select("scenario", "_best.item", "_best.cost", "amounts")
+    same = [f"_{i}" for i in range(len(nutrients))]
+    best = shaped.groupBy("scenario", *same).agg(F.min(F.struct("cost", "item")).alias("_best"))
+    return best.select("scenario", "_best.item", "_best.cost", F.array(*same).alias("amounts"))
 
 
 def _seed(pool: DataFrame, limits: DataFrame, nutrients: list[str]) -> DataFrame:
