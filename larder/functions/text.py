@@ -37,11 +37,11 @@ def one_micro_sign(text: Column) -> Column:
 
 def plain_age(text: Column) -> Column:
     """Age-group label without soft hyphens and with '<=' spelled in ASCII."""
-    return F.regexp_replace(F.regexp_replace(text, "­", ""), "≤", "<=")
+    return F.regexp_replace(F.regexp_replace(text, "\u00ad", ""), "≤", "<=")
 
 
 def without_hard_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, " ", "")
+    return F.regexp_replace(text, "\u00a0", "")
 
 
 def name_and_unit(label: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.operators.joins import null_safe_join
+
 # percentile_approx guarantees a rank error of at most rows / ACCURACY. The bracket leaves
 # two hundred times that on either side of the middle, so it always contains the median.
 ACCURACY = 10_000
@@ -56,13 +58,6 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     )
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Equi-join in which NULL keys match each other; the result has the left keys once."""
-    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
-    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
-
-
 def pivot_long(df: DataFrame, keys: list[str], label: str, labels: list[str], values: dict[str, str]) -> DataFrame:
     """Long to wide: `<label>_<name>` for each label and each name -> column of `values`.
 
@@ -124,12 +119,15 @@ def table_inventory(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def venn_regions(key_sets: dict[str, DataFrame], key: str) -> DataFrame:
-    """How many keys lie in each combination of sets; each input needs the column `key`."""
+    """How many keys lie in each combination of sets; each input needs the column `key`.
+
+    One shuffle: repeats of a key collapse before it, sets meet after it.
+    """
     names = list(key_sets)
     flagged = reduce(
         DataFrame.union,
         [
-            df.select(key).distinct().select(key, *[F.lit(int(n == name)).alias(n) for n in names])
+            df.select(key, *[F.lit(int(n == name)).alias(n) for n in names])
             for name, df in key_sets.items()
         ],
     )

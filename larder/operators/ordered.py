@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.operators.aggregates import null_safe_join
+from larder.operators.joins import null_safe_join
 from larder.runtime import materialize
 
 SLICE = "_slice"

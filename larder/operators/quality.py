@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.operators.joins import lookup
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -36,7 +38,7 @@ def check_rules(df: DataFrame, rules: list[Rule], references: list[Reference] =
     rows = df
     for i, ref in enumerate(references):
         known = ref.target.select(F.col(ref.key).alias(f"_key{i}")).distinct().withColumn(f"_known{i}", F.lit(True))
-        rows = rows.join(known, F.col(ref.column) == F.col(f"_key{i}"), "left")
+        rows = lookup(rows, known, ref.column, f"_key{i}", spread_by=df.columns[0])
         missing = F.col(ref.column).isNotNull() & F.col(f"_known{i}").isNull()
         broken.append(F.when(missing, F.lit(ref.name)))
     names = F.filter(F.array(*broken), lambda name: name.isNotNull())

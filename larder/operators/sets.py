@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 
 def union_codes(name: str, *columns: tuple[DataFrame, str]) -> DataFrame:
-    """Distinct values of several columns under one name; each side is reduced before the union."""
-    parts = [df.select(F.col(c).alias(name)).distinct() for df, c in columns]
+    """Distinct values of several columns under one name, in one shuffle that sends each value once per partition."""
+    parts = [df.select(F.col(c).alias(name)) for df, c in columns]
     return reduce(DataFrame.union, parts).distinct()
 
 
 def key_differences(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
     """Distinct keys found on one side only, with the side that has them."""
-    only_left = left.select(key).distinct().join(right.select(key), key, "left_anti")
-    only_right = right.select(key).distinct().join(left.select(key), key, "left_anti")
+    left_keys, right_keys = left.select(key).distinct(), right.select(key).distinct()
+    only_left = left_keys.join(right_keys, key, "left_anti")
+    only_right = right_keys.join(left_keys, key, "left_anti")
     return only_left.withColumn("only_in", F.lit(names[0])).union(only_right.withColumn("only_in", F.lit(names[1])))
 
 
@@ -33,4 +34,4 @@ def same_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def only_in_first(first: DataFrame, others: list[DataFrame], key: str) -> DataFrame:
     """Rows of the first table whose key none of the others has."""
-    return reduce(lambda df, other: df.join(other.select(key), key, "left_anti"), others, first)
+    return reduce(lambda df, other: df.join(other.select(key).distinct(), key, "left_anti"), others, first)

@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions.objective import compile_objective
+from larder.operators.joins import salted_join
 from larder.plans.simplex import solve
 from larder.runtime import materialize
 
+# Duals are a few hundred bytes per scenario; up to this many scenarios they are broadcast.
+BROADCAST_SCENARIOS = 100_000
 PRICING_TOLERANCE = 1e-7
 BINDING = 1e-3
 SHOWN = 1e-3
@@ -199,7 +202,7 @@ def _entering(pool: DataFrame, solved: DataFrame, size: int, k: int) -> DataFram
     reduced = weighed - sum(terms[1:], terms[0])
     magnitude = F.abs(weighed) + sum((F.abs(t) for t in terms[1:]), F.abs(terms[0]))
     scored = (
-        pool.join(duals, "scenario")
+        salted_join(pool, duals, "scenario", "item", BROADCAST_SCENARIOS)
         .select("scenario", "item", "cost", "amounts", reduced.alias("_reduced"), magnitude.alias("_size"))
         .where(F.col("_reduced") < -PRICING_TOLERANCE * F.col("_size"))
         .withColumn("_score", F.col("_reduced") / F.col("_size"))
@@ -254,7 +257,7 @@ def certificate(diets: Diets, candidates: DataFrame, bounds: DataFrame) -> DataF
         F.max(short).alias("shortfall"),
         F.sum(F.when(dual > 0, dual * F.col("lower")).when(dual < 0, dual * F.col("upper")).otherwise(0.0)).alias("_dual"),
     )
-    priced = _pool(candidates, n).join(optimal.select("scenario", "duals"), "scenario")
+    priced = salted_join(_pool(candidates, n), optimal.select("scenario", "duals"), "scenario", "item", BROADCAST_SCENARIOS)
     terms = [F.get("duals", F.lit(i)) * F.get("amounts", F.lit(i)) for i in range(len(n))]
     size = F.abs("cost") + sum((F.abs(t) for t in terms[1:]), F.abs(terms[0]))
     reduced = F.try_divide(F.col("cost") - sum(terms[1:], terms[0]), size)

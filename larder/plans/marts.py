@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators.aggregates import exact_median
+from larder.operators.joins import lookup
 from larder.operators.pricing import priced_products, unit_price
 from larder.operators.sets import union_codes
 from larder.plans.nutrition import Nutrient, as_columns, food_facts, food_values, product_values
@@ -16,7 +17,6 @@ from larder.plans.vocabulary import (
     PRICE_COLUMNS,
     UNKNOWN_GROUP_COLOR,
 )
-from larder.runtime import broadcast_within
 from larder.sources.sinks import with_comments
 
 # A row of food facts is a few kB; this many of them fit any executor. More foods are joined by shuffle.
@@ -55,10 +55,10 @@ def price_mart(
     price table is shuffled once, for a single join on the code whose hot codes
     adaptive execution may split. Food tables are looked up on the product side.
     """
-    priced = products.join(prices.select(F.col("product_code").alias("code")), "code", "left_semi")
+    sold = prices.select(F.col("product_code").alias("code")).distinct()
+    priced = products.join(sold, "code", "left_semi")
     named = priced.withColumn("product_name", F.try_element_at("product_name", F.lit(1))["text"])
-    facts = broadcast_within(food_facts(ciqual_compo, calnut_1, nutrients), BROADCAST_FOODS)
-    foods = broadcast_within(_foods(ciqual_alim, agribalyse, colors), BROADCAST_FOODS)
+    facts = food_facts(ciqual_compo, calnut_1, nutrients)
 
     label_keys = ["code", "ciqual_food_code"]
     tie_break = F.struct("product_name", "product_quantity", F.xxhash64("nutriments"))
@@ -70,12 +70,13 @@ def price_mart(
     else:
         row = F.min_by(F.struct("nutriments", "ciqual_food_code_origin"), tie_break)
         labels = named.groupBy(*label_keys).agg(row.alias("_row")).select(*label_keys, "_row.*")
-    labelled = labels.join(facts, labels.ciqual_food_code == facts.food_code, "left")
+    labelled = lookup(labels, facts, "ciqual_food_code", "food_code", "code", BROADCAST_FOODS)
     carried = about if dedupe else []
     profiles = labelled.selectExpr(*label_keys, *carried, *as_columns(product_values(nutrients), nutrient_ids))
     catalog = profiles if dedupe else profiles.join(named.select("code", *about), "code")
     catalog = catalog.where("product_quantity > 0 AND product_quantity < 30000")
-    catalog = catalog.join(foods, catalog.ciqual_food_code == foods._food, "left").drop("_food")
+    foods = _foods(ciqual_alim, agribalyse, colors)
+    catalog = lookup(catalog, foods, "ciqual_food_code", "_food", "code", BROADCAST_FOODS)
 
     kept = {old: new for old, new in PRICE_COLUMNS.items() if old in prices.columns}
     offers = prices.where("price IS NOT NULL").select("product_code", *[F.col(o).alias(f"_{n}") for o, n in kept.items()])

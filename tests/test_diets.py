@@ -118,6 +118,20 @@ def test_same_as_one_programme_over_all_candidates(solved, candidates):
         assert status == "optimal" and values[scenario] == pytest.approx(float(pdf["objective"] @ x), rel=1e-6)
 
 
+def test_many_scenarios_are_priced_by_salted_join(candidates, bounds, solved, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_SCENARIOS", 1)
+    again = D.optimize_diets(candidates, bounds, NUTRIENTS, per_round=10)
+    values = [{r.scenario: r.objective for r in d.scenarios.collect()} for d in (solved, again)]
+    assert values[0] == pytest.approx(values[1])
+
+
+def test_pricing_ranks_within_partitions_first(candidates, bounds):
+    limits, pool = D._limits(bounds, NUTRIENTS), D._pool(candidates, NUTRIENTS)
+    duals = limits.select("scenario", F.lit("optimal").alias("status"), F.lit(1.0).alias("weight"), F.col("upper").alias("duals"))
+    plan = D._entering(pool, duals, 3, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
 def test_round_limit_is_reported(candidates, bounds):
     cut = D.optimize_diets(candidates, bounds, NUTRIENTS, per_round=1, max_rounds=1)
     assert {r.scenario: r.status for r in cut.scenarios.collect()}["hot"] == "round_limit"

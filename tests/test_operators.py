@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from larder.functions import geo, numeric
 from larder.functions import text as X
 from larder.operators import aggregates as A
+from larder.operators import joins as J
 from larder.operators import ordered as O
 from larder.operators import pricing as P
 from larder.operators import quality as Q
@@ -34,6 +35,17 @@ def by_key(rows):
     return groups
 
 
+def test_lookup_and_salted_join_by_shuffle(skewed, spark):
+    rows, df = skewed
+    dim = spark.createDataFrame([("hot", 1), ("a", 2), (None, 3), ("c", 4)], "name string, n int")
+    for max_rows in (2, 100):
+        got = {r.id: r.n for r in J.lookup(df, dim, "key", "name", "id", max_rows).collect()}
+        assert got == {r[0]: {"hot": 1, "a": 2}.get(r[1]) for r in rows}
+        joined = J.salted_join(df, dim.withColumnRenamed("name", "key"), "key", "id", max_rows).collect()
+        assert {r.id: r.n for r in joined} == {r[0]: {"hot": 1, "a": 2}[r[1]] for r in rows if r[1] in ("hot", "a")}
+        assert len(joined) == len([r for r in rows if r[1] in ("hot", "a")])
+
+
 def test_exact_median(skewed):
     rows, df = skewed
     got = {r.key: (r.median, r["count"]) for r in A.exact_median(df, ["key"], "v").collect()}
@@ -152,11 +164,11 @@ def test_brush(spark):
 
 
 def test_text(spark):
-    df = spark.createDataFrame([("traces", "A­11-14", "Fibres or fiber (g/100g)"), ("< 1", "≤6 mo", "Energy, total (kJ/100g)"), ("-", "7-11", "Code")], "a string, b string, c string")
+    df = spark.createDataFrame([("traces", "A\u00ad11-14", "Fibres or fiber (g/100g)"), ("< 1", "≤6 mo", "Energy, total (kJ/100g)"), ("-", "7-11", "Code")], "a string, b string, c string")
     got = df.select(X.measured(F.col("a")), X.plain_age(F.col("b")), X.header_name_and_unit(F.col("c"))).collect()
     assert [tuple(r)[:2] for r in got] == [(0.0, "A11-14"), (None, "<=6 mo"), (None, "7-11")]
     assert [tuple(r[2]) if r[2] else None for r in got] == [("Fibres", "g"), ("Energy, total", "kj"), None]
-    assert df.select(X.without_hard_spaces(F.lit("AI  in"))).first()[0] == "AI in"
+    assert df.select(X.without_hard_spaces(F.lit("AI\u00a0 in"))).first()[0] == "AI in"
 
 
 def test_numeric_edges(spark):

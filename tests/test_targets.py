@@ -12,7 +12,7 @@ from larder.sources.schemas import NUTRIENT_MAP, RECOMMENDATIONS_NNR2023
 @pytest.fixture(scope="module")
 def merged(spark):
     cells = spark.createDataFrame(
-        [("Vitamin A, RE", "700", "800", ""), ("Vitamin E, α-TE", "10", "11", "AI in NNR2023"), ("Vitamin K, µg", "65", "75", "AI  in NNR2023"),
+        [("Vitamin A, RE", "700", "800", ""), ("Vitamin E, α-TE", "10", "11", "AI in NNR2023"), ("Vitamin K, µg", "65", "75", "AI\u00a0 in NNR2023"),
          ("Copper, µg", "900", "900", None), ("Molybdenum, µg", "65", "65", "AI in NNR2023"), ("Potassium, g", "3.5", "3.5", "AI in NNR2023"),
          ("Sodium, g", "1.5", "1.5", ""), ("Magnesium, mg", "300", "350", "AI in NNR2023"), ("Iodine, µg", "150", "150", "")],
         "label string, females string, males string, comment string",
@@ -79,7 +79,7 @@ def test_recommendations_and_sliders(spark):
 
 
 def test_rows_by_age(spark):
-    rows = [["Age group", "Calcium"], ["≤6 mo", "1"], ["CHILDREN"], ["1-3 y", "2"], ["FEMALES"], ["Preg­nant", "3"], ["MALES"], ["11-14 y", "4"]]
+    rows = [["Age group", "Calcium"], ["≤6 mo", "1"], ["CHILDREN"], ["1-3 y", "2"], ["FEMALES"], ["Preg\u00adnant", "3"], ["MALES"], ["11-14 y", "4"]]
     df = spark.createDataFrame([(t, i, r) for t in (0, 1) for i, r in enumerate(rows)], "table_no int, row_no int, cells array<string>")
     got = R.rows_by_age(df).where("table_no = 1").orderBy("row_no").collect()
     assert [r.individual_type for r in got] == ["child (<=6 mo)", "child (1-3 y)", "female (Pregnant)", "male (11-14 y)"]

@@ -16,12 +16,12 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extende
 
 def semi_priced(spark, folder):
     """Products with at least one large sale."""
-    large = I.table(spark, folder, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
+    large = I.table(spark, folder, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")).distinct()
     return I.table(spark, folder, "part").join(large, "p_partkey", "left_semi")
 
 
 def anti_unpriced(spark, folder):
-    large = I.table(spark, folder, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
+    large = I.table(spark, folder, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")).distinct()
     return I.table(spark, folder, "part").join(large, "p_partkey", "left_anti")
 
 
@@ -34,10 +34,14 @@ def in_unnest(spark, folder):
 
 
 def label_unnest(spark, folder):
-    """Line items gathered into one list per order and unnested again."""
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    baskets = I.table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    return baskets.select("l_orderkey", F.inline("lines"))
+    """Measures of a line as a list of (name, amount), unnested; lines with a NULL or an empty list vanish."""
+    measures = F.expr(
+        """CASE l_returnflag WHEN 'A' THEN array(named_struct('name', 'quantity', 'amount', l_quantity),
+             named_struct('name', 'price', 'amount', l_extendedprice), named_struct('name', 'tax', 'amount', l_tax))
+           WHEN 'N' THEN array() END"""
+    )
+    lines = I.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", measures.alias("m"))
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.inline("m"))
 
 
 def unit_counts(spark, folder):
@@ -232,7 +236,7 @@ def text_parts(spark, folder):
             X.name_and_unit(label)["unit"].alias("unit"),
             X.join_text(F.lit("a_"), F.nullif("l_returnflag", F.lit("R")), F.lit("_"), "l_linestatus").alias("joined"),
             X.one_micro_sign(F.concat(F.lit("μ"), "l_returnflag")).alias("micro"),
-            X.plain_age(F.concat(F.lit("≤"), "l_returnflag", F.lit("­"))).alias("age"),
+            X.plain_age(F.concat(F.lit("≤"), "l_returnflag", F.lit("\u00ad"))).alias("age"),
             X.is_hex_color(F.concat(F.lit("#00ff0"), "l_returnflag")).alias("is_color"),
             X.matches_whole(F.concat(F.lit("l_"), "l_returnflag"), "l_[A-M]|l_").alias("whole"),
             X.first_parts(F.concat_ws(", ", "l_returnflag", "l_linestatus", F.lit("c"), F.lit("d")), 3).alias("address"),
@@ -277,7 +281,10 @@ SQL = {
     "semi_priced": "SELECT * FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49)",
     "anti_unpriced": "SELECT * FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49)",
     "in_unnest": "SELECT * FROM orders WHERE o_orderpriority IN (SELECT unnest(['1-URGENT', '5-LOW']))",
-    "label_unnest": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem",
+    "label_unnest": " UNION ALL ".join(
+        f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, '{n}' AS name, {c} AS amount FROM lineitem WHERE l_returnflag = 'A'"
+        for n, c in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("tax", "l_tax"))
+    ),
     "unit_counts": I.sql(["labels"], "SELECT unit, count(*) AS count FROM labels GROUP BY unit"),
     "nova_counts": I.sql(["products"], "SELECT nova_group, count(*) AS count FROM products GROUP BY nova_group"),
     "tag_counts": I.sql(

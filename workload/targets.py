@@ -51,7 +51,7 @@ def _target_cells(spark, folder):
     )
     return I.table(spark, folder, "customer").groupBy(names.alias("label")).agg(
         F.max("c_acctbal").cast("string").alias("females"), F.min("c_acctbal").cast("string").alias("males"),
-        F.when(F.count(F.lit(1)) % 2 == 0, "AI  in NNR2023").alias("comment"),
+        F.when(F.count(F.lit(1)) % 2 == 0, "AI\u00a0 in NNR2023").alias("comment"),
     )
 
 
