@@ -40,10 +40,14 @@ OFFER_COLUMNS = [
 
 @dataclass(frozen=True)
 class Diets:
-    """scenarios: (scenario, status, objective, rounds, duals); quantities: (scenario, item, quantity, cost, amounts)."""
+    """scenarios: (scenario, status, objective, rounds, duals); quantities: (scenario, item, quantity, cost, amounts).
+
+    pool: (scenario, item, cost, amounts), the candidates that were priced.
+    """
 
     scenarios: DataFrame
     quantities: DataFrame
+    pool: DataFrame
     nutrients: list[str]
 
 
@@ -115,7 +119,7 @@ def optimize_diets(
     bought = F.arrays_zip(*BOUGHT.values())
     quantities = result.where(F.col("status") != "infeasible").select("scenario", F.inline(bought))
     quantities = quantities.withColumnsRenamed({array: name for name, array in BOUGHT.items()})
-    return Diets(result.drop("weight", *BOUGHT.values()), quantities, nutrients)
+    return Diets(result.drop("weight", *BOUGHT.values()), quantities, pool, nutrients)
 
 
 def _limits(bounds: DataFrame, nutrients: list[str]) -> DataFrame:
@@ -232,8 +236,8 @@ def binding_constraints(diets: Diets, bounds: DataFrame, within: float = BINDING
     return leveled.where(at_lower | at_upper).select("scenario", "nutrient_id").distinct()
 
 
-def certificate(diets: Diets, candidates: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Proof of optimality per solved scenario, computed over all candidates.
+def certificate(diets: Diets, bounds: DataFrame) -> DataFrame:
+    """Proof of optimality per solved scenario, computed over its whole candidate pool.
 
     shortfall: largest relative violation of a bound; worst_reduced_cost: most negative relative
     reduced cost of any candidate; gap: relative difference between the objective and
@@ -257,7 +261,7 @@ def certificate(diets: Diets, candidates: DataFrame, bounds: DataFrame) -> DataF
         F.max(short).alias("shortfall"),
         F.sum(F.when(dual > 0, dual * F.col("lower")).when(dual < 0, dual * F.col("upper")).otherwise(0.0)).alias("_dual"),
     )
-    priced = salted_join(_pool(candidates, n), optimal.select("scenario", "duals"), "scenario", "item", BROADCAST_SCENARIOS)
+    priced = salted_join(diets.pool, optimal.select("scenario", "duals"), "scenario", "item", BROADCAST_SCENARIOS)
     terms = [F.get("duals", F.lit(i)) * F.get("amounts", F.lit(i)) for i in range(len(n))]
     size = F.abs("cost") + sum((F.abs(t) for t in terms[1:]), F.abs(terms[0]))
     reduced = F.try_divide(F.col("cost") - sum(terms[1:], terms[0]), size)

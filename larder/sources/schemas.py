@@ -34,10 +34,7 @@ UNIT_CONVERSION = _fields(
     "from_unit string, to_unit string, conversion_factor double, name string, comment string"
 )
 SSGRP_COLORS = _text("color", "alim_ssgrp_code", "alim_ssgrp_nom_eng")
-CIQUAL_ALIM = _text(
-    "alim_code", "alim_nom_fr", "alim_nom_index_fr", "alim_nom_eng", "alim_grp_code", "alim_ssgrp_code",
-    "alim_ssssgrp_code",
-)
+CIQUAL_ALIM = _text("alim_code", "alim_nom_eng", "alim_grp_code", "alim_ssgrp_code", "alim_ssssgrp_code")
 CIQUAL_COMPO = _text("alim_code", "const_code", "teneur", "min", "max", "code_confiance", "source_code")
 CIQUAL_SOURCES = _text("source_code", "ref_citation")
 CIQUAL_CONST = _text("const_code", "const_nom_fr", "const_nom_eng")

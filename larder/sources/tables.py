@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from larder.functions import text as X
 from larder.sources import schemas as S
+from larder.sources.xml import read_xml_rows
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -30,6 +31,16 @@ def nutrient_map(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, S.NUTRIENT_MAP).where("calnut_const_code IS NOT NULL").select(*kept)
 
 
+def nutrient_map_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The whole nutrient map with its file order as `row_num`, to be rewritten; one small file, read as one split."""
+    return read_csv(spark, path, S.NUTRIENT_MAP).withColumn("row_num", F.monotonically_increasing_id())
+
+
+def ciqual_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
+    """Rows of one table of the first composition source, from its XML file or from a CSV made of it."""
+    return read_xml_rows(spark, path, row_tag, schema) if path.endswith(".xml") else read_csv(spark, path, schema)
+
+
 def recommendations_macro(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, S.RECOMMENDATIONS_MACRO)
 

@@ -104,8 +104,8 @@ def test_status_of_each_scenario(solved):
     assert {r.scenario: r.objective for r in solved.scenarios.collect()}["idle"] == 0.0
 
 
-def test_certificate(solved, candidates, bounds):
-    for row in D.certificate(solved, candidates, bounds).where("scenario != 'idle'").collect():
+def test_certificate(solved, bounds):
+    for row in D.certificate(solved, bounds).where("scenario != 'idle'").collect():
         assert row.shortfall < 1e-6 and row.worst_reduced_cost > -1e-6 and row.gap < 1e-6, row
 
 

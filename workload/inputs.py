@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from larder.plans.nutrition import Nutrient
 from larder.plans.vocabulary import IMPACT_COLUMNS
@@ -25,8 +26,15 @@ IDS = ["energy_fibre_kcal", "protein", "fat", "calcium", "iodine", "folates"]
 CONST_CODES = {"view": 1, "click": 2, "purchase": 3, "signup": 4, "error": 5}
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A test table; its schema is read from the file once and pinned after that."""
+    path = f"{folder}/{name}.parquet"
+    if (folder, name) not in _schemas:
+        _schemas[folder, name] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[folder, name]).parquet(path)
 
 
 def prices(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,9 +212,10 @@ def sql(inputs: list[str], body: str, *more: tuple[str, str]) -> str:
 
 
 def widened(df: DataFrame) -> DataFrame:
-    """32-bit floats as doubles, so that both sides of a comparison print them alike."""
-    floats = [f.name for f in df.schema.fields if f.dataType.typeName() == "float"]
-    return df.withColumns({name: F.col(name).cast("double") for name in floats})
+    """32-bit floats as doubles and dates as text, so that both sides of a comparison print them alike."""
+    wider = {"float": "double", "date": "string"}
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    return df.withColumns({name: F.col(name).cast(wider[kind]) for name, kind in kinds.items() if kind in wider})
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:

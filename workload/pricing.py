@@ -100,7 +100,7 @@ def fx_unpivot(spark, folder):
         F.round(F.max("o_totalprice"), 2).cast("string")
     )
     dated = wide.select(F.lit("04 July 2025").alias("Date"), *[F.col(f"`{n}`").alias(f" {n} ") for n in names])
-    return rates_to_long(dated)
+    return I.widened(rates_to_long(dated))
 
 
 def unit_convert(spark, folder):
@@ -144,14 +144,14 @@ SQL = {
         _BASE,
         f"""SELECT p.code AS product_code, pr.id AS price_id, location_id, compared_to_category AS category,
         split_part(location_osm_display_name, ',', 1) AS location_name, product_name, pr.price AS product_price,
-        CAST(product_quantity AS DOUBLE) AS product_quantity, round(1000 * pr.price / p.product_quantity / ex.rate, 2) AS price_per_kg, date
+        CAST(product_quantity AS DOUBLE) AS product_quantity, round(1000 * pr.price / p.product_quantity / ex.rate, 2) AS price_per_kg, CAST(date AS VARCHAR) AS date
         {_JOIN} WHERE location_id IN ({PLACES}) AND product_name ILIKE '%rIng%' ORDER BY price_per_kg""",
     ),
     "mart_prices_at_locations": I.sql(
         _BASE,
         f"""SELECT p.product_name, split_part(location_osm_display_name, ',', 1) AS location_name,
         round(100 * pr.price / p.product_quantity / ex.rate * 10, 2) AS eur_price_per_kg, pr.price AS product_price, currency,
-        CAST(p.product_quantity AS DOUBLE) AS product_quantity_g, pr.product_code, pr.id AS price_id, location_id, date AS price_date
+        CAST(p.product_quantity AS DOUBLE) AS product_quantity_g, pr.product_code, pr.id AS price_id, location_id, CAST(date AS VARCHAR) AS price_date
         FROM prices pr JOIN products p ON p.code = pr.product_code JOIN rates ex USING (currency)
         JOIN (SELECT DISTINCT code, ciqual_food_code FROM products) w ON w.code = pr.product_code
         WHERE location_id IN ({PLACES}) AND pr.price IS NOT NULL AND p.product_quantity > 0 AND p.product_quantity < 30000""",
@@ -190,8 +190,8 @@ SQL = {
     "mercator": I.sql(
         ["prices"], f"SELECT location_id, round({_X}, 9) AS x, round({_Y}, 9) AS y FROM places", ("places", _SHOPS)
     ),
-    "fx_unpivot": """SELECT DATE '2025-07-04' AS date, o_orderpriority AS currency, round(max(o_totalprice), 2) AS rate FROM orders GROUP BY 2
-      UNION ALL SELECT DATE '2025-07-04', 'EUR', 1.0""",
+    "fx_unpivot": """SELECT '2025-07-04' AS date, o_orderpriority AS currency, round(max(o_totalprice), 2) AS rate FROM orders GROUP BY 2
+      UNION ALL SELECT '2025-07-04', 'EUR', 1.0""",
     "unit_convert": """WITH u AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS amount,
         CASE l_linenumber % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'mcg' END AS unit,
         CASE l_returnflag WHEN 'A' THEN 'mg' WHEN 'N' THEN 'µg' ELSE 'kcal' END AS wanted FROM lineitem),

@@ -357,6 +357,6 @@ SQL = {
         CASE WHEN l_quantity > 40 THEN NULL WHEN l_quantity < 3 THEN 0 ELSE l_quantity END AS measured, l_returnflag = 'A' AS flag,
         'total_of_' || l_returnflag AS name, l_linestatus AS unit, concat('a_', nullif(l_returnflag, 'R'), '_', l_linestatus) AS joined,
         'µ' || l_returnflag AS micro, '<=' || l_returnflag AS age, l_returnflag = 'A' AS is_color, l_returnflag = 'A' AS whole,
-        l_returnflag || ', ' || l_linestatus || ', c' AS address, CAST(l_shipdate AS DATE) AS day, printf('%.2f', l_quantity) AS printed
+        l_returnflag || ', ' || l_linestatus || ', c' AS address, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, printf('%.2f', l_quantity) AS printed
       FROM lineitem""",
 }
