@@ -29,6 +29,11 @@ def round_half_away(x: Column, digits: int) -> Column:
     return F.round(x.cast("double") * scale) / scale
 
 
+def two_decimals(x: Column) -> Column:
+    """printf('%.2f') of a 32-bit value as C does it: exact ties go to the even digit (Java rounds them up)."""
+    return F.format_string("%.2f", F.bround(x.cast("float").cast("double"), 2))
+
+
 def ieee_log(x: Column, log=F.ln) -> Column:
     value = x.cast("double")
     return F.when(value > 0, log(value)).when(value == 0, -INF).when(value.isNotNull(), NAN)

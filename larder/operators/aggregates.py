@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.functions.numeric import two_decimals
 from larder.operators.joins import null_safe_join
 
 # percentile_approx guarantees a rank error of at most rows / ACCURACY. The bracket leaves
@@ -100,7 +101,7 @@ def column_catalog(mart: DataFrame, leave_out: str) -> DataFrame:
     return (
         described.join(profile, "column_name")
         .where(~F.col("column_name").rlike(f"^(?:{leave_out})$"))
-        .select("column_name", "comment", "min", "max", F.format_string("%.2f", F.col("mean").cast("float")).alias("mean"))
+        .select("column_name", "comment", "min", "max", two_decimals(F.col("mean")).alias("mean"))
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.functions import text as X
+from larder.functions.numeric import two_decimals
 from larder.operators import aggregates as A
 from larder.operators import ordered as O
 from larder.operators import sets as S
@@ -138,7 +139,7 @@ def row_numbers(spark, folder):
 def column_profile(spark, folder):
     lines = I.table(spark, folder, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     profile = A.column_profile(lines)
-    return profile.select("column_name", "min", "max", F.format_string("%.2f", F.col("mean").cast("float")).alias("mean"))
+    return profile.select("column_name", "min", "max", two_decimals(F.col("mean")).alias("mean"))
 
 
 def column_catalog(spark, folder):
@@ -241,7 +242,7 @@ def text_parts(spark, folder):
             X.matches_whole(F.concat(F.lit("l_"), "l_returnflag"), "l_[A-M]|l_").alias("whole"),
             X.first_parts(F.concat_ws(", ", "l_returnflag", "l_linestatus", F.lit("c"), F.lit("d")), 3).alias("address"),
             X.day_month_year(F.date_format("l_shipdate", "dd MMMM yyyy")).alias("day"),
-            F.format_string("%.2f", F.col("l_quantity")).alias("printed"),
+            two_decimals(F.col("l_quantity")).alias("printed"),
         )
     )
 
