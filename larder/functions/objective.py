@@ -122,7 +122,7 @@ OPERATORS: dict[type, Callable[[Column, Column], Column]] = {
 def compile_objective(text: str, schema: T.StructType) -> Column:
     """The column that `text` stands for, over a DataFrame of this schema.
 
-    Operators mean what they mean in the reference's SQL dialect: `^` and `**` are
+    Operators mean what they mean in DuckDB's SQL: `^` and `**` are
     powers, `//` cuts integers toward zero and divides floats, `n!` is a factorial,
     `@x` an absolute value, `log` the decimal logarithm.
     """

@@ -236,42 +236,52 @@ def binding_constraints(diets: Diets, bounds: DataFrame, within: float = BINDING
     return leveled.where(at_lower | at_upper).select("scenario", "nutrient_id").distinct()
 
 
-def certificate(diets: Diets, bounds: DataFrame) -> DataFrame:
-    """Proof of optimality per solved scenario, computed over its whole candidate pool.
+def certificate(diets: Diets, bounds: DataFrame, within: float = 1e-6) -> DataFrame:
+    """Proof of each scenario's status, computed over its whole candidate pool.
 
-    shortfall: largest relative violation of a bound; worst_reduced_cost: most negative relative
-    reduced cost of any candidate; gap: relative difference between the objective and
-    the dual bound. All three are 0 up to rounding for an optimum.
+    Optimal: no bound is missed (shortfall), no candidate would improve (worst_reduced_cost)
+    and the objective meets the dual bound (gap). Infeasible: weighing the bounds by the duals gives a
+    sum that no candidate can contribute to, yet it has to be positive (dual_bound). All
+    measures are relative; `proven` is their verdict.
     """
     n = diets.nutrients
-    optimal = diets.scenarios.where("status = 'optimal'")
-    leveled = (
-        bounds.where(F.col("nutrient_id").isin(n))
-        .join(nutrient_levels(diets), ["scenario", "nutrient_id"], "left")
-        .withColumn("level", F.coalesce("level", F.lit(0.0)))
+    known = diets.scenarios.where("status IN ('optimal', 'infeasible')")
+    is_optimal = F.col("status") == "optimal"
+    asked = bounds.where(F.col("nutrient_id").isin(n)).join(nutrient_levels(diets), ["scenario", "nutrient_id"], "left")
+    level = F.coalesce("level", F.lit(0.0))
+    missed = F.greatest(
+        F.coalesce(F.col("lower") - level, F.lit(0.0)), F.coalesce(level - F.col("upper"), F.lit(0.0)), F.lit(0.0)
     )
-    short = F.greatest(
-        F.coalesce(F.col("lower") - F.col("level"), F.lit(0.0)),
-        F.coalesce(F.col("level") - F.col("upper"), F.lit(0.0)),
-        F.lit(0.0),
-    ) / F.greatest(F.abs("level"), F.lit(1.0))
     names = F.array(*[F.lit(x) for x in n])
     dual = F.get("duals", F.array_position(names, F.col("nutrient_id")).cast("int") - 1)
-    met = leveled.join(optimal.select("scenario", "duals"), "scenario").groupBy("scenario").agg(
-        F.max(short).alias("shortfall"),
-        F.sum(F.when(dual > 0, dual * F.col("lower")).when(dual < 0, dual * F.col("upper")).otherwise(0.0)).alias("_dual"),
+    priced_bound = F.when(dual > 0, dual * F.col("lower")).when(dual < 0, dual * F.col("upper")).otherwise(0.0)
+    met = asked.join(known.select("scenario", "duals"), "scenario").groupBy("scenario").agg(
+        F.max(missed / F.greatest(F.abs(level), F.lit(1.0))).alias("shortfall"),
+        F.sum(priced_bound).alias("dual_bound"),
+        F.max(F.coalesce(F.col("lower") > F.col("upper"), F.lit(False))).alias("_crossed"),
     )
-    priced = salted_join(diets.pool, optimal.select("scenario", "duals"), "scenario", "item", BROADCAST_SCENARIOS)
+    duals = known.select("scenario", "status", "duals")
+    priced = salted_join(diets.pool, duals, "scenario", "item", BROADCAST_SCENARIOS)
+    cost = F.when(is_optimal, F.col("cost")).otherwise(0.0)
     terms = [F.get("duals", F.lit(i)) * F.get("amounts", F.lit(i)) for i in range(len(n))]
-    size = F.abs("cost") + sum((F.abs(t) for t in terms[1:]), F.abs(terms[0]))
-    reduced = F.try_divide(F.col("cost") - sum(terms[1:], terms[0]), size)
-    worst = priced.groupBy("scenario").agg(F.least(F.min(reduced), F.lit(0.0)).alias("worst_reduced_cost"))
-    gap = F.abs(F.col("objective") - F.col("_dual")) / F.greatest(F.abs("objective"), F.lit(1.0))
-    return (
-        optimal.join(met, "scenario")
-        .join(worst, "scenario", "left")
-        .select("scenario", "objective", "shortfall", "worst_reduced_cost", gap.alias("gap"))
-    )
+    size = F.abs(cost) + sum((F.abs(t) for t in terms[1:]), F.abs(terms[0]))
+    reduced = F.try_divide(cost - sum(terms[1:], terms[0]), size)
+    worst = priced.groupBy("scenario").agg(F.min(reduced).alias("worst_reduced_cost"))
+    gap = F.abs(F.col("objective") - F.col("dual_bound")) / F.greatest(F.abs("objective"), F.lit(1.0))
+    measured = known.join(met, "scenario").join(worst, "scenario", "left").select(
+        "scenario",
+        "status",
+        "objective",
+        F.when(is_optimal, F.col("shortfall")).alias("shortfall"),
+        F.coalesce(F.least("worst_reduced_cost", F.lit(0.0)), F.lit(0.0)).alias("worst_reduced_cost"),
+        "dual_bound",
+        F.when(is_optimal, gap).alias("gap"),
+        "_crossed",
+    )
+    nothing_better = F.col("worst_reduced_cost") > -within
+    optimal = (F.col("shortfall") < within) & nothing_better & (F.col("gap") < within)
+    infeasible = F.col("_crossed") | (nothing_better & (F.col("dual_bound") > 0))
+    return measured.withColumn("proven", F.when(is_optimal, optimal).otherwise(infeasible)).drop("_crossed")
 
 
 def diet_report(diets: Diets, offers: DataFrame) -> DataFrame:

@@ -41,7 +41,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _scratch.setdefault(context.applicationId, tempfile.mkdtemp(prefix="run-larder-"))
+    if context.applicationId not in _scratch:
+        _scratch[context.applicationId] = tempfile.mkdtemp(prefix="run-larder-")
+    return _scratch[context.applicationId]
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -104,9 +104,13 @@ def test_status_of_each_scenario(solved):
     assert {r.scenario: r.objective for r in solved.scenarios.collect()}["idle"] == 0.0
 
 
-def test_certificate(solved, bounds):
-    for row in D.certificate(solved, bounds).where("scenario != 'idle'").collect():
-        assert row.shortfall < 1e-6 and row.worst_reduced_cost > -1e-6 and row.gap < 1e-6, row
+def test_certificate(solved, bounds, spark):
+    rows = {r.scenario: r for r in D.certificate(solved, bounds).collect()}
+    assert len(rows) == 7 and all(r.proven for r in rows.values()), rows
+    assert rows["poor"].dual_bound > 0 and rows["poor"].gap is None and rows["hot"].gap < 1e-6
+    # Another bound than the one solved for is not proven by the same solution.
+    harder = bounds.withColumn("lower", F.col("lower") * 1.01)
+    assert not {r.scenario: r.proven for r in D.certificate(solved, harder).collect()}["hot"]
 
 
 def test_same_as_one_programme_over_all_candidates(solved, candidates):

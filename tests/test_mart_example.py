@@ -116,6 +116,17 @@ def test_mart_does_not_multiply_rows_before_joining_prices(inputs):
     assert "Cross" not in plan and "Generate" not in plan and "Expand" not in plan
 
 
+def test_prices_are_shuffled_once(inputs, spark):
+    """With every join shuffled: one exchange of sold codes, one of price rows, and NULL food codes spread."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = marts.price_mart(**inputs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(product_code") == 1
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_missing_food_code(inputs):
     unknown = inputs | {"products": inputs["products"].withColumn("ciqual_food_code", F.lit(None).cast("int"))}
     rows = marts.missing_food_code(marts.price_mart(**unknown)).collect()
