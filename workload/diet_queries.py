@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larder.functions.objective import compile_objective
 from larder.plans import diets as D
 from larder.plans import reports as R
+from larder.runtime import materialize
 from workload import inputs as I
 from workload.marts import CHOICE_INPUTS, FOOD, STEPS, _picked, build_price_mart
 
@@ -54,7 +55,7 @@ def objective_functions(spark, folder):
 
 def candidate_products(spark, folder):
     locations = I.table(spark, folder, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("location_id"))
-    return I.widened(D.candidate_products(build_price_mart(spark, folder), locations, NUTRIENTS, OBJECTIVE))
+    return I.widened(D.candidate_products(build_price_mart(spark, folder), locations, NUTRIENTS, OBJECTIVE), "ciqual_code")
 
 
 def lp_input_matrix(spark, folder):
@@ -111,8 +112,8 @@ def diet_infeasible(spark, folder):
 
 
 def _solved_from_mart(spark, folder):
-    """Diets per currency zone from the price mart itself: a zone's shops are its scenario's locations."""
-    mart = build_price_mart(spark, folder, dedupe=True)
+    """Diets per currency zone from the price mart, written as a table: a zone's shops are its scenario's locations."""
+    mart = materialize(build_price_mart(spark, folder, dedupe=True))
     zones = mart.select(F.col("product_currency").alias("scenario"), "location_id").distinct()
     candidates = D.scenario_candidates(mart, zones, NUTRIENTS, OBJECTIVE)
     bounds = _bounds(zones.select("scenario").distinct(), {"energy_fibre_kcal": (2000.0, 3000.0), "protein": (50.0, 300.0), "fat": (20.0, 100.0)})

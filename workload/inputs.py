@@ -211,11 +211,12 @@ def sql(inputs: list[str], body: str, *more: tuple[str, str]) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in steps) + f"\n{body}"
 
 
-def widened(df: DataFrame) -> DataFrame:
-    """32-bit floats as doubles and dates as text, so that both sides of a comparison print them alike."""
+def widened(df: DataFrame, *gaps: str) -> DataFrame:
+    """Types that both sides of a comparison print alike: 32-bit floats as doubles, dates as text,
+    and integer columns with NULLs (`gaps`) as doubles, which data-frame libraries make of them anyway."""
     wider = {"float": "double", "date": "string"}
-    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
-    return df.withColumns({name: F.col(name).cast(wider[kind]) for name, kind in kinds.items() if kind in wider})
+    kinds = {f.name: wider.get(f.dataType.typeName()) for f in df.schema.fields} | dict.fromkeys(gaps, "double")
+    return df.withColumns({name: F.col(name).cast(kind) for name, kind in kinds.items() if kind})
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:

@@ -43,12 +43,13 @@ def category_location_matrix(spark, folder):
     offers = priced.select("id", F.col("compared_to_category").alias("category"), "location_id", per_kg.alias("per_kg"))
     matrix = P.category_location_matrix(offers, "category", "location_id", "per_kg", "id", LOCATIONS)
     cells = [F.col(f"`{x}`.{part}").alias(f"at_{x}_{part}") for x in LOCATIONS for part in ("id", "price")]
-    return matrix.select("category", *cells).orderBy("category")
+    wide = matrix.select("category", *cells).orderBy("category")
+    return I.widened(wide, *[f"at_{x}_id" for x in LOCATIONS])
 
 
 def _matrix_sql() -> str:
     cells = ", ".join(
-        f"min(id) FILTER (location_id = {x} AND rank = 1) AS at_{x}_id, min(per_kg) FILTER (location_id = {x}) AS at_{x}_price"
+        f"CAST(min(id) FILTER (location_id = {x} AND rank = 1) AS DOUBLE) AS at_{x}_id, min(per_kg) FILTER (location_id = {x}) AS at_{x}_price"
         for x in LOCATIONS
     )
     return f"SELECT category, {cells} FROM ranked GROUP BY category ORDER BY category"

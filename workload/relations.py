@@ -52,7 +52,7 @@ def unit_counts(spark, folder):
 
 
 def nova_counts(spark, folder):
-    return A.value_counts(I.products(spark, folder), "nova_group").orderBy(F.desc("nova_group"))
+    return I.widened(A.value_counts(I.products(spark, folder), "nova_group").orderBy(F.desc("nova_group")), "nova_group")
 
 
 def tag_counts(spark, folder):
@@ -108,7 +108,7 @@ def full_merge(spark, folder):
         (F.col("s_nationkey") + 3).alias("nation")
     ).agg(F.max("s_acctbal").alias("best_supplier"))
     merged = customers.join(suppliers, "nation", "full")
-    return merged.withColumn("best", F.coalesce("best_supplier", "best_customer"))
+    return I.widened(merged.withColumn("best", F.coalesce("best_supplier", "best_customer")), "customers")
 
 
 def best_per_group(spark, folder):
@@ -169,7 +169,7 @@ def nutrient_map_counts(spark, folder):
         }
     )
     filled = numbered.withColumns({c: v for c, v in fields.items() if c not in numbered.columns})
-    return M.nutrient_map_counts(filled, I.products(spark, folder)).select("id", "off_id", "count")
+    return I.widened(M.nutrient_map_counts(filled, I.products(spark, folder)).select("id", "off_id", "count"), "count")
 
 
 def nutrient_map_refresh(spark, folder):
@@ -190,10 +190,11 @@ def nutrient_map_refresh(spark, folder):
     )
     filled = base.withColumns({c: F.lit(None).cast("string") for c in M.MAP_COLUMNS if c not in base.columns})
     refreshed = M.nutrient_map_refresh(filled, nations, M.calnut_constants(events))
-    return refreshed.select(
+    shown = refreshed.select(
         "id", "ciqual_const_code", "ciqual_const_name_eng", "ciqual_const_name_fr", "calnut_const_code",
         "calnut_const_name", "calnut_unit",
     )
+    return I.widened(shown, "ciqual_const_code", "calnut_const_code")
 
 
 def match_label_names(spark, folder):
@@ -287,7 +288,7 @@ SQL = {
         for n, c in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("tax", "l_tax"))
     ),
     "unit_counts": I.sql(["labels"], "SELECT unit, count(*) AS count FROM labels GROUP BY unit"),
-    "nova_counts": I.sql(["products"], "SELECT nova_group, count(*) AS count FROM products GROUP BY nova_group"),
+    "nova_counts": I.sql(["products"], "SELECT CAST(nova_group AS DOUBLE) AS nova_group, count(*) AS count FROM products GROUP BY 1"),
     "tag_counts": I.sql(
         ["products"],
         "SELECT tag, count(*) AS count FROM (SELECT unnest(string_split(product_name, ' ')) AS tag FROM products) GROUP BY tag",
@@ -306,7 +307,7 @@ SQL = {
       WHERE c_custkey NOT IN (SELECT code FROM in_events) AND c_custkey NOT IN (SELECT code FROM in_suppliers)""",
     "full_merge": """WITH c AS (SELECT c_nationkey AS nation, max(c_acctbal) AS best_customer, count(*) AS customers FROM customer GROUP BY 1),
       s AS (SELECT s_nationkey + 3 AS nation, max(s_acctbal) AS best_supplier FROM supplier WHERE s_acctbal > 3000 GROUP BY 1)
-      SELECT coalesce(c.nation, s.nation) AS nation, best_customer, customers, best_supplier, coalesce(best_supplier, best_customer) AS best
+      SELECT coalesce(c.nation, s.nation) AS nation, best_customer, CAST(customers AS DOUBLE) AS customers, best_supplier, coalesce(best_supplier, best_customer) AS best
       FROM c FULL JOIN s ON c.nation = s.nation""",
     "best_per_group": f"""SELECT DISTINCT ON (l_orderkey) l_orderkey, {_LINES} FROM lineitem
       ORDER BY l_orderkey, l_extendedprice DESC, {_LINES}""",
@@ -330,13 +331,13 @@ SQL = {
     ),
     "nutrient_map_counts": I.sql(
         ["labels", "nutrient_map"],
-        """SELECT id, off_id, count FROM (SELECT id, CASE n_nationkey WHEN 0 THEN 'proteins' WHEN 1 THEN 'fat' WHEN 2 THEN 'salt' END AS off_id
+        """SELECT id, off_id, CAST(count AS DOUBLE) AS count FROM (SELECT id, CASE n_nationkey WHEN 0 THEN 'proteins' WHEN 1 THEN 'fat' WHEN 2 THEN 'salt' END AS off_id
         FROM nutrient_map) LEFT JOIN (SELECT off_id, count(*) AS count FROM labels GROUP BY 1) USING (off_id)""",
     ),
     "nutrient_map_refresh": I.sql(
         ["nutrient_map"],
-        """SELECT id, q.code AS ciqual_const_code, 'Constant ' || q.code AS ciqual_const_name_eng, 'Constante ' || q.code AS ciqual_const_name_fr,
-          n.code AS calnut_const_code, n.name AS calnut_const_name, n.unit AS calnut_unit
+        """SELECT id, CAST(q.code AS DOUBLE) AS ciqual_const_code, 'Constant ' || q.code AS ciqual_const_name_eng, 'Constante ' || q.code AS ciqual_const_name_fr,
+          CAST(n.code AS DOUBLE) AS calnut_const_code, n.name AS calnut_const_name, n.unit AS calnut_unit
         FROM nutrient_map m FULL JOIN q ON q.code = m.n_nationkey + 5 FULL JOIN n ON n.code = m.n_nationkey + 10""",
         ("q", "SELECT DISTINCT c_nationkey AS code FROM customer"),
         ("n", """SELECT code, regexp_extract(label, '(.+)_(\\w+)', 1) AS name, regexp_extract(label, '(.+)_(\\w+)', 2) AS unit
