@@ -172,7 +172,7 @@ SQL = {
     ),
     "location_names": I.sql(
         ["prices"],
-        """SELECT list_position([7, 3, 5, 0], location_id) AS position, location_id, split_part(any_value(location_osm_display_name), ', ', 1) AS name
+        """SELECT CAST(list_position([7, 3, 5, 0], location_id) AS BIGINT) AS position, location_id, split_part(any_value(location_osm_display_name), ', ', 1) AS name
         FROM prices GROUP BY location_id HAVING location_id IN (7, 3, 5, 0)""",
     ),
     "currency_counts": I.sql(_BASE, f"SELECT currency, count(*) AS count {_JOIN} WHERE pr.price IS NOT NULL GROUP BY currency"),

@@ -199,7 +199,7 @@ SQL = {
         unnest(range(len(regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1)))) AS table_no FROM pages),
       items AS (SELECT page_id, table_no, unnest(regexp_extract_all(list, '(?s)<li>(.*?)</li>', 1)) AS item,
         unnest(range(len(regexp_extract_all(list, '(?s)<li>(.*?)</li>', 1)))) AS row_no FROM lists)
-      SELECT page_id, table_no, row_no, trim(replace(replace(replace(regexp_extract(item, '(?s)<a[^>]*>(.*?)</a>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS cells FROM items""",
+      SELECT page_id, CAST(table_no AS INTEGER) AS table_no, CAST(row_no AS INTEGER) AS row_no, trim(replace(replace(replace(regexp_extract(item, '(?s)<a[^>]*>(.*?)</a>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS cells FROM items""",
     "rows_by_age": """WITH e AS (SELECT user_id, event_id, event_type, value,
         last_value(CASE WHEN event_type = 'error' THEN ['female', 'male', 'child'][event_id % 3 + 1] END IGNORE NULLS)
           OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS section FROM events)
