@@ -1,7 +1,7 @@
 """Queries of this subpackage and the SQL that checks those that SQL can express."""
 
-from larder.llm import bpe, forest, langid, licenses, mixing, quality, simhash, topk, url_filters
+from larder.llm import bpe, forest, langid, licenses, line_dedup, mixing, quality, simhash, topk, url_filters
 
-MODULES = [bpe, forest, langid, licenses, mixing, quality, simhash, topk, url_filters]
+MODULES = [bpe, forest, langid, licenses, line_dedup, mixing, quality, simhash, topk, url_filters]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
