@@ -25,7 +25,7 @@ from larder.runtime import materialize
 TREES = 64
 SYMBOLS = 4  # symbols in a string; ranges finer than the finest hold hardly anything
 BLOCK = 8192  # vectors in a block
-ENOUGH, LEAST = 0.25, 1024  # candidates wanted from a block: a share of its vectors, and at least so many
+ENOUGH, LEAST = 0.15, 1024  # different candidates wanted from a block: a share of its vectors, and at least so many
 QUERIES_AT_ONCE = 1024
 SAMPLE = 4096  # vectors that the centre is taken from
 
@@ -75,13 +75,13 @@ class Block:
         waiting = np.arange(len(keys))
         for level in range(SYMBOLS, 0, -1):
             start, stop = self.ranges(keys[waiting], level, bits)
-            enough = (stop - start).sum(axis=1) >= wanted
-            for row in np.flatnonzero(enough):
+            for row in np.flatnonzero((stop - start).sum(axis=1) >= wanted):
                 near = np.zeros(n, bool)
                 for tree in range(TREES):
                     near[self.order[start[row, tree] : stop[row, tree], tree]] = True
-                found[waiting[row]] = np.flatnonzero(near)
-            waiting = waiting[~enough]
+                if near.sum() >= wanted:  # trees find many of the same
+                    found[waiting[row]] = np.flatnonzero(near)
+            waiting = np.array([w for w in waiting if found[w] is None], np.int64)
             if not len(waiting):
                 break
         everything = np.arange(n)
