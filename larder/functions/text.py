@@ -12,7 +12,7 @@ def join_text(*parts: Column | str) -> Column:
 
 
 def decimal_comma(text: Column) -> Column:
-    """'1,5' to 1.5 as float; NULL where the text is no number (see reject_rows)."""
+    """'1,5' to 1.5 as float; NULL where the text is no number, which the tables' reject functions report."""
     return F.replace(text, F.lit(","), F.lit(".")).try_cast("float")
 
 
@@ -46,7 +46,7 @@ def without_hard_spaces(text: Column) -> Column:
 
 def name_and_unit(label: Column) -> Column:
     """'sodium_mg' to struct(name, unit), cut at the last underscore."""
-    pattern = r"(.+)_(\w+)"
+    pattern = r"(.+)_(\w+)"  # fixed value: the label format
     return F.struct(
         F.regexp_extract(label, pattern, 1).alias("name"), F.regexp_extract(label, pattern, 2).alias("unit")
     )
@@ -54,7 +54,7 @@ def name_and_unit(label: Column) -> Column:
 
 def header_name_and_unit(header: Column) -> Column:
     """'Fibres or fiber (g/100g)' to struct('Fibres', 'g'); NULL where the header has no such unit."""
-    pattern = r"^(.+)\s+\((\w*g|kJ|kcal)/100g\)"
+    pattern = r"^(.+)\s+\((\w*g|kJ|kcal)/100g\)"  # fixed value: the header format
     name = F.split(F.regexp_extract(header, pattern, 1), " or ")[0]
     unit = F.replace(F.regexp_extract(header, pattern, 2), F.lit("kJ"), F.lit("kj"))
     return F.when(header.rlike(pattern), F.struct(name.alias("name"), unit.alias("unit")))

@@ -136,8 +136,6 @@ def venn_regions(key_sets: dict[str, DataFrame], key: str) -> DataFrame:
     return membership.groupBy(*names).agg(F.count(F.lit(1)).alias("keys"))
 
 
-def grouped_structs(df: DataFrame, key: str, fields: list[str], name: str, max_rows: int = 10_000) -> DataFrame:
-    """Sorted list of structs per key, for tables counted to be small (attribute lists, nutrient groups)."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"lists are built for at most {max_rows} rows in all; keep larger data in rows")
+def grouped_structs(df: DataFrame, key: str, fields: list[str], name: str) -> DataFrame:
+    """Sorted list of structs per key; a list is as long as its group (attribute lists, nutrient groups)."""
     return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))

@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.runtime import broadcast_within
-
 SALTS = 32
 
 
@@ -19,32 +17,25 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def lookup(
-    facts: DataFrame, dimension: DataFrame, fact_key: str, dimension_key: str, spread_by: str, max_rows: int | None = None
-) -> DataFrame:
+def lookup(facts: DataFrame, dimension: DataFrame, fact_key: str, dimension_key: str, spread_by: str) -> DataFrame:
     """Left join to a dimension, whose key column is dropped.
 
-    With max_rows, a dimension counted to be that small is broadcast. In a shuffled join,
-    rows without a key, which match nothing, would all go to one task; a second join key
-    made from `spread_by` sends them everywhere.
+    Whether the dimension is broadcast is left to its size in bytes when the query runs. In a shuffled
+    join, rows without a key, which match nothing, would all go to one task; a second join key made
+    from `spread_by` sends them everywhere.
     """
-    if max_rows is not None:
-        dimension = broadcast_within(dimension, max_rows)
     spread = F.when(F.col(fact_key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(1000))).otherwise(0)
     salted = dimension.withColumnRenamed(dimension_key, "_lookup_key").withColumn("_lookup_spread", F.lit(0).cast("long"))
     matches = (F.col(fact_key) == F.col("_lookup_key")) & (spread == F.col("_lookup_spread"))
     return facts.join(salted, matches, "left").drop("_lookup_key", "_lookup_spread")
 
 
-def salted_join(facts: DataFrame, dimension: DataFrame, key: str, spread_by: str, max_rows: int) -> DataFrame:
-    """Inner join of a fact table with one row per key.
+def salted_join(facts: DataFrame, dimension: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Inner join of a fact table with a smaller one.
 
-    Counted to be small, the dimension is broadcast. Beyond that its rows are repeated once
-    per salt and every fact row joins one of the copies, so a hot key is shared by that many tasks.
+    Rows of the smaller side are repeated once per salt, and every fact row joins one of the copies, so
+    a hot key is shared by that many tasks.
     """
-    hinted = dimension.limit(max_rows + 1).count() <= max_rows
-    if hinted:
-        return facts.join(F.broadcast(dimension), key)
     copies = dimension.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
     return salted.join(copies, [key, "_salt"]).drop("_salt")

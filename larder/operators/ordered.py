@@ -87,7 +87,6 @@ def numbered(df: DataFrame, order: list[Column], name: str = "row_num", slices:
 
 
 def best_per_group(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of each group in ascending order: an aggregate, reduced before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, *[F.col(f"_best.`{c}`").alias(c) for c in rest])
+    """The first row of each group in ascending order; every task keeps one row per group before the shuffle."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", first).where("_rank = 1").drop("_rank")

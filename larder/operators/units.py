@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.runtime import bounded_rows
 
-
-def conversion_factors(unit_conversion: DataFrame) -> dict[str, tuple[str, float]]:
-    return {r.from_unit: (r.to_unit, r.conversion_factor) for r in bounded_rows(unit_conversion, 1000)}
-
-
-def convert_units(
-    df: DataFrame, value: str, unit: str, target_unit: str, factors: dict[str, tuple[str, float]], name: str
-) -> DataFrame:
+def convert_units(df: DataFrame, value: str, unit: str, target_unit: str, unit_conversion: DataFrame, name: str) -> DataFrame:
     """Add `name`: value expressed in the row's target unit, NULL if the two do not share a base unit.
 
-    The factors are a handful of constants and are looked up in a literal map, without a join.
+    unit_conversion: (from_unit, to_unit, conversion_factor), one row per from_unit; to_unit is its base
+    unit. A unit that the table lacks converts to itself only.
     """
-    base = F.create_map(*[F.lit(x) for u, (to, _) in factors.items() for x in (u, to)])
-    factor = F.create_map(*[F.lit(x) for u, (_, f) in factors.items() for x in (u, f)])
-    have, want = F.col(unit), F.col(target_unit)
-    converted = F.col(value).cast("double") * _get(factor, have) / _get(factor, want)
-    same_base = _get(base, have) == _get(base, want)
-    return df.withColumn(name, F.when(have == want, F.col(value).cast("double")).when(same_base, converted))
 
+    def side(key: str) -> DataFrame:
+        return unit_conversion.select(
+            F.col("from_unit").alias(f"_{key}"), F.col("to_unit").alias(f"_{key}_base"), F.col("conversion_factor").alias(f"_{key}_factor")
+        )
 
-def _get(mapping: Column, key: Column) -> Column:
-    return F.try_element_at(mapping, key)
+    known = df.join(side("have"), F.col(unit) == F.col("_have"), "left").join(side("want"), F.col(target_unit) == F.col("_want"), "left")
+    converted = F.col(value).cast("double") * F.col("_have_factor") / F.col("_want_factor")
+    same = F.when(F.col(unit) == F.col(target_unit), F.col(value).cast("double"))
+    result = same.when(F.col("_have_base") == F.col("_want_base"), converted)
+    return known.withColumn(name, result).drop(*[f"_{k}{x}" for k in ("have", "want") for x in ("", "_base", "_factor")])

@@ -60,7 +60,7 @@ def load(spark: SparkSession, folder: str, files: dict[str, str] | None = None)
 def build(tables: dict[str, DataFrame], out: str, with_foods: bool = False) -> dict[str, DataFrame]:
     """Write the price mart, the recommendations and, if asked, the food mart; return all tables by name.
 
-    The price mart is sorted by location inside its files, as shops are what readers filter by.
+    The price mart's files hold ranges of locations, as shops are what readers filter by.
     """
     t = tables
     nutrients = read_nutrients(t["nutrient_map"])
@@ -68,7 +68,7 @@ def build(tables: dict[str, DataFrame], out: str, with_foods: bool = False) -> d
     prices = price_mart(
         t["prices"], t["products"], t["euro_exchange_rates"], *shared, t["calnut_1"], t["agribalyse"], t["ssgrp_colors"], nutrients
     )
-    made = {"final_table_price": write_table(prices, f"{out}/final_table_price", ["location_id"])}
+    made = {"final_table_price": write_table(prices, f"{out}/final_table_price", ["location_id"], "price_id")}
     targets = recommendations(t["nutrient_map"], t["recommendations_macro"], t["recommendations_nnr2023"])
     made["recommendations"] = write_table(targets, f"{out}/recommendations")
     if with_foods:

@@ -1,9 +1,9 @@
 """Cheapest diets for many scenarios at once, by column generation.
 
-Candidates never gather in one task. Each round, a small programme per scenario is
-solved over the columns chosen so far; its duals, a few numbers per scenario, go to
-the candidate table, where every row computes its own reduced cost; the best few per
-scenario join the columns. When no row anywhere has a negative reduced cost, the
+Candidates never gather in one task, and are stored once per place, however many scenarios
+buy there. Each round, a small programme per scenario is solved over the columns chosen so far;
+its duals, a few numbers, go to the candidates of its places, where every row computes its own
+reduced cost; the best few per scenario join the columns. When no row anywhere has a negative reduced cost, the
 solution is optimal for the whole table, which is the proof linear programming gives.
 """
 
@@ -21,10 +21,8 @@ from pyspark.sql import types as T
 from larder.functions.objective import compile_objective
 from larder.operators.joins import salted_join
 from larder.plans.simplex import solve
-from larder.runtime import materialize
+from larder.runtime import Scratch
 
-# Duals are a few hundred bytes per scenario; up to this many scenarios they are broadcast.
-BROADCAST_SCENARIOS = 100_000
 PRICING_TOLERANCE = 1e-7
 BINDING = 1e-3
 SHOWN = 1e-3
@@ -42,12 +40,13 @@ OFFER_COLUMNS = [
 class Diets:
     """scenarios: (scenario, status, objective, rounds, duals); quantities: (scenario, item, quantity, cost, amounts).
 
-    pool: (scenario, item, cost, amounts), the candidates that were priced.
+    pool: (place, item, cost, amounts), the candidates that were priced; shops: (scenario, place).
     """
 
     scenarios: DataFrame
     quantities: DataFrame
     pool: DataFrame
+    shops: DataFrame
     nutrients: list[str]
 
 
@@ -59,18 +58,10 @@ def candidate_products(mart: DataFrame, locations: DataFrame, nutrients: list[st
     )
 
 
-def scenario_candidates(
-    mart: DataFrame, scenario_locations: DataFrame, nutrients: list[str], objective: str
-) -> DataFrame:
-    """(scenario, item, objective, nutrients...): the offers each scenario may choose from."""
-    offers = mart.where("price IS NOT NULL AND price > 0 AND product_quantity > 0").select(
-        "location_id",
-        F.col("price_id").alias("item"),
-        compile_objective(objective, mart.schema).alias("objective"),
-        *nutrients,
-    )
-    return offers.join(scenario_locations.select("scenario", "location_id").distinct(), "location_id").select(
-        "scenario", "item", "objective", *nutrients
+def place_candidates(mart: DataFrame, nutrients: list[str], objective: str, item: Column) -> DataFrame:
+    """(place, item, objective, nutrients...): every offer once; `item` has to tell offers apart."""
+    return mart.where("price IS NOT NULL AND price > 0 AND product_quantity > 0").select(
+        F.col("location_id").alias("place"), item.alias("item"), compile_objective(objective, mart.schema).alias("objective"), *nutrients
     )
 
 
@@ -83,48 +74,61 @@ def lp_input_matrix(candidates: DataFrame, item: str, nutrients: list[str]) -> D
 
 
 def optimize_diets(
-    candidates: DataFrame,
-    bounds: DataFrame,
-    nutrients: list[str],
-    per_round: int | None = None,
-    max_rounds: int = 60,
+    candidates: DataFrame, bounds: DataFrame, nutrients: list[str], shops: DataFrame | None = None, per_round: int | None = None
 ) -> Diets:
     """Cheapest quantities (in 100 g) per scenario within its nutrient bounds.
 
-    candidates: (scenario, item, objective, one column per nutrient); bounds:
-    (scenario, nutrient_id, lower, upper), a NULL side being open. Scenarios that
-    cannot be met come back as 'infeasible', those with no finite optimum as 'unbounded',
-    and those still improving after `max_rounds` as 'round_limit'.
+    candidates: (place, item, objective, one column per nutrient), and shops: (scenario, place), where a
+    scenario may buy; or candidates with a scenario of their own in place of a place, and no shops.
+    bounds: (scenario, nutrient_id, lower, upper), a NULL side being open. Scenarios that cannot be met
+    come back as 'infeasible', those with no finite optimum as 'unbounded', and those in which numbers
+    of too different size stop the solver as 'unsolved'; only 'optimal' ones have quantities.
+
+    Rounds end when no candidate of a scenario would lower its objective. Each round adds candidates
+    that were not among its columns, so they end. Tables written on the way are deleted.
     """
+    unknown = bounds.where(~F.coalesce(F.col("nutrient_id").isin(nutrients), F.lit(False))).select("nutrient_id").first()
+    if unknown:
+        raise ValueError(f"a bound is on {unknown[0]!r}, which is not among the nutrients {nutrients}")
+    if shops is None:
+        candidates = candidates.withColumnRenamed("scenario", "place")
+        shops = bounds.select("scenario", F.col("scenario").alias("place"))
     item_type = candidates.schema["item"].dataType
     k = per_round or 2 * len(nutrients) + 20
-    limits = materialize(_limits(bounds, nutrients))
-    pool = materialize(_pool(candidates, nutrients))
-    columns = materialize(_seed(pool, limits, nutrients))
+    scratch = Scratch(bounds.sparkSession)
+    limits = scratch.table(_limits(bounds, nutrients))
+    shops = scratch.table(shops.select("scenario", "place").distinct().join(limits.select("scenario"), "scenario", "left_semi"))
+    pool = scratch.table(_pool(candidates, nutrients))
+    columns = scratch.table(_seed(pool, shops, nutrients))
     open_limits, finished = limits, []
-    for round_no in range(1, max_rounds + 1):
-        solved = materialize(_solve(open_limits, columns, item_type, round_no))
-        entering = materialize(_entering(pool, solved, len(nutrients), k))
+    round_no = 0
+    while True:
+        round_no += 1
+        solved = scratch.table(_solve(open_limits, columns, item_type, round_no))
+        known = columns.select("scenario", "item")
+        better = _entering(pool, shops, solved, len(nutrients), k)
+        entering = scratch.table(better.join(known, ["scenario", "item"], "left_anti"))
         improving = entering.select("scenario").distinct()
-        last = round_no == max_rounds
-        if last:
-            still_open = solved.join(improving, "scenario", "left_semi").withColumn("status", F.lit("round_limit"))
-            finished.append(still_open)
         finished.append(solved.join(improving, "scenario", "left_anti"))
-        if last or entering.isEmpty():
+        if entering.isEmpty():
             break
-        columns = columns.union(entering)
-        open_limits = open_limits.join(improving, "scenario", "left_semi")
-    result = materialize(reduce(DataFrame.union, finished))
+        merged = scratch.table(columns.join(improving, "scenario", "left_semi").union(entering.select(columns.columns)))
+        still = scratch.table(open_limits.join(improving, "scenario", "left_semi"))
+        # What is finished is written apart, so that a round's tables can go.
+        finished[-1] = scratch.table(finished[-1])
+        scratch.drop(solved, entering, columns, *([open_limits] if open_limits is not limits else []))
+        columns, open_limits = merged, still
+    result = scratch.table(reduce(DataFrame.union, finished))
+    scratch.close(result, pool, shops)
     bought = F.arrays_zip(*BOUGHT.values())
-    quantities = result.where(F.col("status") != "infeasible").select("scenario", F.inline(bought))
+    quantities = result.where(F.col("status") == "optimal").select("scenario", F.inline(bought))
     quantities = quantities.withColumnsRenamed({array: name for name, array in BOUGHT.items()})
-    return Diets(result.drop("weight", *BOUGHT.values()), quantities, pool, nutrients)
+    return Diets(result.drop("weight", *BOUGHT.values()), quantities, pool, shops, nutrients)
 
 
 def _limits(bounds: DataFrame, nutrients: list[str]) -> DataFrame:
     """(scenario, lower[], upper[]) in the order of `nutrients`; of repeated bounds the tighter ones hold."""
-    one_each = bounds.where(F.col("nutrient_id").isin(nutrients)).groupBy("scenario", "nutrient_id").agg(
+    one_each = bounds.groupBy("scenario", "nutrient_id").agg(
         F.max("lower").cast("double").alias("lower"), F.min("upper").cast("double").alias("upper")
     )
     wide = one_each.groupBy("scenario").pivot("nutrient_id", nutrients).agg(
@@ -136,28 +140,29 @@ def _limits(bounds: DataFrame, nutrients: list[str]) -> DataFrame:
 
 
 def _pool(candidates: DataFrame, nutrients: list[str]) -> DataFrame:
-    """Candidates with their amounts as an array. Of equal amounts only the cheapest can be in an optimum."""
+    """Candidates with their amounts as an array. Of equal amounts only a place's cheapest can be in an optimum."""
     contents = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(f"_{i}") for i, n in enumerate(nutrients)]
-    shaped = candidates.where("scenario IS NOT NULL AND item IS NOT NULL AND objective IS NOT NULL").select(
-        "scenario", "item", F.col("objective").cast("double").alias("cost"), *contents
+    shaped = candidates.where("place IS NOT NULL AND item IS NOT NULL AND objective IS NOT NULL").select(
+        "place", "item", F.col("objective").cast("double").alias("cost"), *contents
     )
     same = [f"_{i}" for i in range(len(nutrients))]
-    best = shaped.groupBy("scenario", *same).agg(F.min(F.struct("cost", "item")).alias("_best"))
-    return best.select("scenario", "_best.item", "_best.cost", F.array(*same).alias("amounts"))
+    best = shaped.groupBy("place", *same).agg(F.min(F.struct("cost", "item")).alias("_best"))
+    return best.select("place", "_best.item", "_best.cost", F.array(*same).alias("amounts"))
 
 
-def _seed(pool: DataFrame, limits: DataFrame, nutrients: list[str]) -> DataFrame:
-    """For each scenario and nutrient, the column that gives most of it for its cost."""
-    row = F.struct("item", "cost", "amounts")
+def _seed(pool: DataFrame, shops: DataFrame, nutrients: list[str]) -> DataFrame:
+    """For each scenario and nutrient, the column that gives most of it for its cost: a place's best, then the best of its places."""
 
-    def ratio(i: int) -> Column:
+    def best_first(i: int) -> Column:
         amount = F.get("amounts", F.lit(i))
-        return F.when(amount > 0, F.struct((F.col("cost") / amount).alias("ratio"), F.col("item")))
+        return F.when(amount > 0, F.struct((F.col("cost") / amount).alias("ratio"), "item", "cost", "amounts"))
 
-    best = pool.groupBy("scenario").agg(*[F.min_by(row, ratio(i)).alias(f"_{i}") for i in range(len(nutrients))])
-    picked = F.filter(F.array(*[F.col(f"_{i}") for i in range(len(nutrients))]), lambda c: c.isNotNull())
-    wanted = best.join(limits.select("scenario"), "scenario", "left_semi")
-    return wanted.select("scenario", F.inline(F.array_distinct(picked)))
+    names = [f"_{i}" for i in range(len(nutrients))]
+    by_place = pool.groupBy("place").agg(*[F.min(best_first(i)).alias(n) for i, n in enumerate(names)])
+    best = shops.join(by_place, "place").groupBy("scenario").agg(*[F.min(n).alias(n) for n in names])
+    picked = F.filter(F.array(*names), lambda c: c.isNotNull())
+    chosen = F.array_distinct(F.transform(picked, lambda c: F.struct(c["item"].alias("item"), c["cost"].alias("cost"), c["amounts"].alias("amounts"))))
+    return best.select("scenario", F.inline(chosen))
 
 
 def _solve(limits: DataFrame, columns: DataFrame, item_type: T.DataType, round_no: int) -> DataFrame:
@@ -194,19 +199,24 @@ def _solve(limits: DataFrame, columns: DataFrame, item_type: T.DataType, round_n
     return rows.groupBy("scenario").applyInPandas(one_scenario, schema)
 
 
-def _entering(pool: DataFrame, solved: DataFrame, size: int, k: int) -> DataFrame:
+def _priced(pool: DataFrame, shops: DataFrame, duals: DataFrame) -> DataFrame:
+    """The candidates of each scenario's places beside its duals; places without one of these scenarios drop out."""
+    return salted_join(pool, shops.join(duals, "scenario"), "place", "item")
+
+
+def _entering(pool: DataFrame, shops: DataFrame, solved: DataFrame, size: int, k: int) -> DataFrame:
     """The k most promising candidates of each scenario that would lower its objective (or its infeasibility).
 
     `row_number() <= k` is applied inside every partition before the shuffle, so a
     scenario with a third of all candidates sends k rows per partition like any other.
     """
-    duals = solved.where(F.col("status") != "unbounded").select("scenario", "weight", "duals")
+    duals = solved.where(F.col("status").isin("optimal", "infeasible")).select("scenario", "weight", "duals")
     terms = [F.get("duals", F.lit(i)) * F.get("amounts", F.lit(i)) for i in range(size)]
     weighed = F.col("weight") * F.col("cost")
     reduced = weighed - sum(terms[1:], terms[0])
     magnitude = F.abs(weighed) + sum((F.abs(t) for t in terms[1:]), F.abs(terms[0]))
     scored = (
-        salted_join(pool, duals, "scenario", "item", BROADCAST_SCENARIOS)
+        _priced(pool, shops, duals)
         .select("scenario", "item", "cost", "amounts", reduced.alias("_reduced"), magnitude.alias("_size"))
         .where(F.col("_reduced") < -PRICING_TOLERANCE * F.col("_size"))
         .withColumn("_score", F.col("_reduced") / F.col("_size"))
@@ -227,7 +237,7 @@ def nutrient_levels(diets: Diets) -> DataFrame:
 def binding_constraints(diets: Diets, bounds: DataFrame, within: float = BINDING) -> DataFrame:
     """Nutrients of solved scenarios whose level sits on one of its bounds."""
     optimal = diets.scenarios.where("status = 'optimal'").select("scenario")
-    asked = bounds.where(F.col("nutrient_id").isin(diets.nutrients)).join(optimal, "scenario", "left_semi")
+    asked = bounds.join(optimal, "scenario", "left_semi")
     leveled = asked.join(nutrient_levels(diets), ["scenario", "nutrient_id"], "left").withColumn(
         "level", F.coalesce("level", F.lit(0.0))
     )
@@ -247,7 +257,7 @@ def certificate(diets: Diets, bounds: DataFrame, within: float = 1e-6) -> DataFr
     n = diets.nutrients
     known = diets.scenarios.where("status IN ('optimal', 'infeasible')")
     is_optimal = F.col("status") == "optimal"
-    asked = bounds.where(F.col("nutrient_id").isin(n)).join(nutrient_levels(diets), ["scenario", "nutrient_id"], "left")
+    asked = bounds.join(nutrient_levels(diets), ["scenario", "nutrient_id"], "left")
     level = F.coalesce("level", F.lit(0.0))
     missed = F.greatest(
         F.coalesce(F.col("lower") - level, F.lit(0.0)), F.coalesce(level - F.col("upper"), F.lit(0.0)), F.lit(0.0)
@@ -261,7 +271,7 @@ def certificate(diets: Diets, bounds: DataFrame, within: float = 1e-6) -> DataFr
         F.max(F.coalesce(F.col("lower") > F.col("upper"), F.lit(False))).alias("_crossed"),
     )
     duals = known.select("scenario", "status", "duals")
-    priced = salted_join(diets.pool, duals, "scenario", "item", BROADCAST_SCENARIOS)
+    priced = _priced(diets.pool, diets.shops, duals)
     cost = F.when(is_optimal, F.col("cost")).otherwise(0.0)
     terms = [F.get("duals", F.lit(i)) * F.get("amounts", F.lit(i)) for i in range(len(n))]
     size = F.abs(cost) + sum((F.abs(t) for t in terms[1:]), F.abs(terms[0]))
@@ -285,14 +295,14 @@ def certificate(diets: Diets, bounds: DataFrame, within: float = 1e-6) -> DataFr
 
 
 def diet_report(diets: Diets, offers: DataFrame) -> DataFrame:
-    """The shopping list of each scenario, largest quantities first; `offers` has one row per price_id."""
+    """The shopping list of each scenario, largest quantities first; `offers` has one row per item."""
     n = diets.nutrients
     bought = diets.quantities.where(F.col("quantity") > SHOWN)
-    described = bought.join(offers.select(*OFFER_COLUMNS), F.col("item") == F.col("price_id"))
+    described = bought.join(offers.select("item", *OFFER_COLUMNS), "item")
     contribution = [F.bround(F.get("amounts", F.lit(i)) * F.col("quantity"), 4).alias(x) for i, x in enumerate(n)]
     return described.select(
         "scenario",
-        F.col("item").alias("id"),
+        F.col("price_id").alias("id"),
         "product_code",
         "product_name",
         "ciqual_name",

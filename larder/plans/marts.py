@@ -19,8 +19,6 @@ from larder.plans.vocabulary import (
 )
 from larder.sources.sinks import with_comments
 
-# A row of food facts is a few kB; this many of them fit any executor. More foods are joined by shuffle.
-BROADCAST_FOODS = 20_000
 
 BASIC_NUTRIENTS = ("energy_fibre_kcal", "carbohydrate", "fat", "protein")
 
@@ -45,11 +43,13 @@ def price_mart(
     nutrients: list[Nutrient],
     nutrient_ids: list[str] = NUTRIENT_IDS,
     dedupe: bool = False,
+    price_columns: dict[str, str] = PRICE_COLUMNS,
 ) -> DataFrame:
     """One row per price, with product, EUR per 100 g, nutrients with unit and origin, food and impact columns.
 
     Product codes repeat in the catalog. By default every catalog row of a code is
-    joined to its prices; `dedupe` keeps one row per code instead.
+    joined to its prices; `dedupe` keeps one row per code instead. price_columns names the price
+    table's columns that the mart has, and what they are called there; all of them have to exist.
 
     Products are cut down to priced ones first and brought together by code once; the
     price table is shuffled once, for a single join on the code whose hot codes
@@ -70,15 +70,15 @@ def price_mart(
     else:
         row = F.min_by(F.struct("nutriments", "ciqual_food_code_origin"), tie_break)
         labels = named.groupBy(*label_keys).agg(row.alias("_row")).select(*label_keys, "_row.*")
-    labelled = lookup(labels, facts, "ciqual_food_code", "food_code", "code", BROADCAST_FOODS)
+    labelled = lookup(labels, facts, "ciqual_food_code", "food_code", "code")
     carried = about if dedupe else []
     profiles = labelled.selectExpr(*label_keys, *carried, *as_columns(product_values(nutrients), nutrient_ids))
     catalog = profiles if dedupe else profiles.join(named.select("code", *about), "code")
     catalog = catalog.where("product_quantity > 0 AND product_quantity < 30000")
     foods = _foods(ciqual_alim, agribalyse, colors)
-    catalog = lookup(catalog, foods, "ciqual_food_code", "_food", "code", BROADCAST_FOODS)
+    catalog = lookup(catalog, foods, "ciqual_food_code", "_food", "code")
 
-    kept = {old: new for old, new in PRICE_COLUMNS.items() if old in prices.columns}
+    kept = price_columns
     offers = prices.where("price IS NOT NULL").select("product_code", *[F.col(o).alias(f"_{n}") for o, n in kept.items()])
     joined = offers.join(catalog, offers.product_code == catalog.code).join(
         rates.select(F.col("currency").alias("_currency"), "rate"), F.col("_product_currency") == F.col("_currency")

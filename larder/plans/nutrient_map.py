@@ -10,6 +10,7 @@ from larder.operators.aggregates import grouped_structs
 from larder.operators.quality import Reference, Rule, all_or_none, check_rules, empty_or, one_of, required
 from larder.plans import vocabulary as V
 
+# Columns of the nutrient map.
 MAP_COLUMNS = [
     "id", "name", "ciqual_const_code", "ciqual_const_name_eng", "ciqual_const_name_fr", "ciqual_unit",
     "calnut_const_code", "calnut_const_name", "calnut_unit", "off_id", "count", "template", "nnr2023_id",

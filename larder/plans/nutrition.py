@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.text import join_text
-from larder.runtime import bounded_rows
 
 
 @dataclass(frozen=True)
@@ -35,7 +34,7 @@ def read_nutrients(nutrient_map: DataFrame) -> list[Nutrient]:
     """The nutrient map as plan-time configuration: it decides the columns of a mart."""
     columns = ["id", "off_id", "ciqual_const_code", "ciqual_unit", "calnut_const_code", "calnut_unit"]
     usable = nutrient_map.where("ciqual_const_code IS NOT NULL OR calnut_const_code IS NOT NULL")
-    return sorted((Nutrient(*row) for row in bounded_rows(usable.select(*columns), 1000)), key=lambda n: n.id)
+    return sorted((Nutrient(*row) for row in usable.select(*columns).collect()), key=lambda n: n.id)
 
 
 def food_facts(ciqual_compo: DataFrame, calnut_1: DataFrame, nutrients: list[Nutrient]) -> DataFrame:

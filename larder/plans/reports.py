@@ -9,16 +9,21 @@ from larder.operators.ordered import running_segments
 from larder.plans.vocabulary import ENERGY_PER_GRAM
 
 
-def product_facts(mart: DataFrame, price_id, nutrient_map: DataFrame, ids: list[str]) -> DataFrame:
-    """Nutrient rows of one offer: type, name, unit, value and origin, from its wide row."""
-    offer = mart.where(F.col("price_id") == price_id).limit(1)
+def product_facts(mart: DataFrame, offers: DataFrame, nutrient_map: DataFrame, ids: list[str]) -> DataFrame:
+    """Nutrient rows of the offers whose price_id is asked for: type, name, unit, value and origin, from their wide rows.
+
+    offers: (price_id), a short list. Where an id repeats, the row of the smallest product_code, then of
+    the smallest location_id, stands for it.
+    """
     cells = [
         F.struct(
             F.lit(n).alias("id"), F.col(n).cast("double").alias("value"), F.col(f"{n}_origin").alias("origin")
         )
         for n in ids
     ]
-    long = offer.select("price_id", F.inline(F.array(*cells)))
+    asked = mart.join(offers.select("price_id").distinct(), "price_id", "left_semi")
+    one = asked.groupBy("price_id").agg(F.min_by(F.array(*cells), F.struct("product_code", "location_id")).alias("cells"))
+    long = one.select("price_id", F.inline("cells"))
     described = nutrient_map.select("id", "name", "nutrient_type", F.col("ciqual_unit").alias("unit"))
     return long.join(described, "id").select("price_id", "nutrient_type", "id", "name", F.round("value", 3).alias("value"), "unit", "origin")
 

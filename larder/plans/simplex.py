@@ -17,8 +17,20 @@ def solve(cost: np.ndarray, amounts: np.ndarray, lower: np.ndarray, upper: np.nd
 
     amounts is nutrients x columns; infinite bounds are left out. Returns
     (status, x, y, w): y are net prices per nutrient, so that w * cost - y @ amounts are
-    reduced costs. w is 0 while the bounds cannot be met by these columns, else 1.
+    reduced costs. w is 0 while the bounds cannot be met by these columns, else 1. Where rounding
+    leaves no basis to go on from, the status is 'unsolved'.
     """
+    try:
+        return _two_phases(cost, amounts, lower, upper)
+    except (np.linalg.LinAlgError, _Stuck):
+        return "unsolved", np.zeros(amounts.shape[1]), np.zeros(len(lower)), 0.0
+
+
+class _Stuck(Exception):
+    """More steps than bases that a programme of this size plausibly visits."""
+
+
+def _two_phases(cost: np.ndarray, amounts: np.ndarray, lower: np.ndarray, upper: np.ndarray):
     has_lower, has_upper = np.isfinite(lower), np.isfinite(upper)
     n = amounts.shape[1]
     rows = np.vstack([amounts[has_lower], amounts[has_upper]])
@@ -61,7 +73,7 @@ def _iterate(table, b, costs, basis, width):
     """Move from basis to basis until no column below `width` improves; `basis` is updated in place."""
     total = table.shape[1]
     stalled = 0
-    while True:
+    for _ in range(1000 + 100 * total):
         base = table[:, basis]
         level = np.maximum(np.linalg.solve(base, b), 0.0)
         y = np.linalg.solve(base.T, costs[basis])
@@ -95,3 +107,4 @@ def _iterate(table, b, costs, basis, width):
             leaving = ties[np.argmax(np.abs(direction[ties]))]
         basis[leaving] = entering
         stalled = stalled + 1 if step <= 1e-12 else 0
+    raise _Stuck

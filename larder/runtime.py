@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _scratch: dict[str, str] = {}
 
@@ -58,18 +57,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if df is counted to have at most max_rows rows.
+class Scratch:
+    """Tables that a computation writes on its way, in the shared folder; close() deletes all but those kept."""
 
-    Beyond that the hint is left off, and Spark picks a shuffled join, whose hot
-    keys adaptive execution splits.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: dict[int, tuple[DataFrame, str]] = {}
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """Write df and read it back, as materialize does."""
+        path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(written)] = written, path
+        return written
 
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for table in tables:
+            if found := self.tables.pop(id(table), None):
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(found[1])
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def bounded_rows(df: DataFrame, max_rows: int) -> list[Row]:
-    """Rows of a configuration table; refuses anything that is not small."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"expected a configuration table of at most {max_rows} rows")
-    return rows
+    def close(self, *kept: DataFrame) -> None:
+        keep = {id(table) for table in kept}
+        self.drop(*[table for key, (table, _) in self.tables.items() if key not in keep])

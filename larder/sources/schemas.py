@@ -90,3 +90,27 @@ AGRIBALYSE_TEXT = (
     "agribalyse_food_code", "ciqual_food_name", "delivery_method", "packaging_approach", "preparation_method",
 )
 AGRIBALYSE_LONG = ("ciqual_food_code", "season_code", "air_transport_code")
+
+# The price table. Columns that a file lacks are NULL.
+PRICES = T.StructType(
+    [
+        T.StructField(name, kind)
+        for kind, names in (
+            (T.LongType(), ("id", "location_id", "location_osm_id")),
+            (T.DoubleType(), ("price", "price_without_discount", "location_osm_lat", "location_osm_lon")),
+            (T.BooleanType(), ("price_is_discounted",)),
+            (T.DateType(), ("date",)),
+            (T.TimestampType(), ("created", "updated", "location_created", "location_updated")),
+            (
+                T.StringType(),
+                (
+                    "product_code", "currency", "location_osm_display_name", "type", "owner", "price_per", "source", "location_type",
+                    "location_osm_type", "location_osm_tag_key", "location_osm_tag_value", "location_osm_address_postcode",
+                    "location_osm_address_city", "location_osm_address_country", "location_osm_address_country_code",
+                    "location_website_url", "location_source",
+                ),
+            ),
+        )
+        for name in names
+    ]
+)

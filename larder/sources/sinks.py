@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_table(df: DataFrame, path: str, cluster_by: list[str] | None = None) -> DataFrame:
+def write_table(df: DataFrame, path: str, cluster_by: list[str] | None = None, spread_by: str | None = None) -> DataFrame:
     """Replace a Parquet table and return it as read back.
 
-    Rows are sorted by `cluster_by` inside each file: row-group statistics then skip
-    most of the file for a filter on those columns, without one folder per value.
+    Files hold ranges of `cluster_by`, and rows are sorted by it inside each: a filter on those columns
+    opens few files and skips most of them. `spread_by` divides a frequent value among several files.
     """
-    laid_out = df.sortWithinPartitions(*cluster_by) if cluster_by else df
+    laid_out = df
+    if cluster_by:
+        spread = [F.xxhash64(spread_by)] if spread_by else []
+        laid_out = df.repartitionByRange(*cluster_by, *spread).sortWithinPartitions(*cluster_by)
     laid_out.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -90,34 +90,52 @@ def ciqual_sources(rows: DataFrame) -> DataFrame:
 
 
 def calnut_0(spark: SparkSession, path: str) -> DataFrame:
+    return calnut_foods(read_csv(spark, path, S.CALNUT_0))
+
+
+def calnut_foods(rows: DataFrame) -> DataFrame:
     """One row per food: the file repeats each food for three hypotheses, of which MB is kept."""
-    rows = read_csv(spark, path, S.CALNUT_0).where(F.col("HYPOTH") == "MB").drop("HYPOTH")
-    return rows.withColumn("ALIM_CODE", F.col("ALIM_CODE").cast("long"))
+    return rows.where(F.col("HYPOTH") == "MB").drop("HYPOTH").withColumn("ALIM_CODE", F.col("ALIM_CODE").cast("long"))
 
 
 def calnut_1(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, S.CALNUT_1).select(
+    return calnut_values(read_csv(spark, path, S.CALNUT_1))
+
+
+_CALNUT_NUMBERS = {"LB": "lb", "UB": "ub", "MB": "mean"}
+
+
+def calnut_values(rows: DataFrame) -> DataFrame:
+    """Text rows of the composition file, typed; numbers that can't be read are NULL, and in unreadable_calnut."""
+    return rows.select(
         F.col("ALIM_CODE").cast("long"),
         "FOOD_LABEL",
         "CONST_LABEL",
         F.col("CONST_CODE").cast("long"),
         X.yes_no(F.col("indic_combl")).alias("combl"),
-        X.decimal_comma(F.col("LB")).alias("lb"),
-        X.decimal_comma(F.col("UB")).alias("ub"),
-        X.decimal_comma(F.col("MB")).alias("mean"),
+        *[X.decimal_comma(F.col(old)).alias(new) for old, new in _CALNUT_NUMBERS.items()],
     )
 
 
+def unreadable_calnut(rows: DataFrame) -> DataFrame:
+    """Text rows with a number that is given but can't be read."""
+    broken = [(F.trim(c) != "") & X.decimal_comma(F.col(c)).isNull() for c in _CALNUT_NUMBERS]
+    return rows.where(F.coalesce(broken[0], F.lit(False)) | F.coalesce(broken[1], F.lit(False)) | F.coalesce(broken[2], F.lit(False)))
+
+
 def agribalyse(spark: SparkSession, path: str) -> DataFrame:
+    return agribalyse_values(read_csv(spark, path, T.StructType([T.StructField(n, T.StringType()) for n in S.AGRIBALYSE_NAMES])))
+
+
+def agribalyse_values(rows: DataFrame) -> DataFrame:
     """Life-cycle impacts by food; rows without either code (blank padding rows among them) are left out."""
-    text = read_csv(spark, path, T.StructType([T.StructField(n, T.StringType()) for n in S.AGRIBALYSE_NAMES]))
 
     def typed(name: str) -> str:
         if name in S.AGRIBALYSE_TEXT:
             return "string"
         return "long" if name in S.AGRIBALYSE_LONG else "double"
 
-    named = text.select(*[F.col(f"`{old}`").cast(typed(new)).alias(new) for old, new in S.AGRIBALYSE_NAMES.items()])
+    named = rows.select(*[F.col(f"`{old}`").cast(typed(new)).alias(new) for old, new in S.AGRIBALYSE_NAMES.items()])
     return named.where("agribalyse_food_code IS NOT NULL AND ciqual_food_code IS NOT NULL")
 
 
@@ -145,7 +163,7 @@ def rates_to_long(wide: DataFrame, date: str = "Date") -> DataFrame:
 
 
 def prices(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.schema(S.PRICES).parquet(path)
 
 
 def products(spark: SparkSession, path: str) -> DataFrame:

@@ -19,16 +19,32 @@ def read_xml_rows(spark: SparkSession, path: str, row_tag: str, schema: T.Struct
     read in splits by many tasks.
     """
     records = spark.read.option("lineSep", f"</{row_tag}>").text(path).select(_windows_1252("value").alias("value"))
+    return xml_rows(records, row_tag, schema)
+
+
+def xml_rows(records: DataFrame, row_tag: str, schema: T.StructType) -> DataFrame:
+    """Rows from text records (`value`), each up to a closing row tag; one that does not parse is left out."""
+    parsed = _parsed(records, row_tag, schema).where("row._corrupt_record IS NULL")
+    return parsed.select(*[F.nullif(F.trim(f"row.`{n}`"), F.lit("")).alias(n) for n in schema.names])
+
+
+def unreadable_xml(records: DataFrame, row_tag: str, schema: T.StructType) -> DataFrame:
+    """The records (`value`) that have an opening row tag, but do not parse."""
+    return _parsed(records, row_tag, schema).where("row._corrupt_record IS NOT NULL").select("value")
+
+
+def _parsed(records: DataFrame, row_tag: str, schema: T.StructType) -> DataFrame:
     opening = F.instr("value", f"<{row_tag}>")
     body = F.substring("value", opening + len(row_tag) + 2, F.length("value"))
-    parsed = records.where(opening > 0).select(
+    checked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    return records.where(opening > 0).select(
+        "value",
         F.from_xml(
             F.concat(F.lit("<row>"), _repaired(body), F.lit("</row>")),
-            F.lit(schema.simpleString()),
-            {"ignoreSurroundingSpaces": "true"},
-        ).alias("row")
+            F.lit(checked.simpleString()),
+            {"ignoreSurroundingSpaces": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
+        ).alias("row"),
     )
-    return parsed.select(*[F.nullif(F.trim(f"row.`{n}`"), F.lit("")).alias(n) for n in schema.names])
 
 
 def _windows_1252(name: str) -> Column:

@@ -122,23 +122,49 @@ def test_same_as_one_programme_over_all_candidates(solved, candidates):
         assert status == "optimal" and values[scenario] == pytest.approx(float(pdf["objective"] @ x), rel=1e-6)
 
 
-def test_many_scenarios_are_priced_by_salted_join(candidates, bounds, solved, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_SCENARIOS", 1)
-    again = D.optimize_diets(candidates, bounds, NUTRIENTS, per_round=10)
-    values = [{r.scenario: r.objective for r in d.scenarios.collect()} for d in (solved, again)]
-    assert values[0] == pytest.approx(values[1])
+def test_scenarios_that_share_places_share_candidates(candidates, bounds, solved):
+    """Two scenarios with the same bounds at the same places: the same diets, and each candidate stored once."""
+    asked = bounds.where("scenario = 'hot'")
+    twice = asked.withColumn("scenario", F.explode(F.array(F.lit("one"), F.lit("two"))))
+    shops = twice.select("scenario", F.lit("hot").alias("place")).distinct()
+    places = candidates.withColumnRenamed("scenario", "place")
+    both = D.optimize_diets(places, twice, NUTRIENTS, shops, per_round=10)
+    one = D.optimize_diets(places, asked, NUTRIENTS, shops.where("scenario = 'one'").withColumn("scenario", F.lit("hot")), per_round=10)
+    values = {r.scenario: r.objective for r in both.scenarios.collect()}
+    hot = {r.scenario: r.objective for r in solved.scenarios.collect()}["hot"]
+    assert values == pytest.approx({"one": hot, "two": hot})
+    assert both.pool.count() == one.pool.count()
+    assert all(r.proven for r in D.certificate(both, twice).collect())
+
+
+def test_unknown_nutrients_are_refused(candidates, bounds):
+    with pytest.raises(ValueError, match="energy"):
+        D.optimize_diets(candidates, bounds, ["protein", "fat"])
+
+
+def test_only_results_are_left_behind(spark, candidates, bounds):
+    from pathlib import Path
+
+    from larder.runtime import shared_folder
+
+    before = set(Path(shared_folder(spark)).iterdir())
+    D.optimize_diets(candidates, bounds, NUTRIENTS, per_round=5)
+    assert len(set(Path(shared_folder(spark)).iterdir()) - before) == 3  # result, pool, shops
 
 
 def test_pricing_ranks_within_partitions_first(candidates, bounds):
-    limits, pool = D._limits(bounds, NUTRIENTS), D._pool(candidates, NUTRIENTS)
+    limits, pool = D._limits(bounds, NUTRIENTS), D._pool(candidates.withColumnRenamed("scenario", "place"), NUTRIENTS)
+    shops = limits.select("scenario", F.col("scenario").alias("place"))
     duals = limits.select("scenario", F.lit("optimal").alias("status"), F.lit(1.0).alias("weight"), F.col("upper").alias("duals"))
-    plan = D._entering(pool, duals, 3, 5)._jdf.queryExecution().executedPlan().toString()
+    plan = D._entering(pool, shops, duals, 3, 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_round_limit_is_reported(candidates, bounds):
-    cut = D.optimize_diets(candidates, bounds, NUTRIENTS, per_round=1, max_rounds=1)
-    assert {r.scenario: r.status for r in cut.scenarios.collect()}["hot"] == "round_limit"
+def test_many_rounds_end(candidates, bounds, solved):
+    slow = D.optimize_diets(candidates, bounds, NUTRIENTS, per_round=1)
+    rows = {r.scenario: r for r in slow.scenarios.collect()}
+    assert rows["hot"].rounds > 2
+    assert {s: r.objective for s, r in rows.items()} == pytest.approx({r.scenario: r.objective for r in solved.scenarios.collect()})
 
 
 def test_binding_constraints(solved, bounds):
@@ -152,7 +178,7 @@ def test_binding_constraints(solved, bounds):
 
 def test_report(solved, spark):
     offers = solved.quantities.select(
-        F.col("item").alias("price_id"), F.lit("code").alias("product_code"), F.lit("name").alias("product_name"),
+        "item", F.col("item").alias("price_id"), F.lit("code").alias("product_code"), F.lit("name").alias("product_name"),
         F.lit(1).alias("ciqual_code"), F.lit("food").alias("ciqual_name"), F.lit("#ffffff").alias("color"), F.lit(2.0).alias("price"),
         F.lit("Shop, Street, Town, Country").alias("location_osm_display_name"), F.lit(5).alias("location_osm_id"),
     ).distinct()
@@ -183,5 +209,19 @@ def test_candidate_products(spark):
     locations = spark.createDataFrame([(10,), (10,)], "location_id int")
     rows = D.candidate_products(mart, locations, ["protein"], "price / protein").collect()
     assert [(r.price_id, r.objective, r.protein) for r in rows] == [(1, 0.5, 4.0)]
-    asked = spark.createDataFrame([("s", 10), ("t", 10), ("t", 11), ("t", 11)], "scenario string, location_id int")
-    assert D.scenario_candidates(mart, asked, ["protein"], "price").groupBy("scenario").count().orderBy("scenario").collect()[1][1] == 2
+    places = D.place_candidates(mart, ["protein"], "price", F.col("price_id")).collect()
+    assert sorted((r.place, r.item) for r in places) == [(10, 1), (11, 2)]
+
+
+def test_report_tells_repeated_price_ids_apart(spark):
+    """Two offers share a price_id; the report names the one that was bought."""
+    mart = spark.createDataFrame(
+        [(1, "dear", 10, 9.0, 100.0, 4.0), (1, "cheap", 10, 2.0, 100.0, 4.0)],
+        "price_id int, product_code string, location_id int, price double, product_quantity double, protein double",
+    ).withColumns({c: F.lit(None).cast("string") for c in D.OFFER_COLUMNS if c not in ("price_id", "product_code", "price")})
+    item = F.concat_ws("-", "price_id", "product_code")
+    bounds = spark.createDataFrame([("s", "protein", 8.0, None)], "scenario string, nutrient_id string, lower double, upper double")
+    shops = spark.createDataFrame([("s", 10)], "scenario string, place int")
+    solved = D.optimize_diets(D.place_candidates(mart, ["protein"], "price", item), bounds, ["protein"], shops)
+    rows = D.diet_report(solved, mart.withColumn("item", item)).collect()
+    assert [(r.id, r.product_code, r.price, r.quantity_g) for r in rows] == [(1, "cheap", 4.0, 200.0)]

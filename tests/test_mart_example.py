@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.plans import marts, nutrition
-from larder.plans.vocabulary import COLUMN_COMMENTS, IMPACT_COLUMNS, NUTRIENT_IDS
+
+from larder.plans.vocabulary import COLUMN_COMMENTS, IMPACT_COLUMNS, NUTRIENT_IDS, PRICE_COLUMNS
 from larder.sources import schemas
 
 PEAS, TOFU = "3111950001928", "4099200179193"
@@ -40,6 +41,7 @@ def inputs(spark):
     impacts = dict.fromkeys(IMPACT_COLUMNS, 0.0) | {"energy_depletion": 14.5}
     return {
         "prices": prices,
+        "price_columns": {old: new for old, new in PRICE_COLUMNS.items() if old in prices.columns},
         "products": products,
         "rates": spark.createDataFrame([("CHF", 0.9358), ("EUR", 1.0), ("NOK", 11.533)], "currency string, rate double"),
         "ciqual_alim": spark.createDataFrame(
@@ -87,7 +89,7 @@ def test_price_mart(inputs):
 
 def test_food_mart(inputs):
     calnut_0 = inputs["calnut_1"].select("ALIM_CODE").distinct()
-    rows = {r.ciqual_food_code: r for r in marts.food_mart(calnut_0=calnut_0, **inputs).collect()}
+    rows = {r.ciqual_food_code: r for r in marts.food_mart(calnut_0=calnut_0, **{k: v for k, v in inputs.items() if k != "price_columns"}).collect()}
     assert set(rows) == {20516, 20904}
     assert (round(rows[20904].protein, 4), rows[20904].protein_origin) == (13.4, "ciqual_A_83108")
     assert (rows[20516].price, rows[20516].price_count) == (0.20499999821186066, 3)

@@ -13,7 +13,7 @@ ROWS = [(0.5, 2.0, 4, 3), (-0.25, 1.5, 1, 6), (0.0, -2.5, 3, 2), (2.675, 7.5, 0,
 SAME_AS_SQL = [
     "x + y", "x - y", "x * y", "x / y", "x / 0", "x // y", "n // k", "-n // k", "n % k", "x ** 2", "x ^ 2", "2 ^ n",
     "n & k", "n | k", "n << k", "n >> 1", "~n", "n!", "(n + 1)! * 2", "@(x)", "@(x - y)", "abs(x)", "acos(x)",
-    "acosh(y)", "add(x, y)", "asin(x)", "asinh(x)", "atan(x)", "atan2(y, x)", "bit_count(n)", "cbrt(x)",
+    "acosh(y)", "add(x, y)", "asin(x)", "asinh(x)", "atan(x)", "atanh(x)", "x % y", "atan2(y, x)", "bit_count(n)", "cbrt(x)",
     "ceil(x)", "ceiling(y)", "cos(x)", "cot(y)", "degrees(pi())", "divide(n, k)", "divide(x, y)", "even(x)", "even(y)",
     "exp(x)", "factorial(n)", "fdiv(x, y)", "fdiv(n, k)", "floor(x)", "fmod(x, y)", "fmod(n, k)", "gamma(y)",
     "gcd(n, k)", "greatest_common_divisor(n, k)", "greatest(x, y, n)", "isfinite(x)", "isinf(x)", "isnan(x)",
@@ -26,6 +26,110 @@ SAME_AS_SQL = [
 ]
 
 
+# The objectives that have to be accepted, and those that have to be refused.
+CORPUS_ACCEPTED = [
+    "x",
+    "27",
+    "3.14",
+    "-1",
+    "1e-6",
+    "x + y",
+    "x - y",
+    "x * y",
+    "x / y",
+    "x // y",
+    "x % y",
+    "x ** y",
+    "x ^ y",
+    "x & y",
+    "x | y",
+    "x << y",
+    "x >> y",
+    "~x",
+    "n!",
+    "@(x)",
+    "abs(x)",
+    "acos(x)",
+    "acosh(x)",
+    "add(x,y)",
+    "asin(x)",
+    "asinh(x)",
+    "atan(x)",
+    "atanh(x)",
+    "atan2(y,x)",
+    "bit_count(x)",
+    "cbrt(x)",
+    "ceil(x)",
+    "ceiling(x)",
+    "cos(x)",
+    "cot(x)",
+    "degrees(pi())",
+    "divide(x,y)",
+    "even(x)",
+    "exp(x)",
+    "factorial(n)",
+    "fdiv(x,y)",
+    "floor(x)",
+    "fmod(x,y)",
+    "gamma(x)",
+    "gcd(x,y)",
+    "greatest_common_divisor(x,y)",
+    "greatest(x1,x2,x3)",
+    "isfinite(x)",
+    "isinf(x)",
+    "isnan(x)",
+    "lcm(x,y)",
+    "least_common_multiple(x,y)",
+    "least(x1,x2,x3)",
+    "lgamma(x)",
+    "ln(x)",
+    "log(x)",
+    "log10(x)",
+    "log2(x)",
+    "multiply(x,y)",
+    "nextafter(x,y)",
+    "pi()",
+    "pow(x,y)",
+    "power(x,y)",
+    "radians(x)",
+    "random()",
+    "round_even(x,0)",
+    "round(x,2)",
+    "setseed(x)",
+    "sign(x)",
+    "signbit(x)",
+    "sin(x)",
+    "sqrt(x)",
+    "subtract(x,y)",
+    "tan(x)",
+    "trunc(x)",
+    "xor(x,y)",
+    "round(  2.71828  , 3   )",
+    "(sin(x) + cos(y)) / 2",
+    "sqrt(pow(x,2) + pow(y,2))",
+    "3.14159e0 * r ** 2",
+    "/* block-comment */ exp(2)",
+]
+CORPUS_REFUSED = [
+    "sin(1); drop table users;",
+    "select 1",
+    "drop table users;",
+    "insert into table values (1,2,3)",
+    "update table set column = value",
+    "delete from table where condition",
+    "create table new_table (id int,name string)",
+    "alter table existing_table add column new_column int",
+    "drop index idx_name",
+    "select * from secrets where 1",
+    "grant all privileges on db.* to 'evil'@'%'",
+    "exec master..xp_cmdshell 'dir'",
+    "system('shutdown -h now')",
+    "drop database prod; commit;",
+    "union select password from users",
+    "sqrt(16",
+]
+
+
 @pytest.mark.parametrize("text", SAME_AS_SQL)
 def test_syntax_accepted(text):
     assert check_syntax(text) == (True, "Valid objective.")
@@ -53,14 +157,16 @@ def test_values_equal_sql(spark, duck):
     assert not wrong
 
 
+@pytest.mark.parametrize("text", CORPUS_ACCEPTED)
+def test_corpus_accepted(text):
+    assert check_syntax(text) == (True, "Valid objective.")
+
+
 @pytest.mark.parametrize(
     "text",
     [
-        "sin(1); drop table users;", "select 1", "drop table users;", "insert into t values (1,2)",
-        "update t set c = v", "delete from t where c", "create table t (id int)", "select * from s where 1",
-        "grant all privileges on db.* to 'evil'@'%'", "system('shutdown -h now')", "drop database prod; commit;",
-        "union select password from users", "sqrt(16", "x.y", "[x]", "x if y else n", "not x", "(x, y)", "lambda: 1",
-        "__import__(x)", "f(x)", "sqrt(x, y)", "x = 1", "", "x and y", "1j", "*x", "x!!y", "@", "!x", "pi(*x)",
+        *CORPUS_REFUSED, "x.y", "[x]", "x if y else n", "not x", "(x, y)", "lambda: 1", "__import__(x)", "f(x)", "sqrt(x, y)", "x = 1",
+        "", "x and y", "1j", "*x", "x!!y", "@", "!x", "pi(*x)",
     ],
 )
 def test_syntax_refused(text):

@@ -14,8 +14,8 @@ from larder.operators import ordered as O
 from larder.operators import pricing as P
 from larder.operators import quality as Q
 from larder.operators import sets as S
-from larder.operators.units import conversion_factors, convert_units
-from larder.runtime import bounded_rows, broadcast_within, shared_folder
+from larder.operators.units import convert_units
+from larder.runtime import Scratch, shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -38,12 +38,11 @@ def by_key(rows):
 def test_lookup_and_salted_join_by_shuffle(skewed, spark):
     rows, df = skewed
     dim = spark.createDataFrame([("hot", 1), ("a", 2), (None, 3), ("c", 4)], "name string, n int")
-    for max_rows in (2, 100):
-        got = {r.id: r.n for r in J.lookup(df, dim, "key", "name", "id", max_rows).collect()}
-        assert got == {r[0]: {"hot": 1, "a": 2}.get(r[1]) for r in rows}
-        joined = J.salted_join(df, dim.withColumnRenamed("name", "key"), "key", "id", max_rows).collect()
-        assert {r.id: r.n for r in joined} == {r[0]: {"hot": 1, "a": 2}[r[1]] for r in rows if r[1] in ("hot", "a")}
-        assert len(joined) == len([r for r in rows if r[1] in ("hot", "a")])
+    got = {r.id: r.n for r in J.lookup(df, dim, "key", "name", "id").collect()}
+    assert got == {r[0]: {"hot": 1, "a": 2}.get(r[1]) for r in rows}
+    joined = J.salted_join(df, dim.withColumnRenamed("name", "key"), "key", "id").collect()
+    assert {r.id: r.n for r in joined} == {r[0]: {"hot": 1, "a": 2}[r[1]] for r in rows if r[1] in ("hot", "a")}
+    assert len(joined) == len([r for r in rows if r[1] in ("hot", "a")])
 
 
 def test_exact_median(skewed):
@@ -147,8 +146,8 @@ def test_rules(spark):
 def test_units(spark):
     table = spark.createDataFrame([("g", "g", 1.0), ("mg", "g", 0.001), ("kJ", "kcal", 0.239)], "from_unit string, to_unit string, conversion_factor double")
     df = spark.createDataFrame([(2.0, "g", "mg"), (1.0, "kJ", "g"), (3.0, "IU", "IU"), (3.0, "IU", "g"), (1.0, None, "g")], "v double, u string, w string")
-    got = convert_units(df, "v", "u", "w", conversion_factors(table), "c")
-    assert [r.c for r in got.collect()] == [2000.0, None, 3.0, None, None]
+    got = convert_units(df, "v", "u", "w", table, "c")
+    assert {(r.u, r.w): r.c for r in got.collect()} == {("g", "mg"): 2000.0, ("kJ", "g"): None, ("IU", "IU"): 3.0, ("IU", "g"): None, (None, "g"): None}
 
 
 def test_brush(spark):
@@ -178,15 +177,32 @@ def test_numeric_edges(spark):
     assert got[1][2] == float("inf") and got[2][2] is None
 
 
-def test_small_tables_are_counted(spark):
-    assert len(bounded_rows(spark.range(5), 5)) == 5
-    with pytest.raises(ValueError):
-        bounded_rows(spark.range(6), 5)
-    hinted = broadcast_within(spark.range(5), 5)._jdf.queryExecution().logical().toString()
-    plain = broadcast_within(spark.range(6), 5)._jdf.queryExecution().logical().toString()
-    assert "Hint" in hinted and "Hint" not in plain
-    with pytest.raises(ValueError):
-        A.grouped_structs(spark.range(6).withColumn("k", F.lit(1)), "k", ["id"], "ids", 5)
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    folder = Path(shared_folder(spark))
+    before = set(folder.iterdir())
+    scratch = Scratch(spark)
+    kept, gone = scratch.table(spark.range(3)), scratch.table(spark.range(4))
+    assert len(set(folder.iterdir()) - before) == 2
+    scratch.close(kept)
+    assert len(set(folder.iterdir()) - before) == 1
+    assert kept.count() == 3
+    scratch.drop(kept, gone)
+    assert set(folder.iterdir()) == before
+
+
+def test_gamma_is_accurate(spark):
+    import math
+
+    values = [0.5, 1.0, 1.5, 2.0, 3.7, 5.0, 23.0, 24.0, 100.5, 171.0, -0.5, -3.7, 1e-5]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", numeric.gamma(F.col("x")), numeric.lgamma(F.col("x"))).collect()
+    for x, g, lg in got:
+        assert g == pytest.approx(math.gamma(x), rel=2e-13)
+        assert lg == pytest.approx(math.lgamma(x), rel=1e-12, abs=1e-13)
+    edge = spark.createDataFrame([(v,) for v in (0.0, -1.0, 172.0, float("inf"))], "x double").select(numeric.gamma(F.col("x")), numeric.lgamma(F.col("x"))).collect()
+    assert [r[0] for r in edge] == [math.inf, None, math.inf, math.inf]  # no value is NULL here
+    assert [math.isinf(r[1]) for r in edge] == [True, True, False, True]
 
 
 def test_shared_folder_is_one_per_session(spark):

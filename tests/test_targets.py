@@ -149,8 +149,9 @@ def test_match_label_names(spark):
 
 
 def test_product_facts_and_segments(spark):
-    mart = spark.createDataFrame([(1, 2.00049, "product"), (2, 5.0, "x")], "price_id int, protein double, protein_origin string")
-    facts = reports.product_facts(mart, 1, map_rows(spark, PROTEIN), ["protein"]).collect()
+    rows = [(1, "b", 7, 2.00049, "product"), (1, "c", 7, 9.0, "y"), (1, "b", 8, 9.0, "z"), (2, "a", 7, 5.0, "x")]
+    mart = spark.createDataFrame(rows, "price_id int, product_code string, location_id int, protein double, protein_origin string")
+    facts = reports.product_facts(mart, mart.where("price_id = 1"), map_rows(spark, PROTEIN), ["protein"]).collect()
     assert [(r.name, r.value, r.unit, r.origin, r.nutrient_type) for r in facts] == [("Protein", 2.0, "g", "product", "macro")]
     diet = spark.createDataFrame([("s", 1, 3.0), ("s", 2, 1.0), ("s", 3, 6.0)], "scenario string, rank int, protein double")
     bars = {r["rank"]: (r.start_value, r.end_value) for r in reports.nutrient_segments(diet, ["scenario"], "rank", ["protein"]).collect()}

@@ -1,5 +1,5 @@
 """Every operator wired to the test tables, each with the SQL that checks it."""
 
-from workload import diet_queries, marts, pricing, relations, targets
+from workload import diet_queries, loaders, marts, pricing, relations, targets
 
-MODULES = [marts, pricing, relations, targets, diet_queries]
+MODULES = [marts, pricing, relations, targets, diet_queries, loaders]

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.objective import compile_objective
 from larder.plans import diets as D
 from larder.plans import reports as R
-from larder.runtime import materialize
 from workload import inputs as I
-from workload.marts import CHOICE_INPUTS, FOOD, STEPS, _picked, build_price_mart
+from workload.marts import CHOICE_INPUTS, PER_100_G, PROFILES, SELLABLE, STEPS, build_price_mart
 
 # Objectives over line items.
 OBJECTIVES = {
@@ -111,19 +108,31 @@ def diet_infeasible(spark, folder):
     return solved.scenarios.select("scenario", "status")
 
 
+def diet_two_bounds(spark, folder):
+    """Lower bounds on two nutrients: an optimum buys one or two products, which SQL can try out."""
+    bounds = _bounds(_brands(spark, folder), {"protein": (60.0, None), "fat": (70.0, None)})
+    solved = D.optimize_diets(_offers(spark, folder), bounds, ["protein", "fat"])
+    return I.rounded(solved.scenarios.select("scenario", "status", "objective"), 6, "objective")
+
+
+#: With one bound that binds, the optimum is the offer of the best price per gram.
+NEEDED = 50.0
+ZONE_BOUNDS = {"protein": (NEEDED, None), "fat": (None, 1e9)}
+
+
 def _solved_from_mart(spark, folder):
-    """Diets per currency zone from the price mart, written as a table: a zone's shops are its scenario's locations."""
-    mart = materialize(build_price_mart(spark, folder, dedupe=True))
-    zones = mart.select(F.col("product_currency").alias("scenario"), "location_id").distinct()
-    candidates = D.scenario_candidates(mart, zones, NUTRIENTS, OBJECTIVE)
-    bounds = _bounds(zones.select("scenario").distinct(), {"energy_fibre_kcal": (2000.0, 3000.0), "protein": (50.0, 300.0), "fat": (20.0, 100.0)})
-    return mart, bounds, D.optimize_diets(candidates, bounds, NUTRIENTS)
+    """Diets per currency zone from the price mart: a zone's shops are its scenario's places."""
+    mart = build_price_mart(spark, folder)
+    item = F.concat_ws("-", "price_id", "product_code", "location_id", "price_date", F.col("product_quantity").cast("int"))
+    zones = mart.select(F.col("product_currency").alias("scenario"), F.col("location_id").alias("place")).distinct()
+    bounds = _bounds(zones.select("scenario").distinct(), ZONE_BOUNDS)
+    solved = D.optimize_diets(D.place_candidates(mart, NUTRIENTS, OBJECTIVE, item), bounds, NUTRIENTS, zones)
+    return mart.withColumn("item", item), bounds, solved
 
 
 def diet_report(spark, folder):
     mart, _, solved = _solved_from_mart(spark, folder)
-    offers = mart.dropDuplicates(["price_id"])
-    return D.diet_report(solved, offers)
+    return I.widened(D.diet_report(solved, mart), "ciqual_code")
 
 
 def binding_constraints(spark, folder):
@@ -154,13 +163,10 @@ def nutrient_segments(spark, folder):
 
 def product_facts(spark, folder):
     """All nutrient rows of the mart's latest price, found by its id."""
-    mart = build_price_mart(spark, folder, dedupe=True)
-    names = reduce(DataFrame.union, [
-        I.table(spark, folder, "region").where("r_regionkey = 0").selectExpr(
-            f"'{n}' AS id", f"'Name of {n}' AS name", f"'{t}' AS nutrient_type", f"'{u}' AS ciqual_unit")
-        for n, t, u in (("protein", "macro", "g"), ("fat", "macro", "g"), ("calcium", "mineral", "mg"))
-    ])
-    latest = mart.agg(F.max("price_id")).first()[0]
+    mart = build_price_mart(spark, folder)
+    rows = [(n, f"Name of {n}", t, u) for n, t, u in (("protein", "macro", "g"), ("fat", "macro", "g"), ("calcium", "mineral", "mg"))]
+    names = spark.createDataFrame(rows, "id string, name string, nutrient_type string, ciqual_unit string")
+    latest = mart.agg(F.max("price_id").alias("price_id"))
     return R.product_facts(mart, latest, names, ["protein", "fat", "calcium"])
 
 
@@ -170,6 +176,7 @@ QUERIES = {
     "candidate_products": candidate_products,
     "lp_input_matrix": lp_input_matrix,
     "diet_one_bound": diet_one_bound,
+    "diet_two_bounds": diet_two_bounds,
     "diet_certificates": diet_certificates,
     "diet_infeasible": diet_infeasible,
     "diet_report": diet_report,
@@ -186,8 +193,14 @@ def _sql_text(text: str) -> str:
     return text.replace("~l_linenumber", "(~l_linenumber)").replace("@(", "abs(")
 
 
-_MART_FROM = """FROM prices pr JOIN wide w ON w.code = pr.product_code JOIN products p ON p.code = pr.product_code JOIN rates ex USING (currency)"""
-_WIDE = ("wide", f"SELECT code, ciqual_food_code, {_picked(I.IDS)} FROM choice GROUP BY code, ciqual_food_code")
+# Every offer with its objective: what the diets and the candidate list choose from.
+_PRICED = ("priced", f"""SELECT price * (1 + CAST(calcium AS DOUBLE) / 1000) AS objective, * FROM (
+    SELECT *, {PER_100_G} AS price FROM offers WHERE {SELLABLE} AND shelf > 0) AS o JOIN profiles ON code = part
+    LEFT JOIN food_about ON described = profile_food""")
+_OFFER = """offer AS price_id, part AS product_code, product_name, CAST(described AS DOUBLE) AS ciqual_code, alim_nom_eng AS ciqual_name,
+  coalesce(color, '#ffffff') AS color, price, shop_name AS location_osm_display_name, shop_osm AS location_osm_id"""
+_AMOUNTS = {n: f"coalesce(CAST({n} AS DOUBLE), 0)" for n in NUTRIENTS}
+_SHOWN = ", ".join(f"round_even({amount} * bought, 4) AS {n}" for n, amount in _AMOUNTS.items())
 
 SQL = {
     "objective_value": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, "
@@ -197,22 +210,44 @@ SQL = {
     + ", ".join(f"round({t}, 6) AS {n}" for n, t in TRANSCENDENT.items())
     + " FROM lineitem",
     "candidate_products": I.sql(
-        CHOICE_INPUTS + ["rates", "ciqual_alim", "colors"],
-        f"""SELECT price * (1 + CAST(calcium AS DOUBLE) / 1000) AS objective, * EXCLUDE (calcium, location_id, ciqual_group_code,
-          ciqual_subgroup_code, ciqual_subsubgroup_code)
-        FROM (SELECT {', '.join(f'CAST(w.{n} AS DOUBLE) AS {n}' for n in NUTRIENTS)}, CAST(w.calcium AS DOUBLE) AS calcium, pr.id AS price_id,
-          p.code AS product_code, p.product_name, {FOOD}, 100 * pr.price / p.product_quantity / ex.rate AS price,
-          location_osm_display_name, location_osm_id, location_id {_MART_FROM}
-          LEFT JOIN ciqual_alim ciq ON ciq.alim_code = w.ciqual_food_code LEFT JOIN colors sc ON sc.ssgrp = ciq.alim_ssgrp_code
-          WHERE pr.price > 0 AND p.product_quantity > 0 AND p.product_quantity < 30000)
-        WHERE location_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)""",
+        CHOICE_INPUTS + ["offers", "food_about"],
+        f"""SELECT objective, {', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in NUTRIENTS)},
+          {_OFFER}
+        FROM priced WHERE shop IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)""",
         *STEPS,
-        _WIDE,
+        PROFILES,
+        _PRICED,
     ),
     "lp_input_matrix": """SELECT p_partkey AS item, 0 AS row, 'a' AS nutrient_id, CAST(CAST(p_size / 2 AS FLOAT) AS DOUBLE) AS amount FROM part
       UNION ALL SELECT p_partkey, 1, 'p_retailprice', CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) FROM part""",
     "diet_one_bound": """SELECT p_brand AS scenario, 'optimal' AS status, round(60 * min(l_extendedprice / l_quantity / 100 / p_size), 6) AS objective
       FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY p_brand""",
+    # A part's cheapest offer is all that matters of it; an optimum buys one part, or two that meet both bounds exactly.
+    "diet_two_bounds": """WITH best AS (SELECT p_brand AS brand, p_partkey AS part, CAST(p_size AS DOUBLE) AS p, CAST(p_partkey * 7 % 90 + 1 AS DOUBLE) AS f,
+        min(l_extendedprice / l_quantity / 100) AS cost FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY ALL),
+      tried AS (SELECT brand, cost * greatest(60 / p, 70 / f) AS total FROM best
+        UNION ALL SELECT brand, a.cost * (60 * b.f - 70 * b.p) / (a.p * b.f - b.p * a.f) + b.cost * (70 * a.p - 60 * a.f) / (a.p * b.f - b.p * a.f)
+        FROM best a JOIN best b USING (brand) WHERE a.p * b.f - b.p * a.f > 1e-9 AND 60 * b.f - 70 * b.p >= 0 AND 70 * a.p - 60 * a.f >= 0)
+      SELECT p_brand AS scenario, if(min(total) IS NULL, 'infeasible', 'optimal') AS status, round(min(total), 6) AS objective
+      FROM (SELECT DISTINCT p_brand FROM part) LEFT JOIN tried ON brand = p_brand GROUP BY p_brand""",
+    "diet_report": I.sql(
+        CHOICE_INPUTS + ["offers", "food_about"],
+        f"""SELECT zone AS scenario, offer AS id, part AS product_code, product_name, alim_nom_eng AS ciqual_name, CAST(described AS DOUBLE) AS ciqual_code,
+          coalesce(color, '#ffffff') AS color, array_to_string(split(shop_name, ', ')[:3], ', ') AS location, shop_osm AS location_osm_id,
+          round_even(100 * bought, 1) AS quantity_g, round_even(price * bought, 2) AS price, {_SHOWN}
+        FROM (SELECT *, {NEEDED} / CAST(protein AS DOUBLE) AS bought FROM priced WHERE objective IS NOT NULL AND protein > 0)
+        QUALIFY row_number() OVER (PARTITION BY zone ORDER BY objective * bought, offer, part, shop, seen) = 1""",
+        *STEPS,
+        PROFILES,
+        _PRICED,
+    ),
+    "binding_constraints": I.sql(
+        CHOICE_INPUTS + ["offers", "food_about"],
+        "SELECT DISTINCT zone AS scenario, 'protein' AS nutrient_id FROM priced WHERE objective IS NOT NULL AND protein > 0",
+        *STEPS,
+        PROFILES,
+        _PRICED,
+    ),
     "diet_certificates": "SELECT DISTINCT p_brand AS scenario, TRUE AS proven FROM part",
     "diet_infeasible": "SELECT DISTINCT p_brand AS scenario, 'infeasible' AS status FROM part",
     "macro_summary": """WITH s AS (SELECT l_returnflag, sum(l_quantity) AS p, sum(l_linenumber * 1.0::DOUBLE) AS c, sum(round(l_discount * 100)) AS f
@@ -227,12 +262,11 @@ SQL = {
       FROM (SELECT *, sum(level) OVER (PARTITION BY l_suppkey, nutrient_id ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC,
         l_partkey DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC ROWS UNBOUNDED PRECEDING) AS end_value FROM l)""",
     "product_facts": I.sql(
-        CHOICE_INPUTS + ["rates"],
-        """SELECT price_id, CASE nutrient_id WHEN 'calcium' THEN 'mineral' ELSE 'macro' END AS nutrient_type, nutrient_id AS id,
-          'Name of ' || nutrient_id AS name, CAST(round(CAST(value AS DOUBLE), 3) AS DOUBLE) AS value, CASE nutrient_id WHEN 'calcium' THEN 'mg' ELSE 'g' END AS unit, origin
-        FROM (SELECT max(pr.id) AS price_id, arg_max(p.code, pr.id) AS code FROM prices pr JOIN products p ON p.code = pr.product_code JOIN rates ex USING (currency)
-          WHERE pr.price IS NOT NULL AND p.product_quantity > 0 AND p.product_quantity < 30000) m
-        JOIN choice USING (code) WHERE nutrient_id IN ('protein', 'fat', 'calcium')""",
+        CHOICE_INPUTS + ["offers"],
+        f"""SELECT price_id, CASE nutrient_id WHEN 'calcium' THEN 'mineral' ELSE 'macro' END AS nutrient_type, nutrient_id AS id,
+          'Name of ' || nutrient_id AS name, CAST(round(CAST(value AS DOUBLE), 3) AS DOUBLE) AS value, if(nutrient_id = 'calcium', 'mg', 'g') AS unit, origin
+        FROM choice JOIN (SELECT offer AS price_id, min(part) AS code FROM offers WHERE {SELLABLE} GROUP BY offer ORDER BY offer DESC LIMIT 1) USING (code)
+        WHERE nutrient_id IN ('protein', 'fat', 'calcium')""",
         *STEPS,
     ),
 }

@@ -26,6 +26,11 @@ IDS = ["energy_fibre_kcal", "protein", "fat", "calcium", "iodine", "folates"]
 CONST_CODES = {"view": 1, "click": 2, "purchase": 3, "signup": 4, "error": 5}
 
 
+#: Columns of the price table that the test tables have something for.
+PRICE_COLUMNS = [
+    "id", "price", "currency", "location_id", "location_osm_id", "location_osm_display_name", "location_osm_lat", "location_osm_lon", "date",
+]
+
 _schemas: dict[tuple[str, str], StructType] = {}
 
 
@@ -191,13 +196,22 @@ SQL = {
     "nutrients": """SELECT * FROM (VALUES ('calcium', NULL, 4, 'mg', 4, 'mg'), ('energy_fibre_kcal', 'energy-kcal', 1, 'kcal', 1, 'kcal'),
         ('fat', 'fat', 2, 'g', 2, 'g'), ('iodine', 'iodine', 5, 'µg', 5, 'mcg'), ('protein', 'proteins', 3, 'g', 3, 'g'))
         AS t(nutrient_id, off_id, qcode, qunit, ncode, nunit)""",
+    # A shelf price with its product and what its currency is worth; one row per catalog row of the product.
+    "offers": """SELECT prices.id AS offer, products.code AS part, currency AS zone, rate AS per_euro, prices.price AS shelf, date AS seen,
+        location_id AS shop, location_osm_id AS shop_osm, location_osm_display_name AS shop_name, location_osm_lat AS north,
+        location_osm_lon AS east, product_name, product_quantity AS grams, product_quantity_unit, p_brand, compared_to_category AS category,
+        ciqual_food_code AS food
+      FROM rates JOIN prices USING (currency) JOIN products ON products.code = product_code""",
+    # What is known about a food besides its nutrients; customers describe it, suppliers give its impacts.
+    "food_about": """SELECT foods.alim_code AS described, foods.alim_nom_eng, foods.alim_grp_code, foods.alim_ssgrp_code, foods.alim_ssssgrp_code,
+        colors.color FROM ciqual_alim AS foods LEFT JOIN colors ON ssgrp = alim_ssgrp_code""",
     "nutrient_map": """SELECT n_name AS id, 'Name of ' || n_name AS name, CASE n_regionkey WHEN 0 THEN 'macro' ELSE 'mineral' END AS nutrient_type,
         CASE WHEN n_nationkey % 2 = 0 THEN 'g' ELSE 'mg' END AS ciqual_unit, CASE WHEN n_regionkey = 3 THEN 'true' END AS disabled,
         n_nationkey, n_regionkey FROM nation""",
 }
 _ORDER = list(SQL)
 _NEEDS = {
-    "prices": ["shops"], "labels": ["products"], "ciqual_compo": ["compositions"], "calnut_1": ["compositions"],
+    "offers": ["prices", "products", "rates"], "food_about": ["ciqual_alim", "colors"], "prices": ["shops"], "labels": ["products"], "ciqual_compo": ["compositions"], "calnut_1": ["compositions"],
 }
 
 

@@ -11,11 +11,10 @@ from larder.operators import pricing as P
 from larder.operators.units import convert_units
 from larder.sources.tables import rates_to_long
 from workload import inputs as I
-from workload.marts import build_price_mart
+from workload.marts import PER_100_G, SELLABLE, build_price_mart
 
 LOCATIONS = list(range(0, 12))
 PLACES = ", ".join(map(str, LOCATIONS))
-FACTORS = {"g": ("g", 1.0), "mg": ("g", 0.001), "µg": ("g", 1e-6), "mcg": ("g", 1e-6), "kcal": ("kcal", 1.0), "kJ": ("kcal", 0.239005736)}
 
 
 def _priced(spark, folder):
@@ -105,14 +104,15 @@ def fx_unpivot(spark, folder):
 
 
 def unit_convert(spark, folder):
-    """Label values of another unit than the map's, converted (opt-in; the marts ignore such labels)."""
-    unit = F.when(F.col("l_linenumber") % 4 == 0, "g").when(F.col("l_linenumber") % 4 == 1, "mcg")
-    wanted = F.when(F.col("l_returnflag") == "A", "mg").when(F.col("l_returnflag") == "N", "µg").otherwise("kcal")
-    lines = I.table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("amount"),
-        unit.alias("unit"), wanted.alias("wanted"),
+    """Amounts in units of nations, which convert to one another within a region (opt-in; the marts ignore other units)."""
+    units = I.table(spark, folder, "nation").selectExpr(
+        "concat('U', n_nationkey) AS from_unit", "concat('R', n_regionkey) AS to_unit", "1 + n_nationkey / 10 AS conversion_factor"
+    )
+    lines = I.table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity AS amount",
+        "concat('U', IF(l_linenumber != 4, l_suppkey % 27, NULL)) AS unit", "concat('U', l_partkey % 25) AS wanted",
     )
-    return I.rounded(convert_units(lines, "amount", "unit", "wanted", FACTORS, "converted"), 6, "converted")
+    return I.rounded(convert_units(lines, "amount", "unit", "wanted", units, "converted"), 6, "converted")
 
 
 QUERIES = {
@@ -130,56 +130,50 @@ QUERIES = {
     "unit_convert": unit_convert,
 }
 
-_JOIN = "FROM prices pr JOIN products p ON p.code = pr.product_code JOIN rates ex USING (currency)"
-_BASE = ["prices", "products", "rates"]
+_PER_KG = "round(1000 * shelf / grams / per_euro, 2)"
 _SHOPS = "SELECT DISTINCT location_id, location_osm_lon AS lon, location_osm_lat AS lat FROM prices"
 _X, _Y = "radians(lon) / (2 * pi())", "-ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())"
 
 SQL = {
     "unit_price": I.sql(
-        _BASE,
-        f"""SELECT pr.id, product_code, location_id, currency, 100 * pr.price / p.product_quantity / ex.rate AS per_100g,
-        round(1000 * pr.price / p.product_quantity / ex.rate, 2) AS per_kg {_JOIN}""",
+        ["offers"],
+        f"SELECT offer AS id, part AS product_code, shop AS location_id, zone AS currency, {PER_100_G} AS per_100g, {_PER_KG} AS per_kg FROM offers",
     ),
     "prices_at_locations": I.sql(
-        _BASE,
-        f"""SELECT p.code AS product_code, pr.id AS price_id, location_id, compared_to_category AS category,
-        split_part(location_osm_display_name, ',', 1) AS location_name, product_name, pr.price AS product_price,
-        CAST(product_quantity AS DOUBLE) AS product_quantity, round(1000 * pr.price / p.product_quantity / ex.rate, 2) AS price_per_kg, CAST(date AS VARCHAR) AS date
-        {_JOIN} WHERE location_id IN ({PLACES}) AND product_name ILIKE '%rIng%' ORDER BY price_per_kg""",
+        ["offers"],
+        f"""SELECT part AS product_code, offer AS price_id, shop AS location_id, category, split_part(shop_name, ',', 1) AS location_name,
+        product_name, shelf AS product_price, CAST(grams AS DOUBLE) AS product_quantity, {_PER_KG} AS price_per_kg, CAST(seen AS VARCHAR) AS date
+        FROM offers WHERE shop IN ({PLACES}) AND lower(product_name) LIKE '%ring%' ORDER BY price_per_kg""",
     ),
     "mart_prices_at_locations": I.sql(
-        _BASE,
-        f"""SELECT p.product_name, split_part(location_osm_display_name, ',', 1) AS location_name,
-        round(100 * pr.price / p.product_quantity / ex.rate * 10, 2) AS eur_price_per_kg, pr.price AS product_price, currency,
-        CAST(p.product_quantity AS DOUBLE) AS product_quantity_g, pr.product_code, pr.id AS price_id, location_id, CAST(date AS VARCHAR) AS price_date
-        FROM prices pr JOIN products p ON p.code = pr.product_code JOIN rates ex USING (currency)
-        JOIN (SELECT DISTINCT code, ciqual_food_code FROM products) w ON w.code = pr.product_code
-        WHERE location_id IN ({PLACES}) AND pr.price IS NOT NULL AND p.product_quantity > 0 AND p.product_quantity < 30000""",
+        ["offers"],
+        f"""SELECT product_name, split_part(shop_name, ',', 1) AS location_name, round({PER_100_G} * 10, 2) AS eur_price_per_kg,
+        shelf AS product_price, zone AS currency, CAST(grams AS DOUBLE) AS product_quantity_g, part AS product_code, offer AS price_id,
+        shop AS location_id, CAST(seen AS VARCHAR) AS price_date
+        FROM offers JOIN (SELECT code, count(DISTINCT coalesce(ciqual_food_code, -1)) AS profiles FROM products GROUP BY code) ON code = part,
+          range(profiles) WHERE shop IN ({PLACES}) AND {SELLABLE}""",
     ),
     "category_location_matrix": I.sql(
-        _BASE,
+        ["offers"],
         _matrix_sql(),
-        ("offers", f"""SELECT pr.id, compared_to_category AS category, location_id,
-            round(1000 * pr.price / p.product_quantity / ex.rate, 2) AS per_kg {_JOIN}
-          WHERE location_id IN ({PLACES}) AND p.product_quantity > 0 AND compared_to_category IS NOT NULL AND pr.price IS NOT NULL"""),
-        ("ranked", "SELECT *, rank() OVER (PARTITION BY category, location_id ORDER BY per_kg) AS rank FROM offers"),
+        ("shown", f"""SELECT offer AS id, category, shop AS location_id, {_PER_KG} AS per_kg FROM offers
+          WHERE shop IN ({PLACES}) AND grams > 0 AND category IS NOT NULL AND shelf IS NOT NULL"""),
+        ("ranked", "SELECT *, rank() OVER (PARTITION BY category, location_id ORDER BY per_kg) AS rank FROM shown"),
     ),
     "location_catalog": I.sql(
-        _BASE,
-        f"""SELECT location_id AS id, location_osm_lat AS lat, location_osm_lon AS lon, location_osm_display_name AS name, count(*) AS count
-        {_JOIN} WHERE pr.price IS NOT NULL AND p.product_quantity > 0 AND p.product_quantity < 30000 GROUP BY ALL""",
+        ["offers"],
+        f"""SELECT shop AS id, north AS lat, east AS lon, shop_name AS name, count(*) AS count FROM offers WHERE {SELLABLE} GROUP BY ALL""",
     ),
     "location_names": I.sql(
         ["prices"],
         """SELECT CAST(list_position([7, 3, 5, 0], location_id) AS BIGINT) AS position, location_id, split_part(any_value(location_osm_display_name), ', ', 1) AS name
         FROM prices GROUP BY location_id HAVING location_id IN (7, 3, 5, 0)""",
     ),
-    "currency_counts": I.sql(_BASE, f"SELECT currency, count(*) AS count {_JOIN} WHERE pr.price IS NOT NULL GROUP BY currency"),
+    "currency_counts": I.sql(["offers"], "SELECT zone AS currency, count(shelf) AS count FROM offers GROUP BY zone HAVING count(shelf) > 0"),
     "median_price": I.sql(
-        _BASE,
-        f"""SELECT p_brand, median(100 * pr.price / p.product_quantity / ex.rate) AS median_price, count(pr.price) AS price_count
-        {_JOIN} WHERE product_quantity BETWEEN 1 AND 30000 AND pr.price IS NOT NULL GROUP BY p_brand""",
+        ["offers"],
+        f"""SELECT p_brand, quantile_cont({PER_100_G}, 0.5) AS median_price, count(shelf) AS price_count FROM offers
+        WHERE grams >= 1 AND grams <= 30000 AND shelf IS NOT NULL GROUP BY p_brand""",
     ),
     "bbox_select": I.sql(
         ["prices"],
@@ -194,9 +188,9 @@ SQL = {
     "fx_unpivot": """SELECT '2025-07-04' AS date, o_orderpriority AS currency, round(max(o_totalprice), 2) AS rate FROM orders GROUP BY 2
       UNION ALL SELECT '2025-07-04', 'EUR', 1.0""",
     "unit_convert": """WITH u AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS amount,
-        CASE l_linenumber % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'mcg' END AS unit,
-        CASE l_returnflag WHEN 'A' THEN 'mg' WHEN 'N' THEN 'µg' ELSE 'kcal' END AS wanted FROM lineitem),
-      f AS (SELECT * FROM (VALUES ('g', 'g', 1.0), ('mg', 'g', 0.001), ('µg', 'g', 1e-6), ('mcg', 'g', 1e-6), ('kcal', 'kcal', 1.0)) AS t(u, base, factor))
-      SELECT u.*, round(CASE WHEN a.base = b.base THEN amount * a.factor / b.factor END, 6) AS converted
-      FROM u LEFT JOIN f a ON a.u = unit LEFT JOIN f b ON b.u = wanted""",
+        CASE WHEN l_linenumber <> 4 THEN l_suppkey % 27 END AS have, l_partkey % 25 AS want FROM lineitem)
+      SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, amount, 'U' || have AS unit, 'U' || want AS wanted,
+        round(CASE WHEN have = want THEN amount WHEN a.n_regionkey = b.n_regionkey
+          THEN amount * (1 + a.n_nationkey / 10) / (1 + b.n_nationkey / 10) END, 6) AS converted
+      FROM u LEFT JOIN nation a ON a.n_nationkey = have LEFT JOIN nation b ON b.n_nationkey = want""",
 }

@@ -28,9 +28,8 @@ def anti_unpriced(spark, folder):
 
 def in_unnest(spark, folder):
     """Orders whose priority is in a list that is itself a table column."""
-    wanted = I.table(spark, folder, "region").where("r_regionkey = 0").select(
-        F.explode(F.array(F.lit("1-URGENT"), F.lit("5-LOW"))).alias("o_orderpriority")
-    )
+    lists = I.table(spark, folder, "region").select(F.array(F.concat(F.col("r_regionkey") + 1, F.lit("-URGENT")), F.concat(F.lit("5-"), F.upper("r_name"))).alias("wanted"))
+    wanted = lists.select(F.explode("wanted").alias("o_orderpriority")).unionByName(lists.select(F.lit("5-LOW").alias("o_orderpriority")))
     return I.table(spark, folder, "orders").join(wanted, "o_orderpriority", "left_semi")
 
 
@@ -137,8 +136,8 @@ def row_numbers(spark, folder):
 
 
 def column_profile(spark, folder):
-    lines = I.table(spark, folder, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    profile = A.column_profile(lines)
+    """Every numeric column of the lines."""
+    profile = A.column_profile(I.table(spark, folder, "lineitem"))
     return profile.select("column_name", "min", "max", two_decimals(F.col("mean")).alias("mean"))
 
 
@@ -154,9 +153,14 @@ def column_catalog(spark, folder):
     return A.column_catalog(lines, "l_extended.....|l_quantity")
 
 
+TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
+    "labels", "conversations",
+]
+
+
 def table_inventory(spark, folder):
-    names = ("part", "orders", "lineitem", "events")
-    return A.table_inventory({n: I.table(spark, folder, n) for n in names})
+    return A.table_inventory({n: I.table(spark, folder, n) for n in TABLES})
 
 
 def nutrient_map_counts(spark, folder):
@@ -318,8 +322,8 @@ SQL = {
         OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS section FROM events""",
     "row_numbers": "SELECT p_partkey, p_name, p_retailprice, row_number() OVER (ORDER BY p_name DESC, p_partkey) AS row_num FROM part",
     "column_profile": " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, min({c}) AS min, max({c}) AS max, printf('%.2f', CAST(avg({c}) AS FLOAT)) AS mean FROM lineitem"
-        for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+        f"SELECT '{c}' AS column_name, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, printf('%.2f', CAST(avg({c}) AS FLOAT)) AS mean FROM lineitem"
+        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     ),
     "column_catalog": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, '{t}' AS comment, min({c}) AS min, max({c}) AS max, printf('%.2f', CAST(avg({c}) AS FLOAT)) AS mean FROM lineitem"
@@ -327,7 +331,10 @@ SQL = {
     ),
     "table_inventory": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS n_rows, {n} AS n_cols, count(*) * {n} AS n_cells FROM {t}"
-        for t, n in (("part", 6), ("orders", 6), ("lineitem", 11), ("events", 6))
+        for t, n in (
+            ("region", 2), ("nation", 3), ("customer", 5), ("supplier", 4), ("part", 6), ("orders", 6), ("lineitem", 11), ("events", 6),
+            ("documents", 5), ("embeddings", 3), ("pages", 3), ("benchmark", 2), ("labels", 3), ("conversations", 4),
+        )
     ),
     "nutrient_map_counts": I.sql(
         ["labels", "nutrient_map"],
