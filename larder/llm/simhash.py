@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.runtime import materialize
+from larder.runtime import Scratch, materialize
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -184,13 +184,14 @@ def connected(links: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: every node's larger neighbours, then every node's
     smaller ones, are tied to its smallest neighbour. A node's neighbours are reduced by min, never
-    gathered, and each round is written to the shared folder.
+    gathered. Each round is written to the shared folder, and the one before it deleted.
     """
 
     def smallest(edges: DataFrame) -> DataFrame:
         return edges.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
 
-    edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"))
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.table(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -199,7 +200,9 @@ def connected(links: DataFrame) -> DataFrame:
         down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         tied = down.join(smallest(down), "u")
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tied.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        after = scratch.table(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        scratch.drop(edges)
+        edges = after
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break

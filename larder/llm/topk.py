@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.vectors import best_of, matrix, usable
-from larder.runtime import materialize
+from larder.runtime import Scratch, materialize
 
 PIVOTS = 32
 SAMPLE = 4096  # vectors that pivots are chosen from
@@ -126,17 +126,21 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, pivots: i
     asked = queries.count()
     chunks = max(1, -(-asked // QUERIES_AT_ONCE))
     queries = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)))
+    scratch = Scratch(spark)
     best = None
     done, width_of_round = 0, 1
     while done < len(annuli.pivot):
         stop = min(len(annuli.pivot), done + width_of_round)
         visits = _visits(queries, best, annuli, points, width, most, done, stop)
         if done:
-            visits = materialize(visits)
+            visits = scratch.table(visits)
             if visits.isEmpty():
+                scratch.drop(visits)
                 break
         found = _search(visits, index, width, k, annuli)
-        best = materialize(best_of(found if best is None else found.unionByName(best.drop("rank")), k, ascending=False))
+        better = scratch.table(best_of(found if best is None else found.unionByName(best.drop("rank")), k, ascending=False))
+        scratch.close(better)  # what the round read is done with
+        best = better
         done, width_of_round = stop, width_of_round * GROWTH
     return best
 
