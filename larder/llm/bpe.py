@@ -34,7 +34,7 @@ UNSURE = re.compile("[^\x00-՗ -₎₠-ꟍ가-
 LONG_WORD = 256  # bytes; longer words are encoded in halves
 LEAF = 1 << 18  # characters; longer texts are encoded in leaves
 MARGIN = 4  # characters next to a cut, whose splitting may depend on what lies beyond it
-REMEMBERED = 400_000  # words a task remembers before it starts anew
+REMEMBERED = 200_000  # words a task remembers before it starts anew
 
 
 def byte_characters() -> list[str]:
@@ -118,8 +118,7 @@ class Vocabulary:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        table = self.bytes_of
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        return spelled(self.bytes_of, ids)
 
     def leaf(self, text: str) -> tuple[bytes, bytes, bytes]:
         """Ids, and for each word its length in characters and its number of ids; no special tokens inside."""
@@ -152,6 +151,10 @@ class Vocabulary:
             reach *= 2
 
 
+def spelled(bytes_of: list[bytes], ids: bytes) -> str:
+    return b"".join([bytes_of[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+
+
 class Leaf:
     """A text, its words' lengths and their encoded ids."""
 
@@ -276,11 +279,11 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "d
     schema = given.drop("__ids").withColumn(decoded, F.lit("")).schema
 
     def decode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vocabulary(vocabulary)
+        table = Vocabulary(vocabulary).bytes_of  # the rest of the vocabulary is let go
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                texts = pa.array([own.decode(b) for b in part.column(part.num_columns - 1).to_pylist()], pa.string())
+                texts = pa.array([spelled(table, b) for b in part.column(part.num_columns - 1).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], texts], [*part.schema.names[:-1], decoded])
 
     return given.mapInArrow(decode_rows, schema)
