@@ -7,9 +7,10 @@ document id, or smaller line number in the same document) has a Jaccard similari
 - Others share a word among their rarest few (prefix filter). Each distinct set sends those words to
   the word's part; a part pairs sets of like size (length filter) whose words after the shared one
   leave enough overlap (positional filter) and whose parity bitmaps differ in few enough bits.
-- Only the earliest partners of a set are proposed, since one earlier match decides. They are verified
-  on the words themselves; a set none of whose proposals holds gets later ones in another round, until
-  none is left. So a group of thousands of near copies makes a few proposals per line, not all pairs.
+- One earlier match decides, so a set proposes the likeliest partner of each word's list, and the
+  likeliest of these is verified first, on the words themselves. Lists that hold more are set aside; a set whose
+  proposal fails gets the others, in rounds, until none is left. So a group of thousands of near
+  copies makes a few proposals per line, not all pairs.
 
 Rarity is the word's count over all documents, in hash buckets: any order that all tasks agree on is
 exact, rarer first is only faster.
@@ -17,13 +18,13 @@ exact, rarer first is only faster.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.tokens import hash_words, mix
@@ -34,14 +35,16 @@ BUCKETS = 1 << 20  # word counts; 4 MB in a task
 SEGMENTS = 64  # of the bucket table and of bit tables
 BITS = 1 << 23  # of a filter that keeps lines nobody asked for from moving; a false hit only moves a line
 PIECE = 1 << 20  # bytes of text worked on at once
-HELD = 1 << 24  # bytes of text whose lines are deduplicated before their words are sent
+HELD = 1 << 23  # bytes of text whose lines are deduplicated before their words are sent
 PER_PART = 250_000  # words sent to a part, about
-PROPOSED, GROWTH = 2, 16  # partners proposed per set and word in the first round; times this in each later one
+PROPOSED, GROWTH = 64, 64  # partners per set and word that the second round tries; times this in each later one
 HEAD = 64  # entries of a long list that are compared at once
+SURE = 0.5  # of the differing bits allowed: a partner within this share ends the search for a likelier one
 
 _words = np.arange(1, 257, dtype=np.uint16).astype(np.uint8)
 _words[[9, 10, 11, 12, 13, 32]] = 0
-POSTING = [("token", np.uint32), ("n", np.uint32), ("pos", np.uint32), ("sig", np.uint64), ("digest", np.uint64), ("doc", np.int64), ("line", np.int32)]
+PARITY = 3  # words of 64 bits in a set's parity
+POSTING = [("token", np.uint32), ("n", np.uint32), ("pos", np.uint32), *((f"sig{k}", np.uint64) for k in range(PARITY)), ("digest", np.uint64), ("doc", np.int64), ("line", np.int32)]
 
 
 @dataclass
@@ -61,9 +64,10 @@ class Lines:
         begins = self.begins
         return tuple(mix(np.add.reduceat(mix(self.tokens + np.uint64(salt)), begins) + self.n.astype(np.uint64)) for salt in (0x51, 0xA7))
 
-    def parities(self) -> np.ndarray:
-        """Each word toggles one of 64 bits: unequal bits of two sets count at most their unequal words."""
-        return np.bitwise_xor.reduceat(np.uint64(1) << (self.tokens & np.uint64(63)), self.begins)
+    def parities(self) -> list[np.ndarray]:
+        """Each word toggles one of 192 bits: unequal bits of two sets count at most their unequal words."""
+        bit, place = np.uint64(1) << (self.tokens & np.uint64(63)), (self.tokens >> np.uint64(6)) % np.uint64(PARITY)
+        return [np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), self.begins) for k in range(PARITY)]
 
 
 def read_lines(docs: list[int], texts: list[str], least: int) -> Iterator[Lines]:
@@ -94,7 +98,8 @@ def _lines(group: list[tuple[int, int, bytes]], least: int) -> Lines:
     number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + np.array([f for _, f, _ in group])[owner]
     starts, _, hashed = hash_words(_words[raw])
     line = np.searchsorted(ends, starts)
-    order = np.lexsort((hashed, line))
+    # Lines come in order; the leading bits of a hash order the words of each.
+    order = np.argsort((line.astype(np.uint64) << np.uint64(40)) | (hashed >> np.uint64(24)))
     line, hashed = line[order], hashed[order]
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (hashed[1:] != hashed[:-1])
@@ -123,38 +128,41 @@ def _segment_sum(parts: pa.Table) -> pa.Table:
     return pa.table({"segment": parts.column("segment").slice(0, 1), "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
 
-def word_counts(texts: DataFrame, least: int) -> np.ndarray:
-    """Words of all lines, counted by bucket. Tasks send counts above zero, by segment; 4 MB reach the driver."""
+def survey(texts: DataFrame, least: int) -> DataFrame:
+    """One pass over all texts: doc, line, d1 and d2 (the digest of its words) of every line, and in other
+    rows the words counted by bucket: segment and counts, those above zero."""
+    fields = [("doc", pa.int64()), ("line", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("segment", pa.int32()), ("counts", pa.binary())]
+    schema = pa.schema(fields)
+
+    def rows(**columns: pa.Array) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(n, kind)) for name, kind in fields], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.uint32)
         for lines in _batches(batches, least):
-            total += np.bincount(_bucket(lines.tokens), minlength=BUCKETS).astype(np.uint32)
+            if len(lines.n):
+                total += np.bincount(_bucket(lines.tokens), minlength=BUCKETS).astype(np.uint32)
+                d1, d2 = lines.digests()
+                yield rows(doc=pa.array(lines.doc), line=pa.array(lines.line), d1=pa.array(d1.view(np.int64)), d2=pa.array(d2.view(np.int64)))
         for segment, part in enumerate(total.reshape(SEGMENTS, -1)):
             at = np.flatnonzero(part)
             if len(at):
                 blob = np.concatenate([at.astype(np.uint32), part[at]]).tobytes()
-                yield pa.RecordBatch.from_pydict({"segment": [segment], "counts": [blob]}, pa.schema([("segment", pa.int32()), ("counts", pa.binary())]))
+                yield rows(segment=pa.array([segment], pa.int32()), counts=pa.array([blob], pa.binary()))
+
+    return texts.mapInArrow(count, "doc long, line int, d1 long, d2 long, segment int, counts binary")
+
 
-    schema = "segment int, counts binary"
+def word_counts(surveyed: DataFrame) -> np.ndarray:
+    """Words of all lines by bucket; 4 MB reach the driver."""
+    parts = surveyed.where("segment is not null").select("segment", "counts")
     out = np.zeros((SEGMENTS, BUCKETS // SEGMENTS), np.uint32)
-    for row in texts.mapInArrow(count, schema).groupBy("segment").applyInArrow(_segment_sum, schema).collect():
+    for row in parts.groupBy("segment").applyInArrow(_segment_sum, "segment int, counts binary").collect():
         out[row.segment] = np.frombuffer(row.counts, np.uint32)
     return out.ravel()
 
 
-def lines_of(texts: DataFrame, least: int) -> DataFrame:
-    """doc, line, d1 and d2: the digest of each line's words."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lines in _batches(batches, least):
-            if len(lines.n):
-                d1, d2 = lines.digests()
-                yield pa.RecordBatch.from_arrays([pa.array(lines.doc), pa.array(lines.line), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], ["doc", "line", "d1", "d2"])
-
-    return texts.mapInArrow(digest, "doc long, line int, d1 long, d2 long")
-
-
 def _pack(columns: list[np.ndarray]) -> bytes:
     """Columns of equal length, bytes of like weight side by side, compressed."""
     raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
@@ -176,7 +184,7 @@ def _joined(lines: list[Lines]) -> Lines:
     return Lines(*(np.concatenate([getattr(x, f) for x in lines]) for f in ("doc", "line", "n", "tokens")))
 
 
-def _first_of_each(lines: Lines) -> tuple[Lines, np.ndarray, np.ndarray]:
+def _first_of_each(lines: Lines) -> tuple[Lines, np.ndarray, list[np.ndarray]]:
     """The earliest line of each set of words, with its digest and parity."""
     (digest, second), sig = lines.digests(), lines.parities()
     order = np.lexsort((lines.line, lines.doc, second, digest))
@@ -186,7 +194,7 @@ def _first_of_each(lines: Lines) -> tuple[Lines, np.ndarray, np.ndarray]:
     at = np.sort(order[new])
     taken = np.zeros(len(lines.n), bool)
     taken[at] = True
-    return Lines(lines.doc[at], lines.line[at], lines.n[at], lines.tokens[np.repeat(taken, lines.n)]), digest[at], sig[at]
+    return Lines(lines.doc[at], lines.line[at], lines.n[at], lines.tokens[np.repeat(taken, lines.n)]), digest[at], [x[at] for x in sig]
 
 
 def postings(texts: DataFrame, counts: np.ndarray, parts: int, least: int, similarity: Fraction) -> DataFrame:
@@ -196,16 +204,17 @@ def postings(texts: DataFrame, counts: np.ndarray, parts: int, least: int, simil
     def send(lines: Lines) -> Iterator[pa.RecordBatch]:
         lines, digest, sig = _first_of_each(lines)
         row = np.repeat(np.arange(len(lines.n)), lines.n)
-        order = np.lexsort((lines.tokens, counts[_bucket(lines.tokens)], row))
+        # A line's words are in order of their hashes already, which a stable sort keeps among equal counts.
+        order = np.argsort((row.astype(np.uint64) << np.uint64(32)) | counts[_bucket(lines.tokens)], kind="stable")
         tokens = lines.tokens[order]
         n = lines.n[row]
         pos = np.arange(len(row)) - np.repeat(lines.begins, lines.n)
         prefix = pos < n - (-(-p * n // q)) + 1
         row, pos, token = row[prefix], pos[prefix], (tokens[prefix] >> np.uint64(32)).astype(np.uint32)
         part = (token.astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-        by_part = np.lexsort((token, part))
+        by_part = np.argsort(token)  # a part is a range of words
         edges = np.flatnonzero(np.diff(part[by_part], prepend=-1, append=parts))
-        columns = [token, lines.n[row].astype(np.uint32), pos.astype(np.uint32), sig[row], digest[row], lines.doc[row], lines.line[row]]
+        columns = [token, lines.n[row].astype(np.uint32), pos.astype(np.uint32), *(x[row] for x in sig), digest[row], lines.doc[row], lines.line[row]]
         columns = [c[by_part] for c in columns]
         names, blobs = [], []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -229,47 +238,83 @@ def postings(texts: DataFrame, counts: np.ndarray, parts: int, least: int, simil
     return texts.mapInArrow(deal, "part int, blob binary")
 
 
-def _survivors(cols: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Which pairs (i later, j earlier) that share a word pass the length, positional and parity filters."""
+def _survivors(cols: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs (i later, j earlier) that share a word pass the length, positional and parity filters, and
+    what share of the words in which they may differ does differ at least."""
     ni, nj = cols["n"][i].astype(np.int64), cols["n"][j].astype(np.int64)
     need = -(-p * (ni + nj) // (p + q))  # least overlap
     rest = np.minimum(ni - cols["pos"][i], nj - cols["pos"][j])  # this word and those after it
-    near = np.bitwise_count(cols["sig"][i] ^ cols["sig"][j]) <= ni + nj - 2 * need
-    return near & (rest >= need) & (np.minimum(ni, nj) * q >= np.maximum(ni, nj) * p)
-
+    allowed, differ = ni + nj - 2 * need, sum(np.bitwise_count(cols[f"sig{k}"][i] ^ cols[f"sig{k}"][j]).astype(np.int64) for k in range(PARITY))
+    ok = (differ <= allowed) & (rest >= need) & (np.minimum(ni, nj) * q >= np.maximum(ni, nj) * p)
+    return np.flatnonzero(ok), differ[ok] / np.maximum(allowed[ok], 1)
 
-def _propose(cols: dict[str, np.ndarray], wanted: np.ndarray, p: int, q: int, skip: int, take: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, more): for wanted entries i their surviving earlier list mates j ranked skip..skip+take, and those with more.
 
-    Entries are sorted by (token, order). Each entry looks at its list from the front, a head at a
-    time, and stops once it has what it may propose, plus one.
-    """
-    token = cols["token"]
-    new = np.ones(len(token), bool)
-    new[1:] = token[1:] != token[:-1]
-    start = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
-    active = np.flatnonzero(wanted & ~new)
-    seen = np.zeros(len(token), np.int64)
+def _list_mates(
+    cols: dict[str, np.ndarray], active: np.ndarray, start: np.ndarray, p: int, q: int
+) -> Generator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray, None]:
+    """(entries, i, j, differ): a head of their lists at a time, the survivors among the earlier list mates j
+    of each entry i. The caller sends back which entries are to go on."""
     at = 0
     while len(active):
+        going = np.ones(len(active), bool)
         for a in range(0, len(active), 1 << 15):
             own = active[a : a + (1 << 15)]
             low = start[own] + at
             count = np.clip(own - low, 0, HEAD)
             i = np.repeat(own, count)
             j = np.repeat(low, count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-            ok = _survivors(cols, i, j, p, q)
-            i, j = i[ok], j[ok]
-            if not len(i):
-                continue
-            first = np.searchsorted(i, i)  # i is sorted: rank of each survivor among its entry's
-            rank = seen[i] + np.arange(len(i)) - first
-            chosen = (rank >= skip) & (rank < skip + take)
-            more = np.unique(i[rank >= skip + take])
-            yield i[chosen], j[chosen], more
-            seen[own] += np.bincount(np.searchsorted(own, i), minlength=len(own))
+            ok, differ = _survivors(cols, i, j, p, q)
+            going[a : a + (1 << 15)] = yield own, i[ok], j[ok], differ
         at += HEAD
-        active = active[(seen[active] <= skip + take) & (active - start[active] > at)]
+        active = active[going & (active - start[active] > at)]
+
+
+def _likeliest(cols: dict[str, np.ndarray], start: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, differ, more): each entry's likeliest surviving list mate, and the entries that may have others."""
+    best, score, seen = np.full(len(start), -1), np.full(len(start), np.inf), np.zeros(len(start), np.int64)
+    stopped = np.zeros(len(start), bool)
+    mates = _list_mates(cols, np.flatnonzero(np.arange(len(start)) > start), start, p, q)
+    step = next(mates, None)
+    while step is not None:
+        own, i, j, differ = step
+        np.add.at(seen, i, 1)
+        order = np.lexsort((j, differ, i))
+        i, j, differ = i[order], j[order], differ[order]
+        first = np.ones(len(i), bool)
+        first[1:] = i[1:] != i[:-1]
+        i, j, differ = i[first], j[first], differ[first]
+        better = differ < score[i]
+        best[i[better]], score[i[better]] = j[better], differ[better]
+        stopped[own] = score[own] <= SURE
+        try:
+            step = mates.send(~stopped[own])
+        except StopIteration:
+            step = None
+    found = np.flatnonzero(best >= 0)
+    return found, best[found], score[found], np.flatnonzero((seen > 1) | stopped)
+
+
+def _ranked(
+    cols: dict[str, np.ndarray], start: np.ndarray, wanted: np.ndarray, p: int, q: int, skip: int, take: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, more): wanted entries' survivors ranked skip to skip + take, earliest first, and the entries with more."""
+    none = np.zeros(0, np.int64)
+    seen, found, more = np.zeros(len(start), np.int64), [(none, none)], [none]
+    mates = _list_mates(cols, np.flatnonzero(wanted & (np.arange(len(start)) > start)), start, p, q)
+    step = next(mates, None)
+    while step is not None:
+        own, i, j, _ = step
+        rank = seen[i] + np.arange(len(i)) - np.searchsorted(i, i)  # i is in order
+        chosen = (rank >= skip) & (rank < skip + take)
+        found.append((i[chosen], j[chosen]))
+        more.append(np.unique(i[rank >= skip + take]))
+        np.add.at(seen, i, 1)
+        try:
+            step = mates.send(seen[own] <= skip + take)
+        except StopIteration:
+            step = None
+    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+    return i, j, np.unique(np.concatenate(more))
 
 
 def _bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -277,33 +322,61 @@ def _bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def candidates(posted: DataFrame, similarity: Fraction, skip: int, take: int, only: np.ndarray | None) -> DataFrame:
-    """x_doc, x_line, y_doc, y_line: proposals of an earlier y for x; y is null where x has more to propose."""
+    """x_doc, x_line, y_doc, y_line: proposals of an earlier y for x; y is null where x may have more of them.
+    differ: the least share of the words in which they may differ that does; 0 in later rounds.
+
+    Other rows carry, as part and blob, the lists in which something has more: what the next round reads.
+    The first round (only is None) proposes one partner per list, later ones those ranked skip to skip + take.
+    """
     p, q = similarity.numerator, similarity.denominator
 
     def pair(rows: pa.Table) -> pa.Table:
         columns = [np.concatenate(c) for c in zip(*(_unpack(b) for b in rows.column("blob").to_pylist()), strict=True)]
         cols = dict(zip((name for name, _ in POSTING), columns, strict=True))
-        order = np.lexsort((cols["line"], cols["doc"], cols["sig"], cols["digest"], cols["token"]))
+        order = np.argsort(cols["token"], kind="stable")
+        token = cols["token"][order]
+        same = token[1:] == token[:-1]
+        order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # words of one line only pair nothing
+        cols = {k: v[order] for k, v in cols.items()}
+        order = np.lexsort((cols["line"], cols["doc"], cols["sig0"], cols["digest"], cols["token"]))
         cols = {k: v[order] for k, v in cols.items()}
         new = np.ones(len(order), bool)  # stretches of text have each sent their own first line of a set
-        new[1:] = np.any([cols[k][1:] != cols[k][:-1] for k in ("token", "digest", "sig")], axis=0)
+        new[1:] = np.any([cols[k][1:] != cols[k][:-1] for k in ("token", "digest", "sig0")], axis=0)
         cols = {k: v[new] for k, v in cols.items()}
         order = np.lexsort((cols["line"], cols["doc"], cols["token"]))
         cols = {k: v[order] for k, v in cols.items()}
-        doc, line = cols["doc"], cols["line"]
-        wanted = np.ones(len(doc), bool) if only is None else only[_bit(doc, line)]
-        found, more = [], []
-        for i, j, rest in _propose(cols, wanted, p, q, skip, take):
-            found.append(np.stack([doc[i], line[i], doc[j], line[j]]))
-            more.append(np.stack([doc[rest], line[rest]]))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((4, 0), np.int64)
-        left = np.unique(np.concatenate(more, axis=1), axis=1) if more else np.zeros((2, 0), np.int64)
-        nothing = pa.nulls(left.shape[1])
-        x_doc, x_line = (np.concatenate([pairs[k], left[k]]) for k in (0, 1))
-        y_doc, y_line = (pa.concat_arrays([pa.array(pairs[k + 2], t), nothing.cast(t)]) for k, t in ((0, pa.int64()), (1, pa.int32())))
-        return pa.table({"x_doc": pa.array(x_doc, pa.int64()), "x_line": pa.array(x_line.astype(np.int32)), "y_doc": y_doc, "y_line": y_line})
-
-    return posted.groupBy("part").applyInArrow(pair, "x_doc long, x_line int, y_doc long, y_line int")
+        doc, line, token = cols["doc"], cols["line"], cols["token"]
+        new = np.ones(len(token), bool)
+        new[1:] = token[1:] != token[:-1]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
+        if only is None:
+            i, j, differ, more = _likeliest(cols, start, p, q)
+        else:
+            i, j, more = _ranked(cols, start, only[_bit(doc, line)], p, q, skip, take)
+            differ = np.zeros(len(i))
+        pairs, at = np.unique(np.stack([doc[i], line[i], doc[j], line[j]]), axis=1, return_index=True)
+        left = np.unique(np.stack([doc[more], line[more]]), axis=1)
+        kept = np.isin(start, start[more])
+        blobs = [_pack([cols[name][kept] for name, _ in POSTING])] if kept.any() else []
+        lead, tail = pairs.shape[1] + left.shape[1], len(blobs)
+
+        def numbers(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+            values = np.concatenate(parts).astype(kind.to_pandas_dtype())
+            return pa.concat_arrays([pa.array(values), pa.nulls(lead + tail - len(values), kind)])
+
+        return pa.table(
+            {
+                "x_doc": numbers([pairs[0], left[0]], pa.int64()),
+                "x_line": numbers([pairs[1], left[1]], pa.int32()),
+                "y_doc": numbers([pairs[2]], pa.int64()),
+                "y_line": numbers([pairs[3]], pa.int32()),
+                "differ": numbers([differ[at]], pa.float64()),
+                "part": pa.concat_arrays([pa.nulls(lead, pa.int32()), pa.array(rows.column("part").to_pylist()[:tail], pa.int32())]),
+                "blob": pa.concat_arrays([pa.nulls(lead, pa.binary()), pa.array(blobs, pa.binary())]),
+            }
+        )
+
+    return posted.groupBy("part").applyInArrow(pair, "x_doc long, x_line int, y_doc long, y_line int, differ double, part int, blob binary")
 
 
 def bits_of(lines: DataFrame) -> np.ndarray:
@@ -331,31 +404,33 @@ def bits_of(lines: DataFrame) -> np.ndarray:
 
 
 def _fetch(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """doc, line and text of the lines whose flag is set."""
+    """doc, line and words (distinct, in order, between spaces) of the lines whose flag is set."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = text.split("\n")
-                at = np.flatnonzero(wanted[_bit(np.full(len(lines), doc, np.int64), np.arange(len(lines), dtype=np.int32))])
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32)), pa.array([lines[k] for k in at], pa.string())], ["doc", "line", "words"])
+            found: list[tuple[int, int, bytes]] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_py().encode()
+                ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+                numbers = np.arange(len(ends) + 1, dtype=np.int32)
+                for k in np.flatnonzero(wanted[_bit(np.full(len(numbers), doc, np.int64), numbers)]).tolist():
+                    line = raw[ends[k - 1] + 1 if k else 0 : ends[k] if k < len(ends) else None]
+                    found.append((doc, k, b" ".join(sorted(set(line.split())))))
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays[:2], arrays[2].cast(pa.string())], ["doc", "line", "words"])
 
     return texts.mapInArrow(fetch, "doc long, line int, words string")
 
 
-def _word_set(line: str) -> Column:
-    return F.array_distinct(F.filter(F.split(line, r"[\t-\r ]+"), lambda w: w != ""))
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
     """x_doc and x_line of the pairs whose words really are similar enough."""
     ends = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionByName(pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")))
-    lines = materialize(_fetch(texts, bits_of(ends)).distinct())
+    lines = materialize(_fetch(texts, bits_of(ends)))
     x = lines.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))
     y = lines.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))
     both = pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"])
-    both = both.select("x_doc", "x_line", _word_set("x_words").alias("a"), _word_set("y_words").alias("b"))
+    both = both.select("x_doc", "x_line", F.split("x_words", " ").alias("a"), F.split("y_words", " ").alias("b"))
     overlap = F.size(F.array_intersect("a", "b"))
     union = F.size("a") + F.size("b") - overlap
     return both.where(overlap * similarity.denominator >= union * similarity.numerator).select("x_doc", "x_line").distinct()
@@ -369,28 +444,41 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the order. Rows that repeat a doc_id are one document: equal line numbers are no match for each other.
     """
     texts = docs.where(docs[doc_id].isNotNull() & docs[text].isNotNull()).select(docs[doc_id].cast("long").alias("doc"), docs[text].alias("text"))
-    lines = materialize(lines_of(texts, min_words))
+    surveyed = materialize(survey(texts, min_words))
+    lines = surveyed.where("doc is not null").select("doc", "line", "d1", "d2")
     size = lines.count()
     order = F.struct("doc", "line")
     sets = materialize(lines.groupBy("d1", "d2").agg(F.min(order).alias("first")))
-    counts = word_counts(texts, min_words)
+    counts = word_counts(surveyed)
     # About a fifth of the words are prefix words, and each line has one more.
     parts = max(256, (int(counts.sum(dtype=np.int64)) // 5 + size) // PER_PART)
     posted = postings(texts, counts, parts, min_words, similarity)
-    near = None
+    near = rest = None
     skip, take, only = 0, PROPOSED, None
+    x, xy = ["x_doc", "x_line"], ["x_doc", "x_line", "y_doc", "y_line"]
     while size:
         found = materialize(candidates(posted, similarity, skip, take, only))
-        pairs = found.where("y_doc is not null").distinct()
-        if near is not None:
-            pairs = pairs.join(near, ["x_doc", "x_line"], "left_anti")
-        holds = _verified(pairs, texts, similarity)
-        near = materialize(holds if near is None else near.unionByName(holds))
-        left = materialize(found.where("y_doc is null").select("x_doc", "x_line").distinct().join(near, ["x_doc", "x_line"], "left_anti"))
+        proposed = found.where("y_doc is not null")
+        if near is None:
+            # One proposal of each set first; what others it has waits for those that fail.
+            best = proposed.groupBy(*x).agg(F.min(F.struct("differ", "y_doc", "y_line")).alias("best"))
+            tried = materialize(best.select(*x, "best.y_doc", "best.y_line"))
+            near = materialize(_verified(tried, texts, similarity))
+            rest = proposed.select(*xy).join(near, x, "left_anti").distinct().join(tried, xy, "left_anti")
+        else:
+            pairs = proposed.select(*xy).unionByName(rest).distinct().join(near, x, "left_anti")
+            near = materialize(near.unionByName(_verified(pairs, texts, similarity)))
+            rest = rest.where("false")
+        rest = materialize(rest)
+        left = found.where("y_doc is null and x_doc is not null").select(*x).distinct()
+        left = materialize(left.join(near, x, "left_anti"))
         if left.isEmpty():
             break
+        skip, take = (0, take) if only is None else (skip + take, take * GROWTH)
         only = bits_of(left)
-        skip, take = skip + take, take * GROWTH
+        posted = found.where("blob is not null").select("part", "blob")
+    if near is not None and not rest.isEmpty():
+        near = materialize(near.unionByName(_verified(rest, texts, similarity)))
     later = lines.join(sets, ["d1", "d2"])
     if near is None:
         matched = later.where("false")

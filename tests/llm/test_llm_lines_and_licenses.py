@@ -49,7 +49,7 @@ def made_up(seed=2, docs=300):
 @pytest.mark.parametrize(("least", "rounds"), [(1, False), (5, False), (1, True)])
 def test_lines_against_brute_force(spark, monkeypatch, least, rounds):
     if rounds:  # so few proposals at a time that some lines need several rounds
-        for name, value in (("PROPOSED", 1), ("GROWTH", 1), ("HEAD", 2), ("HELD", 1), ("PIECE", 200)):
+        for name, value in (("PROPOSED", 1), ("GROWTH", 1), ("HEAD", 2), ("HELD", 1), ("PIECE", 200), ("SURE", -1.0)):
             monkeypatch.setattr(line_dedup, name, value)
     rows = made_up(docs=60 if rounds else 300)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
