@@ -4,7 +4,8 @@ With one more coordinate that brings all indexed vectors to one norm, the larges
 smallest Euclidean distance. Each vector is keyed by its nearest pivot and its distance from it; a
 pivot's vectors in order of distance are cut into annuli of bounded size. For a query at distance d
 from a pivot, nothing in an annulus [low, high] is nearer than the gap between d and that interval, so
-an annulus whose gap exceeds the query's k-th distance so far cannot matter. Queries visit annuli by
+an annulus whose gap exceeds the query's k-th distance so far cannot matter; a query with fewer than k
+results so far has no such bound. Queries visit annuli by
 growing gap, a few times more each round, until the next gap ends the search.
 """
 
@@ -131,7 +132,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, pivots: i
     done, width_of_round = 0, 1
     while done < len(annuli.pivot):
         stop = min(len(annuli.pivot), done + width_of_round)
-        visits = _visits(queries, best, annuli, points, width, most, done, stop)
+        visits = _visits(queries, best, k, annuli, points, width, most, done, stop)
         if done:
             visits = scratch.table(visits)
             if visits.isEmpty():
@@ -145,15 +146,15 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, pivots: i
     return best
 
 
-def _visits(queries: DataFrame, best: DataFrame | None, annuli: Annuli, points: np.ndarray, width: int, most: float, start: int, stop: int) -> DataFrame:
+def _visits(queries: DataFrame, best: DataFrame | None, k: int, annuli: Annuli, points: np.ndarray, width: int, most: float, start: int, stop: int) -> DataFrame:
     """query_id, v, chunk, annulus and part for the annuli from start to stop in each query's order that can still matter."""
     if best is None:
         open_ = queries.withColumn("kth", F.lit(None).cast("long"))
     else:
-        last = best.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"), F.max("rank").alias("k"))
-        kth = last.select("query_id", "kth", "n")
+        # Fewer than k results bound nothing: such a query visits all of this round's annuli.
+        kth = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
         open_ = queries.join(kth, queries["vec_id"] == kth["query_id"], "left").drop("query_id")
-    full = "n" in open_.columns
+    bounded = best is not None
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +165,7 @@ def _visits(queries: DataFrame, best: DataFrame | None, annuli: Annuli, points:
             row = np.repeat(np.arange(len(q)), order.shape[1])
             at = order.ravel()
             keep = np.ones(len(at), bool)
-            if full:
+            if bounded:
                 # |q - x|^2 = |q|^2 + most - 2 <q, x>: the k-th score is a distance that gaps are held against.
                 kth = batch.column("kth").to_numpy(zero_copy_only=False).astype(float)
                 square = (q * q).sum(axis=1)

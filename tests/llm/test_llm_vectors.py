@@ -51,6 +51,16 @@ def test_fewer_candidates_than_k(spark):
     assert nearest(three.where("false"), three, 10).collect() == []
 
 
+def test_isolated_query_keeps_looking_until_it_has_k(spark):
+    """A pair of equal vectors of greatest norm is an annulus of its own: the first visit gives one result, not five."""
+    rnd = random.Random(3)
+    rows = [(i, [float(rnd.randrange(-9, 10)) for _ in range(4)]) for i in range(1, 400)] + [(0, [900.0, 900.0, 0.0, 0.0]), (1000, [900.0, 900.0, 0.0, 0.0])]
+    given = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = top_inner_products(given, given.where("vec_id = 0"), 5, pivots=6, annulus=16).orderBy("rank").collect()
+    own = np.array(rows[-1][1])
+    assert [(-r.score, r.vec_id) for r in got] == sorted((-int(own @ np.array(v)), i) for i, v in rows if i)[:5]
+
+
 def test_large_products_are_exact():
     q, x = np.array([[2.0**40 + 1, 3.0]]), np.array([[2.0**22 + 1, 5.0]])
     assert topk.inner_products(q, x)[0, 0] == (2**40 + 1) * (2**22 + 1) + 15
