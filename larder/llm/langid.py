@@ -5,7 +5,7 @@ A document's posterior over languages is the product of
 - the likelihood of its declared language (markup, metadata) and of its address suffix, each given the language,
 - a prior of its host, shrunk towards its domain's, which is shrunk towards the corpus's.
 
-Text models are fitted on a bounded sample of declared documents. Everything else is counted over all
+Text models are fitted on a bounded number of distinct texts of each declared language. Everything else is counted over all
 documents: text-only posteriors are summed by (host, declared, suffix), and the tables of hosts,
 domains, declarations and suffixes are sums of those sums.
 """
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from larder.runtime import materialize
 
 FEATURES = 1 << 15
-SAMPLE = 20_000  # documents the text models are fitted on, at most (in expectation)
-MIN_SHARE = 0.005  # a declared language needs this share of the sample to get a model
+SAMPLE = 4_000  # distinct texts that a language's text model is fitted on, at most
+LEAST = 10  # distinct texts that a declared language needs to get a model,
+MIN_SHARE = 0.005  # or this share of all distinct texts in a small corpus
+COPIES = 3  # times that copies of one text count, at most
 TEMPER = 0.25  # neighbouring trigrams share letters: each counts as a quarter of an observation
 SHRINK = 20.0  # documents that a host's or domain's parent counts for
 PIECE = 1 << 20  # bytes of text worked on at once
@@ -92,36 +94,49 @@ def primary(declared: Column) -> Column:
 
 
 def fit_text_model(docs: DataFrame, text: str, declared: str, sample: int = SAMPLE) -> TextModel:
-    """Trigram counts per declared language of a sample of about `sample` documents, picked by a hash of their text."""
-    given = docs.where(F.col(declared).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(declared).alias("declared"))
-    every = max(1, given.count() // sample)
-    drawn = given.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    """Trigram counts per declared language, each of the `sample` distinct texts of least hash.
+
+    Which languages get a model is decided on all documents: those of LEAST distinct texts, or of
+    MIN_SHARE of all where that is less. Copies of a text count COPIES times at most.
+    """
+    given = docs.where(F.col(declared).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(declared).alias("declared"), F.xxhash64(text).alias("hash"))
+    texts = materialize(given.groupBy("declared", "hash").agg(F.least(F.count("*"), F.lit(COPIES)).alias("copies")))
+    least = min(LEAST, texts.count() * MIN_SHARE)
+    common = texts.groupBy("declared").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
+    wanted = [r.declared for r in common.select("declared").collect()]
+    turn = F.expr("row_number() over (partition by declared order by hash)")
+    drawn = materialize(texts.where(F.col("declared").isin(wanted)).withColumn("turn", turn).where(F.col("turn") <= sample).drop("turn"))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # of the drawn texts only
+        for batch in batches:
+            names, hashes = batch.column("declared").to_pylist(), batch.column("hash").to_pylist()
+            new = []
+            for k, key in enumerate(zip(names, hashes, strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(k)
+            yield batch.take(pa.array(new, pa.int64()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for batch in batches:
-            names = batch.column(1).to_pylist()
-            for k, raw in _pieces(batch.column(0)):
+            names, copies = batch.column("declared").to_pylist(), batch.column("copies").to_pylist()
+            for k, raw in _pieces(batch.column("text")):
                 features, inside = _trigrams(raw)
                 own = sums.setdefault(names[k], np.zeros(FEATURES, np.int64))
-                own += np.bincount(features[inside], minlength=FEATURES)
-            for name in names:
-                seen[name] = seen.get(name, 0) + 1
+                own += copies[k] * np.bincount(features[inside], minlength=FEATURES)
         for name, own in sums.items():
-            yield pa.RecordBatch.from_pydict({"declared": [name], "docs": [seen[name]], "counts": [own.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"declared": [name], "counts": [own.tobytes()]})
 
     def add(parts: pa.Table) -> pa.Table:
         total = sum((np.frombuffer(c, np.int64) for c in parts.column("counts").to_pylist()), np.zeros(FEATURES, np.int64))
-        return pa.table({"declared": parts.column("declared").slice(0, 1), "docs": [sum(parts.column("docs").to_pylist())], "counts": [total.tobytes()]})
-
-    schema = "declared string, docs long, counts binary"
-    # Names that are rarer than the share are left out before their counts reach the driver.
-    parts = materialize(drawn.mapInArrow(count, schema))
-    common = parts.groupBy("declared").agg(F.sum("docs").alias("docs"))
-    least = (common.agg(F.sum("docs")).first()[0] or 0) * MIN_SHARE
-    wanted = [r.declared for r in common.where(F.col("docs") >= least).collect()]  # at most 1 / MIN_SHARE
-    rows = sorted(parts.where(F.col("declared").isin(wanted)).groupBy("declared").applyInArrow(add, schema).collect())
+        return pa.table({"declared": parts.column("declared").slice(0, 1), "counts": [total.tobytes()]})
+
+    schema = "declared string, counts binary"
+    picked = given.join(F.broadcast(drawn), ["declared", "hash"]).select("declared", "hash", "copies", "text")
+    picked = picked.mapInArrow(once, picked.schema).dropDuplicates(["declared", "hash"])
+    rows = sorted(picked.mapInArrow(count, schema).groupBy("declared").applyInArrow(add, schema).collect())
     table = np.zeros((FEATURES + 1, len(rows) + 1), np.float32)
     for k, row in enumerate(rows):
         counts = np.frombuffer(row.counts, np.int64) + 0.05

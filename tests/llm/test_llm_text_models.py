@@ -66,6 +66,15 @@ def test_language_stage_keeps_columns_and_clean_rows(spark):
     assert keep_identified(docs.where("false")).collect() == []
 
 
+def test_rare_languages_beside_a_hot_text_keep_their_documents(spark):
+    rows = [(i, f"the cat and the dog number {i} sat there with that thing", "en", "s1") for i in range(4000)]
+    rows += [(10_000 + i, "one text that a third of all rows repeats", "en", "s1") for i in range(2000)]
+    rows += [(20_000 + i, f"kissa ja koira {i} istuivat yhdess\u00e4 p\u00f6yd\u00e4ll\u00e4", "fi", "s1") for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.language for r in identify(docs, ["doc_id"], "text", "lang", None, "source", 50).where("accepted").collect()}
+    assert got == {d: lang for d, _, lang, _ in rows}
+
+
 def test_markup_and_address_decide_where_text_cannot(spark):
     rows = [(i, "the of and that", "en", "uk", "a.x.uk") for i in range(30)] + [(100 + i, "der die das und", "de", "at", "b.y.at") for i in range(30)]
     rows += [(500, "xq", None, "at", "b.y.at"), (501, "xq", None, "uk", "c.x.uk"), (502, "xq", "de", None, None)]
