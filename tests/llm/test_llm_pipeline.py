@@ -65,3 +65,9 @@ def test_pipeline_on_odd_and_no_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.materialize(stage(spark, docs, FOLDER))
         assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_short_and_unspaced_lines_that_repeat_go(spark):
+    rows = [(1, "Home\n\u3053\u306e\u6587\u7ae0\u306f\u4f55\u5ea6\u3082\u7e70\u308a\u8fd4\u3059\nfirst words of this document"), (2, "Home\n\u3053\u306e\u6587\u7ae0\u306f\u4f55\u5ea6\u3082\u7e70\u308a\u8fd4\u3059\nAll rights reserved."), (3, "All rights reserved.\nsomething else entirely here")]
+    kept = {r.doc_id: r.text for r in corpus_pipeline.deduplicate_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()}
+    assert kept == {1: rows[0][1], 2: "All rights reserved.", 3: "something else entirely here"}
