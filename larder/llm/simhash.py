@@ -211,6 +211,20 @@ def connected(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _smallest(marked: DataFrame, key: str, budget: int) -> DataFrame:
+    """fingerprint and the smallest `key` of the group that links connect it with; null if there is none."""
+    distinct = marked.groupBy("fingerprint").agg(F.min(key).alias("least"))
+    groups = connected(trie_links(distinct.select("fingerprint"), budget))
+    owners = distinct.join(groups.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+        "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least"
+    )
+    owners = materialize(owners)
+    # Only groups of several fingerprints are brought together; the others know their smallest key.
+    several = owners.join(owners.where("root <> fingerprint").select("root").distinct(), "root", "left_semi")
+    least = several.groupBy("root").agg(F.min("least").alias("smallest"))
+    return owners.join(least, "root", "left").select("fingerprint", F.coalesce("smallest", "least").alias("smallest"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE, seed: int = SEED, budget: int = BUDGET
 ) -> DataFrame:
@@ -221,33 +235,32 @@ def near_duplicates(
     A null doc_id names no group: its row is fingerprinted and links, and its component_id is null only
     if nothing else in the group has an id. Repeated rows give repeated rows. Other columns are not read.
     """
-    marked = materialize(fingerprints(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))))
-    distinct = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    groups = connected(trie_links(distinct.select("fingerprint"), budget))
-    owners = distinct.join(groups.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least"
-    )
-    owners = materialize(owners)
-    # Only groups of several fingerprints are brought together; the others know their smallest id.
-    several = owners.join(owners.where("root <> fingerprint").select("root").distinct(), "root", "left_semi")
-    least = several.groupBy("root").agg(F.min("least").alias("smallest"))
-    named = owners.join(least, "root", "left").select("fingerprint", F.coalesce("smallest", "least").alias("component_id"))
+    given = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    marked = materialize(fingerprints(given, words=words, seed=seed))
+    named = _smallest(marked, "doc_id", budget).withColumnRenamed("smallest", "component_id")
     return marked.join(named, "fingerprint", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, budget: int = BUDGET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each group the one with the smallest doc_id.
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE, seed: int = SEED, budget: int = BUDGET
+) -> DataFrame:
+    """The rows of docs that stay: of each group of near_duplicates one document, that with the smallest doc_id.
 
-    Repeats of that doc_id count as one document, of which one row stays (the smallest by text).
-    Rows without a doc_id can't be named as copies, and stay. Columns are those of docs.
+    A document is an id and a text: rows that repeat an id with another text are documents of their own (the
+    smaller hash of a text first), and of rows that repeat both one stays. Rows without a doc_id can't be named
+    as copies, and stay. Columns are those of docs.
     """
-    stays = near_duplicates(docs, doc_id, text, budget=budget).where("doc_id = component_id").select(F.col("doc_id").alias("__stays")).distinct()
-    kept = docs.join(stays, F.col("__stays") == docs[doc_id])
-    # The join has brought equal ids together: this orders one document's repeats, and moves nothing.
-    first = kept.withColumn("__turn", F.row_number().over(Window.partitionBy("__stays").orderBy(docs[text]))).where("__turn = 1")
-    return first.drop("__stays", "__turn").unionByName(docs.where(docs[doc_id].isNull()))
+    hashed = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    given = docs.where(docs[doc_id].isNotNull()).select(F.struct(docs[doc_id].alias("id"), hashed.alias("hash")).alias("key"), docs[text].alias("text"))
+    marked = materialize(fingerprints(given, words=words, seed=seed))
+    stays = _smallest(marked, "key", budget).select(F.col("smallest.id").alias("__id"), F.col("smallest.hash").alias("__hash")).distinct()
+    kept = docs.join(stays, (F.col("__id") == docs[doc_id]) & (F.col("__hash") == hashed))
+    # The join has brought equal documents together: this orders the repeats of one, and moves nothing.
+    ordered = [F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])]
+    first = kept.withColumn("__turn", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(*ordered))).where("__turn = 1")
+    return first.drop("__id", "__hash", "__turn").unionByName(docs.where(docs[doc_id].isNull()))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
