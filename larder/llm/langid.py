@@ -5,9 +5,10 @@ A document's posterior over languages is the product of
 - the likelihood of its declared language (markup, metadata) and of its address suffix, each given the language,
 - a prior of its host, shrunk towards its domain's, which is shrunk towards the corpus's.
 
-Text models are fitted on a bounded number of distinct texts of each declared language. Everything else is counted over all
-documents: text-only posteriors are summed by (host, declared, suffix), and the tables of hosts,
-domains, declarations and suffixes are sums of those sums.
+Text models are fitted on a bounded number of distinct texts of each declared language. Languages with too few texts for a model
+of their own share one, and a document that it fits best has the language it declares. Everything else is counted over all
+documents: text-only posteriors are summed by (host, declared, suffix), and the tables of hosts, domains, declarations and
+suffixes are sums of those sums.
 """
 
 from __future__ import annotations
@@ -20,17 +21,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.vectors import matrix
 from larder.runtime import materialize
 
 FEATURES = 1 << 15
 SAMPLE = 4_000  # distinct texts that a language's text model is fitted on, at most
-LEAST = 10  # distinct texts that a declared language needs to get a model,
-MIN_SHARE = 0.005  # or this share of all distinct texts in a small corpus
+LEAST = 10  # distinct texts that a declared language needs to get a model of its own,
+MIN_SHARE = 0.005  # or this share of all distinct texts in a small corpus; others share one model
+MODELS = 255  # models of one language, at most: those with the most texts
 COPIES = 3  # times that copies of one text count, at most
 TEMPER = 0.25  # neighbouring trigrams share letters: each counts as a quarter of an observation
 SHRINK = 20.0  # documents that a host's or domain's parent counts for
 PIECE = 1 << 20  # bytes of text worked on at once
-OTHER = "other"
+REST = "*"  # the class of languages that share a model; no declaration reads like this
 
 _letters = np.full(256, 32, np.uint8)
 for _b in range(256):
@@ -47,12 +50,12 @@ def _trigrams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mixed * np.uint32(0x27D4EB2F)) >> np.uint32(32 - 15), b[1:-1] != 32
 
 
-def _pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+def _pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, np.ndarray]]:
     """Each whole text, between two spaces, in overlapping pieces of bounded size."""
     for k, text in enumerate(texts):
         raw = np.frombuffer(b" " + (text.as_py() or "").encode() + b" ", np.uint8)
-        for at in range(0, max(1, len(raw) - 2), PIECE):
-            yield k, raw[at : at + PIECE + 2]
+        for at in range(0, max(1, len(raw) - 2), size):
+            yield k, raw[at : at + size + 2]
 
 
 @dataclass
@@ -66,7 +69,7 @@ class TextModel:
         """Tempered log-likelihoods, a row per text, and the number of trigrams about a letter."""
         out, letters = np.zeros((len(texts), len(self.languages) + 1)), np.zeros(len(texts), np.int64)
         group: list[tuple[int, np.ndarray]] = []
-        held = 0
+        held, size = 0, 4 * PIECE // (len(self.languages) + 1)  # the weights of a piece: a few bytes for each language
 
         def flush():
             at = np.cumsum([0, *(len(raw) for _, raw in group)])
@@ -77,10 +80,10 @@ class TextModel:
                 out[k] += weights[span].sum(axis=0, dtype=np.float64)
                 letters[k] += np.count_nonzero(inside[span])
 
-        for k, raw in _pieces(texts):
+        for k, raw in _pieces(texts, size):
             group.append((k, raw))
             held += len(raw)
-            if held >= PIECE:
+            if held >= size:
                 flush()
                 group, held = [], 0
         if group:
@@ -96,16 +99,27 @@ def primary(declared: Column) -> Column:
 def fit_text_model(docs: DataFrame, text: str, declared: str, sample: int = SAMPLE) -> TextModel:
     """Trigram counts per declared language, each of the `sample` distinct texts of least hash.
 
-    Which languages get a model is decided on all documents: those of LEAST distinct texts, or of
-    MIN_SHARE of all where that is less. Copies of a text count COPIES times at most.
+    Which languages get a model of their own is decided on all documents: the MODELS commonest of those that have LEAST
+    distinct texts, or MIN_SHARE of all where that is less. The other declared languages share the model REST.
+    Copies of a text count COPIES times at most.
     """
     given = docs.where(F.col(declared).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(declared).alias("declared"), F.xxhash64(text).alias("hash"))
     texts = materialize(given.groupBy("declared", "hash").agg(F.least(F.count("*"), F.lit(COPIES)).alias("copies")))
-    least = min(LEAST, texts.count() * MIN_SHARE)
-    common = texts.groupBy("declared").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
-    wanted = [r.declared for r in common.select("declared").collect()]
-    turn = F.expr("row_number() over (partition by declared order by hash)")
-    drawn = materialize(texts.where(F.col("declared").isin(wanted)).withColumn("turn", turn).where(F.col("turn") <= sample).drop("turn"))
+    sizes = texts.groupBy("declared").agg(F.count("*").alias("texts"))
+    whole = texts.count()
+    least = min(LEAST, whole * MIN_SHARE)
+    # MODELS rows at most.
+    own = sizes.where(F.col("texts") >= least).orderBy(F.desc("texts"), "declared").limit(MODELS).collect()
+    known = docs.sparkSession.createDataFrame([(r.declared, r.texts) for r in own], "declared string, texts long")
+    rest = whole - sum(r.texts for r in own)
+    classed = texts.join(F.broadcast(known), "declared", "left").select(
+        "declared", "hash", "copies", F.when(F.col("texts").isNull(), F.lit(REST)).otherwise(F.col("declared")).alias("class"), F.coalesce("texts", F.lit(rest)).alias("texts")
+    )
+    # Hashes are even: those below twice the wanted share hold the `sample` least ones, and little else moves.
+    share = (F.col("hash") / F.lit(2.0**64) + 0.5) * F.col("texts")
+    near = classed.where(share <= 2 * sample + 100)
+    turn = F.expr("row_number() over (partition by class order by hash, declared)")
+    drawn = materialize(near.withColumn("turn", turn).where(F.col("turn") <= sample).drop("turn", "texts"))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()  # of the drawn texts only
@@ -121,28 +135,29 @@ def fit_text_model(docs: DataFrame, text: str, declared: str, sample: int = SAMP
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            names, copies = batch.column("declared").to_pylist(), batch.column("copies").to_pylist()
+            names, copies = batch.column("class").to_pylist(), batch.column("copies").to_pylist()
             for k, raw in _pieces(batch.column("text")):
                 features, inside = _trigrams(raw)
                 own = sums.setdefault(names[k], np.zeros(FEATURES, np.int64))
                 own += copies[k] * np.bincount(features[inside], minlength=FEATURES)
         for name, own in sums.items():
-            yield pa.RecordBatch.from_pydict({"declared": [name], "counts": [own.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"class": [name], "counts": [own.tobytes()]})
 
     def add(parts: pa.Table) -> pa.Table:
         total = sum((np.frombuffer(c, np.int64) for c in parts.column("counts").to_pylist()), np.zeros(FEATURES, np.int64))
-        return pa.table({"declared": parts.column("declared").slice(0, 1), "counts": [total.tobytes()]})
+        return pa.table({"class": parts.column("class").slice(0, 1), "counts": [total.tobytes()]})
 
-    schema = "declared string, counts binary"
-    picked = given.join(F.broadcast(drawn), ["declared", "hash"]).select("declared", "hash", "copies", "text")
+    schema = "class string, counts binary"
+    # At most `sample` rows for each of MODELS + 1 classes.
+    picked = given.join(F.broadcast(drawn), ["declared", "hash"]).select("declared", "hash", "class", "copies", "text")
     picked = picked.mapInArrow(once, picked.schema).dropDuplicates(["declared", "hash"])
-    rows = sorted(picked.mapInArrow(count, schema).groupBy("declared").applyInArrow(add, schema).collect())
+    rows = sorted(picked.mapInArrow(count, schema).groupBy("class").applyInArrow(add, schema).collect())
     table = np.zeros((FEATURES + 1, len(rows) + 1), np.float32)
     for k, row in enumerate(rows):
         counts = np.frombuffer(row.counts, np.int64) + 0.05
         table[:-1, k] = np.log(counts / counts.sum())
     table[:-1, -1] = -np.log(FEATURES)
-    return TextModel([r.declared for r in rows], table)
+    return TextModel([r["class"] for r in rows], table)
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -186,39 +201,30 @@ def _evidence(combined: DataFrame, column: str, n: int) -> DataFrame:
     return table.join(F.broadcast(per_language), how="cross").select(column, likely.alias(f"{column}_evidence"))
 
 
-def identify(
-    docs: DataFrame,
-    keys: list[str],
-    text: str = "text",
-    declared: str | None = None,
-    suffix: str | None = None,
-    host: str | None = None,
-    sample: int = SAMPLE,
-) -> DataFrame:
-    """The key columns of every row, and language, confidence, letters and accepted.
-
-    declared, suffix, host: names of string columns, null where a row lacks that evidence.
-    A row is accepted if its text holds a letter, a known language is likelier than none, and that
-    language has over half of the posterior. Null and empty texts, and those without letters, have no
-    language. Repeated rows give repeated rows; an empty table gives an empty result. Key columns
-    should not be named like an added one.
-    """
+def _given(docs: DataFrame, keys: list[Column], text: str, declared: str | None, suffix: str | None, host: str | None) -> DataFrame:
+    """keys, declared, suffix, host and text of docs; null where a row lacks that evidence."""
 
     def optional(name: str | None) -> Column:
         return docs[name].cast("string") if name else F.lit(None).cast("string")
 
-    rows = docs.select(
-        *[docs[c].alias(f"key_{n}") for n, c in enumerate(keys)],
+    return docs.select(
+        *keys,
         primary(optional(declared)).alias("declared"),
         F.nullif(F.lower(optional(suffix)), F.lit("")).alias("suffix"),
         F.nullif(F.lower(optional(host)), F.lit("")).alias("host"),
         docs[text].alias("text"),
     )
-    model = fit_text_model(rows, "text", "declared", sample)
-    n = len(model.languages) + 1
-    scored = materialize(score_texts(rows, "text", model))
-    domain = F.substring_index("host", ".", -2)
-    combined = materialize(scored.groupBy("host", "declared", "suffix").agg(_summed("posterior", n).alias("mass")).withColumn("domain", domain))
+
+
+EVIDENCE = ("host", "declared", "suffix")
+
+
+def _bias(combined: DataFrame, n: int) -> DataFrame:
+    """of_host, of_declared, of_suffix and bias: the log of what all evidence but the text adds to each language.
+
+    combined: text-only posteriors summed (`mass`) by host, declared and suffix.
+    """
+    combined = combined.withColumn("domain", F.substring_index("host", ".", -2))
     corpus = combined.agg(_summed("mass", n).alias("corpus_sums"))
     corpus = corpus.select(F.transform("corpus_sums", lambda s: (s + 1) / (_total("corpus_sums") + n)).alias("corpus"))
     hosts = combined.where("host is not null").groupBy("host").agg(_summed("mass", n).alias("host_sums"))
@@ -229,11 +235,36 @@ def identify(
     prior = F.transform(_shrunk(F.col("host_sums"), _shrunk(F.col("domain_sums"), F.col("corpus"))), lambda p: F.log(p))
     for column in ("declared", "suffix"):
         prior = F.coalesce(F.zip_with(prior, f"{column}_evidence", lambda a, b: a + b), prior)
-    bias = bias.select(*[F.col(c).alias(f"of_{c}") for c in ("host", "declared", "suffix")], prior.alias("bias"))
-    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in ("host", "declared", "suffix")]
+    return bias.select(*[F.col(c).alias(f"of_{c}") for c in EVIDENCE], prior.alias("bias"))
+
+
+def identify(
+    docs: DataFrame,
+    keys: list[str],
+    text: str = "text",
+    declared: str | None = None,
+    suffix: str | None = None,
+    host: str | None = None,
+    sample: int = SAMPLE,
+) -> DataFrame:
+    """The key columns of every row, and language, confidence, letters and accepted.
+
+    declared, suffix, host: names of string columns, null where a row lacks that evidence.
+    A row is accepted if its text holds a letter, a known language is likelier than none, and that
+    language has over half of the posterior. Where the model that rare languages share is likeliest, the
+    language is the declared one; without a declaration there is none. Null and empty texts, and those without letters, have no
+    language. Repeated rows give repeated rows; an empty table gives an empty result. Key columns
+    should not be named like an added one.
+    """
+    rows = _given(docs, [docs[c].alias(f"key_{n}") for n, c in enumerate(keys)], text, declared, suffix, host)
+    model = fit_text_model(rows, "text", "declared", sample)
+    n = len(model.languages) + 1
+    scored = materialize(score_texts(rows, "text", model))
+    bias = _bias(materialize(scored.groupBy(*EVIDENCE).agg(_summed("posterior", n).alias("mass"))), n)
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in EVIDENCE]
     fused = scored.join(bias, same[0] & same[1] & same[2], "left").withColumn("total", F.zip_with("likelihood", "bias", lambda a, b: a + b))
     best = F.array_max("total")
-    named = F.array(*[F.lit(x) for x in model.languages], F.lit(None).cast("string"))
+    named = F.array(*[F.col("declared") if x == REST else F.lit(x) for x in model.languages], F.lit(None).cast("string"))
     fused = fused.select(
         *[F.col(f"key_{k}").alias(c) for k, c in enumerate(keys)],
         F.when(F.col("letters") > 0, F.try_element_at(named, F.array_position("total", best).cast("int"))).alias("language"),
@@ -243,15 +274,36 @@ def identify(
     return fused.withColumn("accepted", F.col("language").isNotNull() & (F.col("confidence") > 0.5))
 
 
-def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of documents whose language is accepted, declared by `lang` and hosted by `source`.
+def keep_identified(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source", sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that identify accepts, as they are: each row is judged by its own text and evidence.
 
-    A decision is a row's own, by doc_id and text: of repeated ids with other texts each has its own.
+    Texts are read three times and never move: once for the models, once for the sums of the evidence, and once to
+    judge a row beside the few sums that concern it.
     """
-    marked = docs.withColumn("__text", F.xxhash64("text"))
-    told = identify(marked, ["doc_id", "__text"], "text", "lang", None, "source", sample).where("accepted")
-    told = told.select(F.col("doc_id").alias("__id"), F.col("__text").alias("__hash")).distinct()
-    return marked.join(told, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi").drop("__text")
+    rows = _given(docs, [], text, declared, None, host)
+    model = fit_text_model(rows, "text", "declared", sample)
+    n = len(model.languages) + 1
+    summed = score_texts(rows, "text", model).groupBy(*EVIDENCE).agg(_summed("posterior", n).alias("mass"))
+    bias = materialize(_bias(materialize(summed), n))
+    evidence = _given(docs, [docs[c].alias(f"__{k}") for k, c in enumerate(docs.columns)], text, declared, None, host)
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in EVIDENCE]
+    # The sums are a row for each combination of evidence: Spark knows the table's size, and broadcasts it if it is small.
+    beside = evidence.join(bias, same[0] & same[1] & same[2], "left").select(*[f"__{k}" for k in range(len(docs.columns))], "declared", "bias", "text")
+    names = docs.columns
+    known = np.array([x != REST for x in model.languages] + [False])
+    rest = np.array([x == REST for x in model.languages] + [False])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got, letters = model.score(batch.column("text"))
+            total = got + matrix(batch.column("bias"), n)
+            best = total.argmax(axis=1)
+            confidence = _softmax(total)[np.arange(len(best)), best]
+            named = known[best] | (rest[best] & batch.column("declared").is_valid().to_numpy(zero_copy_only=False))
+            kept = pa.array(named & (letters > 0) & (confidence > 0.5))
+            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in batch.columns[:-3]], names)
+
+    return beside.mapInArrow(judge, docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
