@@ -1,9 +1,10 @@
 """Mixing sources to target weights.
 
 Weights are the sources' token shares raised to one exponent and normalised: 1 keeps the corpus as it
-is, 0 makes all sources equal. The exponent is bisected until the weights reach an entropy or a bound
-on repetition. A budget of tokens then turns weights into passes: a source's documents lie in blocks,
-each pass is a fresh permutation of its blocks, and the pass that ends inside a source takes whole
+is, 0 makes all sources equal. The exponent is bisected until the weights reach an entropy; without one,
+until they keep a bound on repetition. With both, passes over a source beyond the bound are cut off, and what
+is left of the budget goes to the other sources. A budget of tokens then turns weights into passes: a
+source's documents lie in blocks, each pass is a fresh permutation of its blocks, and the pass that ends inside a source takes whole
 blocks in that order and, of the block in which the budget ends, documents in a random order.
 """
 
@@ -23,7 +24,7 @@ STEPS = 32  # exponents tried in one job
 
 @dataclass(frozen=True)
 class Mix:
-    """What weights have to meet. With both limits, the bound on repetition is kept first.
+    """What weights have to meet. With both limits, the bound on repetition is kept first: see weights.
 
     entropy: share of the greatest possible entropy, 0 to 1. repeats: most passes over any source.
     budget: tokens to deal out, as a multiple of the corpus; None: just enough that each document of
@@ -50,8 +51,8 @@ def exponent(totals: DataFrame, mix: Mix) -> float:
     """The exponent in [0, 1] for a table of (source_key, size). Only sums over sources reach the driver.
 
     Entropy falls as the exponent grows, and so do repetitions: the largest exponent that reaches the
-    entropy is wanted, and the smallest that keeps within the repetitions. Where a limit can't be met
-    even at the end of the range, that end is used.
+    entropy is wanted, and where none is asked for the smallest that keeps within the repetitions. Where a
+    limit can't be met even at the end of the range, that end is used.
     """
     sized = totals.where("size > 0")
     corpus = sized.agg(F.sum("size"), F.min("size"), F.max("size"), F.count("*")).first()
@@ -92,30 +93,69 @@ def exponent(totals: DataFrame, mix: Mix) -> float:
     if mix.entropy is not None and sources > 1:
         target = mix.entropy * math.log(sources)
         found = bisect(lambda a, z, w: entropy(a, z, w) >= target)
-    if mix.repeats is not None:
+    elif mix.repeats is not None:
         # The smallest exponent within the bound is just above the largest one beyond it.
         beyond = bisect(lambda a, z, w: passes(a, z) > mix.repeats)
         kept = 0.0 if passes(0.0, float(sources)) <= mix.repeats else beyond
-        found = max(found, kept) if mix.entropy is not None else kept
+        found = kept
     return found
 
 
+def _stretch(planned: DataFrame, budget: float, repeats: float) -> float:
+    """How many times the passes of sources within the bound grow, so that all meet the budget with none beyond it.
+
+    Bisected on sums over sources, a grid of factors in one job. Infinite if `repeats` passes over all don't fill it.
+    """
+    most = planned.agg(F.sum("size") * repeats).first()[0] or 0.0
+    if budget >= most:
+        return math.inf
+    low, high = 1.0, 2.0
+
+    def spent(factors: list[float]) -> list[float]:
+        got = planned.agg(*[F.sum(F.col("size") * F.least(F.col("passes") * f, F.lit(repeats))) for f in factors]).first()
+        return list(got)
+
+    while spent([high])[0] < budget:
+        low, high = high, high * 16
+    for _ in range(8):
+        grid = [low + (high - low) * k / (STEPS - 1) for k in range(STEPS)]
+        last = max([k for k, s in enumerate(spent(grid)) if s <= budget], default=0)
+        low, high = grid[last], grid[min(last + 1, STEPS - 1)]
+    return low
+
+
 def weights(totals: DataFrame, mix: Mix) -> DataFrame:
-    """source_key, size, weight and passes (size times passes is the source's part of the budget).
+    """source_key, size, weight, passes (size times passes is the source's part of the budget) and share.
 
-    A source without tokens has weight 0 and is dealt once.
+    weight is the source's at the exponent found, share its part of what is dealt: the two differ where passes are cut
+    off at `repeats`. What that frees of a stated budget goes to the sources within the bound, in proportion to their
+    weights; without a budget less is dealt. A source without tokens has weight 0 and is dealt once.
     """
     a = exponent(totals, mix)
     summed = totals.where("size > 0").agg(F.sum("size").alias("whole"), F.sum(F.pow("size", F.lit(a))).alias("z"), F.max("size").alias("most"))
     # One row of three sums, joined to each source.
     weight = F.when(F.col("size") > 0, F.pow("size", F.lit(a)) / F.col("z")).otherwise(0.0)
     budget = F.col("whole") * F.lit(mix.budget) if mix.budget is not None else F.col("most") * F.col("z") / F.pow("most", F.lit(a))
-    return totals.join(F.broadcast(summed), how="cross").select(
-        "source_key",
-        "size",
-        weight.alias("weight"),
-        F.when(F.col("size") > 0, F.round(weight * budget / F.col("size"), 9)).otherwise(1.0).alias("passes"),
+    planned = totals.join(F.broadcast(summed), how="cross").select(
+        "source_key", "size", weight.alias("weight"), F.when(F.col("size") > 0, weight * budget / F.col("size")).otherwise(1.0).alias("passes")
     )
+    if mix.repeats is not None:
+        factor = 1.0
+        if mix.budget is not None and not planned.where(F.col("passes") > mix.repeats * (1 + 1e-9)).isEmpty():
+            factor = _stretch(planned, mix.budget * float(summed.first()["whole"]), mix.repeats)
+        stretched = F.lit(mix.repeats) if math.isinf(factor) else F.least(F.col("passes") * factor, F.lit(mix.repeats))
+        planned = planned.withColumn("passes", F.when(F.col("size") > 0, stretched).otherwise(F.col("passes")))
+    planned = planned.withColumn("passes", F.round("passes", 9))
+    dealt = planned.agg(F.sum(F.col("size") * F.col("passes")).alias("dealt"))
+    share = F.when(F.col("dealt") > 0, F.col("size") * F.col("passes") / F.col("dealt")).otherwise(0.0)
+    return planned.join(F.broadcast(dealt), how="cross").withColumn("share", share).drop("dealt")
+
+
+def entropy_reached(weighted: DataFrame) -> float:
+    """The entropy of the shares that are dealt, as a part of the greatest possible; 1 for a single source."""
+    part = F.when(F.col("share") > 0, F.col("share") * F.log("share")).otherwise(0.0)
+    found = weighted.where("size > 0").agg(F.sum(part).alias("sum"), F.count("*").alias("sources")).first()
+    return 1.0 if found["sources"] < 2 else -found["sum"] / math.log(found["sources"])
 
 
 def mix_sources(
@@ -128,8 +168,8 @@ def mix_sources(
 
     tokens: a document's size; its words by default. Sizes of null or less count as 0. Rows with a null
     source form a source. Documents are dealt to blocks by a hash of doc_id and text, so repeated rows
-    share their block, and each of them is dealt. No source, block or document passes whole through
-    one task but the one block in which a source's budget ends, 1/1024 of the source. Input columns
+    share their block, and each of them is dealt. Rows are read once for whole passes and once for the block in which
+    a source's budget ends, 1/1024 of the source; only that block is ordered, in one task. Input columns
     named epoch, block or place are replaced.
     """
     kept = [c for c in docs.columns if c not in ("epoch", "block", "place")]
@@ -142,13 +182,18 @@ def mix_sources(
     totals = blocks.groupBy(F.col("__key").alias("source_key")).agg(F.sum("tokens").alias("size"))
     planned = _plan(blocks, weights(totals, mix), seed)
     # A block's passes: whole ones, and in the last perhaps a part of `quota` tokens.
-    dealt = rows.join(planned, (F.col("__key") == F.col("source_key")) & (F.col("__block") == F.col("own")))
-    dealt = dealt.withColumn("__draw", F.xxhash64("__hash", "epoch")).drop("source_key", "own")
-    # Of the block in which a budget ends: documents up to the first that reaches it.
+    own = (F.col("__key") == F.col("source_key")) & (F.col("__block") == F.col("own"))
+    planned = materialize(planned)
+
+    def dealt(passes: DataFrame) -> DataFrame:
+        return rows.join(passes, own).withColumn("__draw", F.xxhash64("__hash", "epoch"))
+
+    columns = [*[F.col(f"`{c}`") for c in kept], "epoch", "block", F.col("__draw").alias("place")]
+    whole = dealt(planned.where("quota is null")).select(*columns)
+    # Of the one block of a source in which its budget ends: documents up to the first that reaches it.
     order = Window.partitionBy("__key", "__block", "epoch").orderBy("__draw", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = dealt.withColumn("__before", F.coalesce(F.sum("__size").over(order), F.lit(0)))
-    dealt = dealt.where("quota is null or __before < quota")
-    return dealt.select(*[F.col(f"`{c}`") for c in kept], "epoch", "block", F.col("__draw").alias("place"))
+    part = dealt(planned.where("quota is not null")).withColumn("__before", F.coalesce(F.sum("__size").over(order), F.lit(0)))
+    return whole.unionByName(part.where("__before < quota").select(*columns))
 
 
 def _plan(blocks: DataFrame, weighted: DataFrame, seed: int) -> DataFrame:

@@ -1,9 +1,10 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm.mixing import Mix, exponent, mix_sources, weights, word_count
+from larder.llm.mixing import Mix, entropy_reached, exponent, mix_sources, weights, word_count
 
 TOTALS = {"a": 9000, "b": 900, "c": 90, "d": 0}
 
@@ -45,7 +46,6 @@ def test_entropy_target(totals):
 def test_repetition_limit(totals, budget):
     want = bisect(lambda a: passes(a, budget) > 3)
     assert exponent(totals, Mix(repeats=3.0, budget=budget)) == pytest.approx(want, abs=1e-6)
-    assert exponent(totals, Mix(entropy=0.999, repeats=3.0, budget=budget)) == pytest.approx(want, abs=1e-6)
 
 
 def test_weights_sum_to_one(totals):
@@ -79,3 +79,60 @@ def test_words(spark):
     texts = [None, "", " \t\n", "a", " a  b\x0bc\r\n", "é\u00a0x y"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(word_count(F.col("t"))).collect()]
     assert got == [len((t or "").encode().split()) for t in texts]
+
+
+@pytest.mark.parametrize("budget", [1.0, 1.4, 2.0, None])
+def test_a_tiny_source_does_not_stop_the_mixing(spark, budget):
+    """Its passes are cut off; the others are mixed as the entropy asks, and take what it leaves of the budget."""
+    sizes = {"huge": 1_000_000, "large": 100_000, "small": 30_000, "tiny": 10}
+    totals = spark.createDataFrame(list(sizes.items()), "source_key string, size long")
+    mix = Mix(entropy=0.8, repeats=3.0, budget=budget)
+    alone = exponent(totals, Mix(entropy=0.8, budget=budget))
+    assert exponent(totals, mix) == alone < 0.7
+    weighted = weights(totals, mix)
+    rows = {r.source_key: r for r in weighted.collect()}
+    whole, dealt = sum(sizes.values()), sum(r.size * r.passes for r in rows.values())
+    assert max(r.passes for r in rows.values()) == 3.0 == rows["tiny"].passes
+    if budget is not None:
+        assert dealt == pytest.approx(budget * whole, rel=1e-6)
+    free = {k: r.passes / (r.size ** (alone - 1)) for k, r in rows.items() if r.passes < 3.0}
+    assert len(free) >= 1 and max(free.values()) == pytest.approx(min(free.values()), rel=1e-6)  # in proportion to their weights
+    shares = [r.size * r.passes / dealt for r in rows.values()]
+    assert [r.share for r in rows.values()] == pytest.approx(shares)
+    assert entropy_reached(weighted) == pytest.approx(-sum(s * math.log(s) for s in shares) / math.log(4))
+
+
+def test_a_budget_beyond_the_bound_deals_every_source_that_often(totals):
+    rows = weights(totals, Mix(entropy=0.9, repeats=2.0, budget=5.0)).collect()
+    assert {r.source_key: r.passes for r in rows} == {"a": 2.0, "b": 2.0, "c": 2.0, "d": 1.0}
+
+
+def test_dealt_rows_equal_brute_force(spark):
+    """Whole permuted blocks up to the budget of a pass; of the block it ends in, documents up to the first that reaches it."""
+    docs = spark.range(3000).selectExpr(
+        "id AS doc_id", "CASE WHEN id % 10 = 0 THEN 'small' WHEN id % 97 = 1 THEN 'tiny' ELSE 'large' END AS source", "repeat('w ', 1 + CAST(id % 7 AS INT)) AS text"
+    )
+    mix = Mix(entropy=0.9, repeats=2.5, budget=0.8)
+    got = sorted((r.doc_id, r.epoch, r.block, r.place) for r in mix_sources(docs, mix).collect())
+    hashed = docs.withColumn("hash", F.xxhash64("doc_id", "text", F.lit(1)))
+    blocked = hashed.withColumn("own", F.pmod("hash", F.lit(1024)))
+    epochs = F.explode(F.array(*[F.lit(e) for e in range(3)]))
+    drawn = blocked.withColumn("epoch", epochs).withColumn("draw", F.xxhash64("hash", "epoch")).withColumn("order", F.xxhash64("own", "epoch", F.lit(1)))
+    rows = drawn.selectExpr("doc_id", "source", "own", "epoch", "draw", "order", "1 + doc_id % 7 AS size").collect()
+    size, blocks = Counter(), {}
+    for r in rows:
+        if r.epoch == 0:
+            size[r.source] += r.size
+        blocks.setdefault((r.source, r.epoch), {}).setdefault((r.order, r.own), []).append(r)
+    totals = spark.createDataFrame(list(size.items()), "source_key string, size long")
+    passes = {r.source_key: r.passes for r in weights(totals, mix).collect()}
+    want = []
+    for (source, epoch), held in blocks.items():
+        left = round((passes[source] - epoch) * size[source])
+        whole = passes[source] >= epoch + 1
+        for turn, (_, members) in enumerate(sorted(held.items())):
+            for r in sorted(members, key=lambda r: (r.draw, r.size)) if whole or left > 0 else ():
+                if whole or left > 0:
+                    want.append((r.doc_id, epoch, turn, r.draw))
+                left -= r.size
+    assert got == sorted(want)
