@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.tokens import hash_words, mix
-from larder.runtime import materialize
+from larder.operators.ordered import numbered
+from larder.runtime import Scratch
 
 SIMILARITY = Fraction(4, 5)
 BUCKETS = 1 << 20  # word counts; 4 MB in a task
@@ -423,10 +424,31 @@ def _fetch(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
     return texts.mapInArrow(fetch, "doc long, line int, words string")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionByName(pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")))
+
+
+class _Words:
+    """The words of lines that are compared, read from the texts once: a round only reads lines that no earlier one has."""
+
+    def __init__(self, texts: DataFrame, scratch: Scratch):
+        self.texts, self.scratch = texts, scratch
+        self.held: DataFrame | None = None
+        self.flags = np.zeros(BITS, bool)
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """doc, line and words of both ends of all pairs, and of others."""
+        wanted = bits_of(_ends(pairs))
+        new = wanted & ~self.flags
+        if self.held is None or new.any():
+            found = self.scratch.table(_fetch(self.texts, new))
+            self.held = found if self.held is None else self.held.unionByName(found)
+            self.flags |= wanted
+        return self.held
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, similarity: Fraction) -> DataFrame:
     """x_doc and x_line of the pairs whose words really are similar enough."""
-    ends = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionByName(pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")))
-    lines = materialize(_fetch(texts, bits_of(ends)))
     x = lines.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))
     y = lines.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))
     both = pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"])
@@ -443,42 +465,49 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null and empty texts have no lines. Rows without a doc_id take no part: their lines have no place in
     the order. Rows that repeat a doc_id are one document: equal line numbers are no match for each other.
     """
+    scratch = Scratch(docs.sparkSession)
     texts = docs.where(docs[doc_id].isNotNull() & docs[text].isNotNull()).select(docs[doc_id].cast("long").alias("doc"), docs[text].alias("text"))
-    surveyed = materialize(survey(texts, min_words))
+    surveyed = scratch.table(survey(texts, min_words))
     lines = surveyed.where("doc is not null").select("doc", "line", "d1", "d2")
     size = lines.count()
     order = F.struct("doc", "line")
-    sets = materialize(lines.groupBy("d1", "d2").agg(F.min(order).alias("first")))
+    sets = scratch.table(lines.groupBy("d1", "d2").agg(F.min(order).alias("first")))
     counts = word_counts(surveyed)
     # About a fifth of the words are prefix words, and each line has one more.
     parts = max(256, (int(counts.sum(dtype=np.int64)) // 5 + size) // PER_PART)
     posted = postings(texts, counts, parts, min_words, similarity)
-    near = rest = None
+    words = _Words(texts, scratch)
+    near = rest = found = None
     skip, take, only = 0, PROPOSED, None
     x, xy = ["x_doc", "x_line"], ["x_doc", "x_line", "y_doc", "y_line"]
     while size:
-        found = materialize(candidates(posted, similarity, skip, take, only))
+        before, found = found, scratch.table(candidates(posted, similarity, skip, take, only))
+        if before is not None:
+            scratch.drop(before)  # the lists that go on are in the new table
         proposed = found.where("y_doc is not null")
         if near is None:
+            held = words.of(proposed)
             # One proposal of each set first; what others it has waits for those that fail.
             best = proposed.groupBy(*x).agg(F.min(F.struct("differ", "y_doc", "y_line")).alias("best"))
-            tried = materialize(best.select(*x, "best.y_doc", "best.y_line"))
-            near = materialize(_verified(tried, texts, similarity))
-            rest = proposed.select(*xy).join(near, x, "left_anti").distinct().join(tried, xy, "left_anti")
+            tried = scratch.table(best.select(*x, "best.y_doc", "best.y_line"))
+            near = scratch.table(_verified(tried, held, similarity))
+            rest = scratch.table(proposed.select(*xy).join(near, x, "left_anti").distinct().join(tried, xy, "left_anti"))
+            scratch.drop(tried)
         else:
-            pairs = proposed.select(*xy).unionByName(rest).distinct().join(near, x, "left_anti")
-            near = materialize(near.unionByName(_verified(pairs, texts, similarity)))
-            rest = rest.where("false")
-        rest = materialize(rest)
-        left = found.where("y_doc is null and x_doc is not null").select(*x).distinct()
-        left = materialize(left.join(near, x, "left_anti"))
+            pairs = scratch.table(proposed.select(*xy).unionByName(rest).distinct().join(near, x, "left_anti"))
+            more = scratch.table(near.unionByName(_verified(pairs, words.of(pairs), similarity)))
+            scratch.drop(near, rest, pairs)
+            near, rest = more, None
+        left = scratch.table(found.where("y_doc is null and x_doc is not null").select(*x).distinct().join(near, x, "left_anti"))
         if left.isEmpty():
             break
         skip, take = (0, take) if only is None else (skip + take, take * GROWTH)
         only = bits_of(left)
+        scratch.drop(left)
         posted = found.where("blob is not null").select("part", "blob")
-    if near is not None and not rest.isEmpty():
-        near = materialize(near.unionByName(_verified(rest, texts, similarity)))
+        rest = near.select(*x, F.lit(None).cast("long").alias("y_doc"), F.lit(None).cast("int").alias("y_line")).where("false") if rest is None else rest
+    if near is not None and rest is not None and not rest.isEmpty():
+        near = scratch.table(near.unionByName(_verified(rest, words.of(rest), similarity)))
     later = lines.join(sets, ["d1", "d2"])
     if near is None:
         matched = later.where("false")
@@ -487,16 +516,33 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         firsts = sets.join(hit, F.col("first") == F.col("x"), "left_semi").select("first")
         matched = later.join(firsts.select(F.col("first").alias("x")), order == F.col("x"), "left_semi")
     gone = later.where(order > F.col("first")).unionByName(matched)
-    return gone.select(F.col("doc").alias("doc_id"), F.col("line").alias("line_no")).distinct()
+    result = scratch.table(gone.select(F.col("doc").alias("doc_id"), F.col("line").alias("line_no")).distinct())
+    scratch.close(result)
+    return result
+
+
+def _apart(docs: DataFrame, doc_id: str, text: str) -> DataFrame | None:
+    """__id, __hash and __doc: a number for each document, in order of ids, if an id stands for several texts."""
+    marked = docs.where(docs[doc_id].isNotNull()).select(docs[doc_id].alias("__id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("__hash"))
+    if marked.groupBy("__id").agg(F.min("__hash").alias("low"), F.max("__hash").alias("high")).where("low < high").isEmpty():
+        return None
+    return numbered(marked.distinct(), [F.col("__id"), F.col("__hash")], "__doc")
 
 
 def remove_lines(docs: DataFrame, similarity: Fraction = SIMILARITY, min_words: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without their repeated lines; a text whose lines all go is empty. No row goes; null texts stay null.
 
-    `n_chars`, where docs has it, counts the characters of the new text.
+    A document is an id and a text: rows that repeat an id with another text are documents of their own, in order of the
+    hashes of their texts. `n_chars`, where docs has it, counts the characters of the new text.
     """
-    gone = repeated_lines(docs, doc_id, text, similarity, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, docs[doc_id] == F.col("__id"), "left").drop("__id")
+    numbers = _apart(docs, doc_id, text)
+    if numbers is None:
+        named = docs.withColumn("__doc", docs[doc_id].cast("long"))
+    else:
+        hashed = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+        named = docs.join(numbers, (F.col("__id") == docs[doc_id]) & (F.col("__hash") == hashed), "left").drop("__id", "__hash")
+    gone = repeated_lines(named, "__doc", text, similarity, min_words).groupBy(F.col("doc_id").alias("__own")).agg(F.collect_set("line_no").alias("__gone"))
+    joined = named.join(gone, F.col("__doc") == F.col("__own"), "left").drop("__doc", "__own")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, k: ~F.array_contains("__gone", k)), "\n")
     joined = joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).drop("__gone")
     return joined.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else joined
