@@ -9,11 +9,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import bpe, langid, line_dedup, mixing, near_copies
+from larder.llm import bpe, langid, line_dedup, mixing, simhash
 from larder.runtime import materialize
 
 #: Every line with a word takes part, as in op4: a line in a script without spaces is one word.
 MIN_WORDS = 1
+#: Words of a shingle and differing bits of linked fingerprints, as op10 has them.
+SHINGLE_WORDS, DIFFERING_BITS = 3, 2
 #: No source is thinned out: the budget lets each document through at least once, and repeats those of
 #: sources that are too small for the target, at most twice.
 MIX = mixing.Mix(entropy=0.95, repeats=2.0)
@@ -30,8 +32,8 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    return near_copies.keep_one(docs)
+    """Of each group of documents that fingerprints connect the one with the smallest id."""
+    return simhash.keep_one(docs, words=SHINGLE_WORDS, budget=DIFFERING_BITS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
