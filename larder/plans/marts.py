@@ -111,6 +111,30 @@ def food_mart(
     nutrient_ids: list[str] = NUTRIENT_IDS,
 ) -> DataFrame:
     """One row per food known to any of three tables, with the median price over all its products."""
+    offers = food_offers(prices, products, rates)
+    return food_table(offers, ciqual_alim, ciqual_compo, calnut_0, calnut_1, agribalyse, colors, nutrients, nutrient_ids)
+
+
+def food_offers(prices: DataFrame, products: DataFrame, rates: DataFrame) -> DataFrame:
+    """(code, food_code, price): every price of a product with a food code, in EUR per 100 g."""
+    sold = products.where("ciqual_food_code IS NOT NULL").where(F.col("product_quantity").between(1, 30000))
+    sold = sold.select("code", F.col("ciqual_food_code").cast("long").alias("food_code"), "product_quantity")
+    offers = priced_products(prices.where("price IS NOT NULL").select("product_code", "price", "currency"), sold, rates)
+    return offers.select("code", "food_code", unit_price(offers, "price", "product_quantity", "rate").alias("price"))
+
+
+def food_table(
+    offers: DataFrame,
+    ciqual_alim: DataFrame,
+    ciqual_compo: DataFrame,
+    calnut_0: DataFrame,
+    calnut_1: DataFrame,
+    agribalyse: DataFrame,
+    colors: DataFrame,
+    nutrients: list[Nutrient],
+    nutrient_ids: list[str] = NUTRIENT_IDS,
+) -> DataFrame:
+    """The food mart from priced offers (food_code, price)."""
     codes = union_codes(
         "ciqual_food_code",
         (ciqual_alim.select(F.col("alim_code").cast("long")), "alim_code"),
@@ -121,11 +145,8 @@ def food_mart(
     wide = codes.join(facts, codes.ciqual_food_code == facts.food_code, "left").selectExpr(
         "ciqual_food_code", *as_columns(food_values(nutrients), nutrient_ids)
     )
-    sold = products.where("ciqual_food_code IS NOT NULL").where(F.col("product_quantity").between(1, 30000))
-    sold = sold.select("code", F.col("ciqual_food_code").cast("long").alias("_food_code"), "product_quantity")
-    offers = priced_products(prices.where("price IS NOT NULL").select("product_code", "price", "currency"), sold, rates)
-    per_offer = offers.select("_food_code", unit_price(offers, "price", "product_quantity", "rate").alias("price"))
-    medians = exact_median(per_offer, ["_food_code"], "price", "price", "price_count")
+    per_food = offers.select(F.col("food_code").alias("_food_code"), "price")
+    medians = exact_median(per_food, ["_food_code"], "price", "price", "price_count")
     foods = _foods(ciqual_alim, agribalyse, colors)
     joined = wide.join(medians, wide.ciqual_food_code == medians._food_code, "left").join(
         foods, wide.ciqual_food_code == foods._food, "left"
