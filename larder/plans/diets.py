@@ -5,6 +5,8 @@ buy there. Each round, a small programme per scenario is solved over the columns
 its duals, a few numbers, go to the candidates of its places, where every row computes its own
 reduced cost; the best few per scenario join the columns. When no row anywhere has a negative reduced cost, the
 solution is optimal for the whole table, which is the proof linear programming gives.
+
+A scenario's last basis goes with its bounds, and the next round starts from it: what came in since is all there is to do.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 
 from larder.functions.objective import compile_objective
 from larder.operators.joins import salted_join
-from larder.plans.simplex import solve
+from larder.plans.simplex import Basis, Solved, solve_from
 from larder.runtime import Scratch
 
 PRICING_TOLERANCE = 1e-7
@@ -30,6 +32,9 @@ SHOWN = 1e-3
 # Columns of the bought quantities and the parallel arrays they travel in.
 BOUGHT = {"item": "items", "quantity": "quantities", "cost": "costs", "amounts": "contents"}
 
+#: Columns a scenario's last basis travels in.
+BASIS = ("basis_items", "basis_levels", "raised")
+
 OFFER_COLUMNS = [
     "price_id", "product_code", "product_name", "ciqual_code", "ciqual_name", "color", "price",
     "location_osm_display_name", "location_osm_id",
@@ -38,7 +43,7 @@ OFFER_COLUMNS = [
 
 @dataclass(frozen=True)
 class Diets:
-    """scenarios: (scenario, status, objective, rounds, duals); quantities: (scenario, item, quantity, cost, amounts).
+    """scenarios: (scenario, status, objective, rounds, steps, duals), steps being pivots over all rounds; quantities: (scenario, item, quantity, cost, amounts).
 
     pool: (place, item, cost, amounts), the candidates that were priced; shops: (scenario, place).
     """
@@ -90,13 +95,14 @@ def optimize_diets(
     unknown = bounds.where(~F.coalesce(F.col("nutrient_id").isin(nutrients), F.lit(False))).select("nutrient_id").first()
     if unknown:
         raise ValueError(f"a bound is on {unknown[0]!r}, which is not among the nutrients {nutrients}")
+    item_type = candidates.schema["item"].dataType
     if shops is None:
         candidates = candidates.withColumnRenamed("scenario", "place")
         shops = bounds.select("scenario", F.col("scenario").alias("place"))
-    item_type = candidates.schema["item"].dataType
     k = per_round or 2 * len(nutrients) + 20
     scratch = Scratch(bounds.sparkSession)
-    limits = scratch.table(_limits(bounds, nutrients))
+    limits = _limits(bounds, nutrients).withColumn("steps", F.lit(0))
+    limits = scratch.table(limits.withColumns({c: F.lit(None).cast(kind) for c, kind in _basis_types(item_type).items()}))
     shops = scratch.table(shops.select("scenario", "place").distinct().join(limits.select("scenario"), "scenario", "left_semi"))
     pool = scratch.table(_pool(candidates, nutrients))
     columns = scratch.table(_seed(pool, shops, nutrients))
@@ -113,7 +119,8 @@ def optimize_diets(
         if entering.isEmpty():
             break
         merged = scratch.table(columns.join(improving, "scenario", "left_semi").union(entering.select(columns.columns)))
-        still = scratch.table(open_limits.join(improving, "scenario", "left_semi"))
+        still = open_limits.drop("steps", *BASIS).join(solved.select("scenario", "steps", *BASIS), "scenario")
+        still = scratch.table(still.join(improving, "scenario", "left_semi"))
         # What is finished is written apart, so that a round's tables can go.
         finished[-1] = scratch.table(finished[-1])
         scratch.drop(solved, entering, columns, *([open_limits] if open_limits is not limits else []))
@@ -123,7 +130,7 @@ def optimize_diets(
     bought = F.arrays_zip(*BOUGHT.values())
     quantities = result.where(F.col("status") == "optimal").select("scenario", F.inline(bought))
     quantities = quantities.withColumnsRenamed({array: name for name, array in BOUGHT.items()})
-    return Diets(result.drop("weight", *BOUGHT.values()), quantities, pool, shops, nutrients)
+    return Diets(result.drop("weight", *BOUGHT.values(), *BASIS), quantities, pool, shops, nutrients)
 
 
 def _limits(bounds: DataFrame, nutrients: list[str]) -> DataFrame:
@@ -178,6 +185,8 @@ def _solve(limits: DataFrame, columns: DataFrame, item_type: T.DataType, round_n
             T.StructField("quantities", T.ArrayType(T.DoubleType())),
             T.StructField("costs", T.ArrayType(T.DoubleType())),
             T.StructField("contents", T.ArrayType(T.ArrayType(T.DoubleType()))),
+            T.StructField("steps", T.IntegerType()),
+            *[T.StructField(name, kind) for name, kind in _basis_types(item_type).items()],
         ]
     )
 
@@ -186,19 +195,36 @@ def _solve(limits: DataFrame, columns: DataFrame, item_type: T.DataType, round_n
         known = rows[rows["cost"].notna()].sort_values(["item", "cost"])
         cost = known["cost"].to_numpy("float64")
         amounts = np.array(known["amounts"].tolist(), dtype="float64").reshape(len(known), len(lower)).T
+        items, last = known["item"].tolist(), rows.iloc[0]
         if (lower > upper).any():
-            status, x, duals, weight = "infeasible", np.zeros(len(known)), np.zeros(len(lower)), 0.0
+            got = Solved("infeasible", np.zeros(len(known)), np.zeros(len(lower)), 0.0, Basis([], [False] * len(lower)))
         else:
-            status, x, duals, weight = solve(cost, amounts, lower, upper)
-        value = float(cost @ x) if status == "optimal" else None
-        used = np.flatnonzero(x > 0)
-        bought = (known["item"].iloc[used].tolist(), x[used], cost[used], amounts.T[used].tolist())
-        return pd.DataFrame([(key[0], status, value, round_no, weight, duals, *bought)], columns=schema.names)
+            got = solve_from(cost, amounts, lower, upper, _known_basis(last, items))
+        value = float(cost @ got.x) if got.status == "optimal" else None
+        used = np.flatnonzero(got.x > 0)
+        bought = ([items[k] for k in used], got.x[used], cost[used], amounts.T[used].tolist())
+        members, raised = (got.basis.members, got.basis.raised) if got.basis else ([], [])
+        basis = ([items[v] if v >= 0 else None for v in members], [-1 if v >= 0 else -1 - v for v in members], raised)
+        steps = int(last["steps"]) + got.steps
+        return pd.DataFrame([(key[0], got.status, value, round_no, got.weight, got.prices, *bought, steps, *basis)], columns=schema.names)
 
     rows = limits.join(columns, "scenario", "left")
     return rows.groupBy("scenario").applyInPandas(one_scenario, schema)
 
 
+def _basis_types(item_type: T.DataType) -> dict[str, T.DataType]:
+    """A basis in columns: its items, null for a nutrient's level; that nutrient, -1 for an item; levels on their upper bound."""
+    return dict(zip(BASIS, (T.ArrayType(item_type), T.ArrayType(T.IntegerType()), T.ArrayType(T.BooleanType())), strict=True))
+
+
+def _known_basis(row: pd.Series, items: list) -> Basis | None:
+    names, levels, raised = (row[c] for c in BASIS)
+    if levels is None or not len(levels):
+        return None
+    place = {item: k for k, item in enumerate(items)}
+    return Basis([place[i] if n < 0 else -1 - int(n) for i, n in zip(names, levels, strict=True)], [bool(r) for r in raised])
+
+
 def _priced(pool: DataFrame, shops: DataFrame, duals: DataFrame) -> DataFrame:
     """The candidates of each scenario's places beside its duals; places without one of these scenarios drop out."""
     return salted_join(pool, shops.join(duals, "scenario"), "place", "item")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from larder.plans import diets as D
 from larder.plans import reports as R
-from larder.plans.simplex import solve
+from larder.plans.simplex import solve, solve_from
 
 
 def corners(cost, amounts, lower, upper):
@@ -225,3 +225,51 @@ def test_report_tells_repeated_price_ids_apart(spark):
     solved = D.optimize_diets(D.place_candidates(mart, ["protein"], "price", item), bounds, ["protein"], shops)
     rows = D.diet_report(solved, mart.withColumn("item", item)).collect()
     assert [(r.id, r.product_code, r.price, r.quantity_g) for r in rows] == [(1, "cheap", 4.0, 200.0)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.data())
+def test_a_later_basis_starts_from_the_last(data):
+    """Columns that come in later: the optimum from the old basis is that from none, and feasibility is not lost."""
+    n, m = data.draw(st.integers(2, 8)), data.draw(st.integers(1, 4))
+    draw = np.random.default_rng(data.draw(st.integers(0, 10**6)))
+    amounts, cost = draw.integers(0, 9, (m, n)).astype(float), draw.integers(1, 30, n).astype(float)
+    lower = draw.integers(0, 20, m).astype(float)
+    upper = lower + np.where(draw.random(m) < 0.3, np.inf, draw.integers(0, 20, m).astype(float))
+    some = data.draw(st.integers(1, n - 1))
+    first = solve_from(cost[:some], amounts[:, :some], lower, upper)
+    cold, warm = solve_from(cost, amounts, lower, upper), solve_from(cost, amounts, lower, upper, first.basis)
+    assert warm.status == cold.status and warm.weight == cold.weight
+    if first.status == "optimal":
+        assert warm.status == "optimal" and cost @ warm.x <= cost[:some] @ first.x + 1e-6
+    if cold.status == "optimal":
+        assert cost @ warm.x == pytest.approx(cost @ cold.x, abs=1e-6)
+        assert (cost - warm.prices @ amounts > -1e-6).all()
+    again = solve_from(cost, amounts, lower, upper, warm.basis)
+    assert again.steps == 0 and again.status == warm.status
+
+
+def test_warm_starts_save_steps():
+    draw = np.random.default_rng(5)
+    m, n = 12, 400
+    amounts, cost = draw.random((m, n)) * 50, draw.random(n) * 5 + 0.1
+    lower = draw.random(m) * 50 + 100
+    upper = lower * 1.3
+    first = solve_from(cost[:380], amounts[:, :380], lower, upper)
+    cold, warm = solve_from(cost, amounts, lower, upper), solve_from(cost, amounts, lower, upper, first.basis)
+    assert cost @ warm.x == pytest.approx(cost @ cold.x, rel=1e-9)
+    assert warm.steps < cold.steps / 2
+
+
+def test_rounds_go_on_from_the_last_basis(candidates, bounds, monkeypatch):
+    """Pivots of all rounds together are fewer than where each round starts anew."""
+
+    def total(diets):
+        return {r.scenario: (r.steps, r.rounds, r.status) for r in diets.scenarios.collect()}
+
+    warm = total(D.optimize_diets(candidates, bounds, NUTRIENTS, per_round=1))
+    monkeypatch.setattr(D, "_known_basis", lambda row, items: None)
+    cold = total(D.optimize_diets(candidates, bounds, NUTRIENTS, per_round=1))
+    assert {s: v[2] for s, v in warm.items()} == {s: v[2] for s, v in cold.items()}
+    assert max(v[1] for v in warm.values()) >= 3
+    assert sum(v[0] for v in warm.values()) < 0.7 * sum(v[0] for v in cold.values())

@@ -95,10 +95,10 @@ def diet_one_bound(spark, folder):
 
 
 def diet_certificates(spark, folder):
-    """Three ranges per brand, and whether the status found for each is proven over all its candidates."""
+    """Three ranges per brand: status, least cost, and whether it is proven over all the brand's candidates."""
     bounds = _bounds(_brands(spark, folder), THREE)
     solved = D.optimize_diets(_offers(spark, folder), bounds, list(THREE))
-    return D.certificate(solved, bounds).select("scenario", "proven")
+    return I.rounded(D.certificate(solved, bounds).select("scenario", "status", "objective", "proven"), 6, "objective")
 
 
 def diet_infeasible(spark, folder):
@@ -202,6 +202,36 @@ _OFFER = """offer AS price_id, part AS product_code, product_name, CAST(describe
 _AMOUNTS = {n: f"coalesce(CAST({n} AS DOUBLE), 0)" for n in NUTRIENTS}
 _SHOWN = ", ".join(f"round_even({amount} * bought, 4) AS {n}" for n, amount in _AMOUNTS.items())
 
+def _three_ranges_sql() -> str:
+    """All corners: one, two or three parts, in amounts that put as many nutrients on one of their bounds each."""
+    rows = {"p": THREE["protein"], "f": THREE["fat"], "e": THREE["energy"]}
+    sides = {r: f"(VALUES ({lo}), ({hi})) AS bound_{r}({r}0)" for r, (lo, hi) in rows.items()}
+    tries = [f"SELECT a.brand, a.part AS i, NULL AS j, NULL AS k, {r}0 / a.{r} AS x, 0 AS y, 0 AS z FROM best a, {sides[r]}" for r in rows]
+    for r, s in (("p", "f"), ("p", "e"), ("f", "e")):
+        det = f"(a.{r} * b.{s} - b.{r} * a.{s})"
+        tries.append(f"""SELECT a.brand, a.part, b.part, NULL, ({r}0 * b.{s} - b.{r} * {s}0) / {det}, (a.{r} * {s}0 - a.{s} * {r}0) / {det}, 0
+          FROM best a JOIN best b ON a.brand = b.brand AND a.part < b.part, {sides[r]}, {sides[s]} WHERE abs({det}) > 1e-9""")
+
+    def det3(one: str, two: str, three: str) -> str:
+        (a, b, c), (d, e, f), (g, h, i) = ([f"{table}.{r}" if table else f"{r}0" for r in rows] for table in (one, two, three))
+        return f"({a} * ({e} * {i} - {f} * {h}) - {d} * ({b} * {i} - {c} * {h}) + {g} * ({b} * {f} - {c} * {e}))"
+
+    whole, goal = det3("a", "b", "c"), ""
+    tries.append(f"""SELECT a.brand, a.part, b.part, c.part, {det3(goal, 'b', 'c')} / {whole}, {det3('a', goal, 'c')} / {whole}, {det3('a', 'b', goal)} / {whole}
+      FROM best a JOIN best b ON a.brand = b.brand AND a.part < b.part JOIN best c ON c.brand = b.brand AND b.part < c.part, {', '.join(sides.values())}
+      WHERE abs({whole}) > 1e-9""")
+    within = " AND ".join(
+        f"x * a.{r} + y * coalesce(b.{r}, 0) + z * coalesce(c.{r}, 0) BETWEEN {lo * (1 - 1e-9)} AND {hi * (1 + 1e-9)}" for r, (lo, hi) in rows.items()
+    )
+    return f"""WITH best AS (SELECT p_brand AS brand, p_partkey AS part, CAST(p_size AS DOUBLE) AS p, CAST(p_partkey * 7 % 90 + 1 AS DOUBLE) AS f,
+        p_retailprice / 10 AS e, min(l_extendedprice / l_quantity / 100) AS cost FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY ALL),
+      tried AS (SELECT * FROM ({' UNION ALL '.join(tries)}) WHERE x >= 0 AND y >= 0 AND z >= 0),
+      met AS (SELECT tried.brand, x * a.cost + y * coalesce(b.cost, 0) + z * coalesce(c.cost, 0) AS total
+        FROM tried JOIN best a ON a.part = i LEFT JOIN best b ON b.part = j LEFT JOIN best c ON c.part = k WHERE {within})
+      SELECT p_brand AS scenario, if(min(total) IS NULL, 'infeasible', 'optimal') AS status, round(min(total), 6) AS objective, TRUE AS proven
+      FROM (SELECT DISTINCT p_brand FROM part) LEFT JOIN met ON brand = p_brand GROUP BY p_brand"""
+
+
 SQL = {
     "objective_value": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, "
     + ", ".join(f"CAST({_sql_text(t)} AS DOUBLE) AS {n}" for n, t in OBJECTIVES.items())
@@ -248,8 +278,10 @@ SQL = {
         PROFILES,
         _PRICED,
     ),
-    "diet_certificates": "SELECT DISTINCT p_brand AS scenario, TRUE AS proven FROM part",
-    "diet_infeasible": "SELECT DISTINCT p_brand AS scenario, 'infeasible' AS status FROM part",
+    "diet_certificates": _three_ranges_sql(),
+    # Under one unit of fat a part gives at most its protein per fat.
+    "diet_infeasible": """SELECT p_brand AS scenario, if(max(p_size / (p_partkey * 7 % 90 + 1)) FILTER (l_partkey IS NOT NULL) >= 1e6, 'optimal', 'infeasible') AS status
+      FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_brand""",
     "macro_summary": """WITH s AS (SELECT l_returnflag, sum(l_quantity) AS p, sum(l_linenumber * 1.0::DOUBLE) AS c, sum(round(l_discount * 100)) AS f
         FROM lineitem GROUP BY 1), t AS (SELECT *, 4 * p + 4 * c + 9 * f AS total FROM s)
       SELECT l_returnflag, 'protein' AS nutrient, p AS weight_g, 4 * p AS energy_kcal, round(100 * (4 * p / total), 6) AS percent FROM t
