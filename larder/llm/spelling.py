@@ -39,7 +39,8 @@ def vocabulary(
     runs = docs.select(
         docs[doc_id].alias("doc_id"), F.explode(F.regexp_extract_all(F.translate(docs[text], UPPER, LOWER), F.lit(RUN), F.lit(0))).alias("run")
     )
-    words = runs.select(slipped(F.col("run"), F.col("doc_id"), every).alias("word")).where(F.length("word") >= length)
+    # A slip only shortens: shorter runs are no words anyway.
+    words = runs.where(F.length("run") >= length).select(slipped(F.col("run"), F.col("doc_id"), every).alias("word")).where(F.length("word") >= length)
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= count)
 
 
@@ -67,14 +68,12 @@ def signatures(words: DataFrame, parts: int = PARTS, distance: int = DISTANCE) -
 def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
     """word and other, both ways, of all words that one edit of a code point turns into each other.
 
-    words: one column, distinct. Lengths differ by one at most, so words of a signature meet by length class.
+    words: one column, distinct. Both sides of the join are the same rows, dealt once by their signature.
     """
-    signed = signatures(words.select("word"), parts).withColumn("length", F.length("word"))
-    # A pair of equal lengths meets in its class; one of unequal lengths in the class of the longer.
-    left = signed.withColumnRenamed("word", "a")
-    right = signed.select(F.col("word").alias("b"), "signature", F.col("length").alias("own"), F.explode(F.array("length", F.col("length") + 1)).alias("length"))
-    met = left.join(right, ["signature", "length"]).where((F.col("own") < F.col("length")) | (F.col("a") < F.col("b")))
-    pairs = met.where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
+    signed = signatures(words.select("word"), parts)
+    a, b = signed.alias("a"), signed.alias("b")
+    met = a.join(b, F.col("a.signature") == F.col("b.signature")).where("a.word < b.word")
+    pairs = met.select(F.col("a.word").alias("a"), F.col("b.word").alias("b")).where(F.levenshtein("a", "b", 1) == 1).distinct()
     return pairs.select(F.col("a").alias("word"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other")))
 
 
