@@ -158,3 +158,26 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
         out = np.where(x < 0.5, np.log(np.abs(math.pi / np.sin(math.pi * x))) - value, value)
         pole = ((x <= 0) & (x == np.floor(x))) | np.isinf(x)
         return np.where(pole, INF, out)
+
+
+# A prime modulus and multipliers that keep products of two of its residues within 63 bits.
+_PRIME = 2**31 - 1
+_ROUNDS = ((48271, 12345, 15), (39373, 907, 13), (62089911, 11, 16), (16807, 7, 11))
+
+
+def seed_of(value: float) -> int:
+    """A whole seed for a number from -1 to 1."""
+    return int((value + 1) * 2**29)
+
+
+def counter_random(key: Column, seed: int, stream: int = 1) -> Column:
+    """A number from 0 up to 1 that depends on key, seed and stream only: multiplications and shifts of whole numbers.
+
+    Equal keys draw equal numbers; NULL draws NULL.
+    """
+    whole = key.cast("long")
+    start = (seed * 69621 + stream * 40692) % _PRIME
+    state = (F.pmod(whole, F.lit(_PRIME)) + F.pmod(F.shiftright(whole, 31), F.lit(_PRIME)) * 3 + F.lit(start)) % _PRIME
+    for factor, term, shift in _ROUNDS:
+        state = (state.bitwiseXOR(F.shiftright(state, shift)) * F.lit(factor).cast("long") + F.lit(term)) % _PRIME
+    return state.cast("double") / _PRIME

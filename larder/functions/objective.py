@@ -119,16 +119,19 @@ OPERATORS: dict[type, Callable[[Column, Column], Column]] = {
 }
 
 
-def compile_objective(text: str, schema: T.StructType) -> Column:
+def compile_objective(text: str, schema: T.StructType, key: Column | None = None, seed: int = 0) -> Column:
     """The column that `text` stands for, over a DataFrame of this schema.
 
+    With `key`, a whole number that tells rows apart, random() is a function of the key and the seed: the same in every
+    run and however rows are partitioned. Without one it differs from run to run.
+
     Operators mean what they mean in DuckDB's SQL: `^` and `**` are
     powers, `//` cuts integers toward zero and divides floats, `n!` is a factorial,
     `@x` an absolute value, `log` the decimal logarithm.
     """
     tree = _parse(text)
     columns = {field.name.lower(): field for field in schema.fields}
-    return _column(tree.body, columns)
+    return _column(tree.body, columns, _Draws(key, seed) if key is not None else None)
 
 
 def check_objective(text: str, df: DataFrame) -> tuple[bool, str]:
@@ -271,7 +274,28 @@ def _regroups(parent: ast.BinOp, child: ast.AST) -> bool:
     return mixed and isinstance(parent.op, BIT_OPERATORS) and isinstance(child.op, BIT_OPERATORS)
 
 
-def _column(node: ast.AST, columns: dict[str, T.StructField]) -> Column:
+class _Draws:
+    """Random numbers of one objective: each call of random() has a stream of its own under the seed in force."""
+
+    def __init__(self, key: Column, seed: int):
+        self.key, self.seed, self.calls = key, seed, 0
+
+    def draw(self) -> Column:
+        self.calls += 1
+        return N.counter_random(self.key, self.seed, self.calls)
+
+    def reseed(self, node: ast.AST) -> None:
+        """setseed takes a constant from -1 to 1 and holds for the calls after it; streams start anew."""
+        try:
+            value = float(ast.literal_eval(node))
+        except (ValueError, TypeError) as error:
+            raise ObjectiveError("The seed has to be a constant.") from error
+        if not -1 <= value <= 1:
+            raise ObjectiveError("The seed lies between -1 and 1.")
+        self.seed, self.calls = N.seed_of(value), 0
+
+
+def _column(node: ast.AST, columns: dict[str, T.StructField], draws: _Draws | None = None) -> Column:
     _check_node(node)
     match node:
         case ast.Constant(value=value):
@@ -281,20 +305,24 @@ def _column(node: ast.AST, columns: dict[str, T.StructField]) -> Column:
                 raise ObjectiveError(f"Variable '{name}' not found.")
             return F.col(f"`{columns[name.lower()].name}`")
         case ast.UnaryOp(op=ast.USub()):
-            return -_column(node.operand, columns)
+            return -_column(node.operand, columns, draws)
         case ast.UnaryOp(op=ast.UAdd()):
-            return _column(node.operand, columns)
+            return _column(node.operand, columns, draws)
         case ast.UnaryOp(op=ast.Invert()):
-            return F.bitwise_not(_column(node.operand, columns))
+            return F.bitwise_not(_column(node.operand, columns, draws))
         case ast.BinOp(op=ast.FloorDiv()):
-            left, right = _column(node.left, columns), _column(node.right, columns)
+            left, right = _column(node.left, columns, draws), _column(node.right, columns, draws)
             if _integral(node.left, columns) and _integral(node.right, columns):
                 return F.call_function("div", left, right)
             return N.ieee_divide(left, right)
         case ast.BinOp():
-            return OPERATORS[type(node.op)](_column(node.left, columns), _column(node.right, columns))
+            return OPERATORS[type(node.op)](_column(node.left, columns, draws), _column(node.right, columns, draws))
         case ast.Call(func=ast.Name(id=name)):
-            args = [_column(a, columns) for a in node.args]
+            args = [_column(a, columns, draws) for a in node.args]
+            if draws and name.lower() == "random":
+                return draws.draw()
+            if draws and name.lower() == "setseed":
+                draws.reseed(node.args[0])
             if name.lower() in ("round", "round_even"):
                 return FUNCTIONS[name.lower()][1](args[0], _digits(node))
             if name.lower() == "divide" and all(_integral(a, columns) for a in node.args):

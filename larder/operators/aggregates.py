@@ -137,6 +137,51 @@ def venn_regions(key_sets: dict[str, DataFrame], key: str) -> DataFrame:
     return membership.groupBy(*names).agg(F.count(F.lit(1)).alias("keys"))
 
 
+def venn_bitmaps(id_sets: dict[str, DataFrame], key: str) -> DataFrame:
+    """venn_regions for keys that are whole numbers from 0 up: membership as bitmaps, one per set and bucket of keys.
+
+    A task folds its keys into bitmaps of 32,768 bits before anything moves, so keys never meet one by one: a bucket's
+    bitmaps do, and a region is an AND of them (or of their complements) and a count of bits.
+    """
+    names = list(id_sets)
+
+    def folded(name: str) -> DataFrame:
+        known = id_sets[name].where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"))
+        bits = F.bitmap_construct_agg(F.bitmap_bit_position("_key"))
+        return known.groupBy(F.bitmap_bucket_number("_key").alias("_bucket")).agg(bits.alias("_bits")).withColumn("_set", F.lit(name))
+
+    buckets = reduce(DataFrame.union, [folded(n) for n in names]).groupBy("_bucket").pivot("_set", names).agg(F.first("_bits"))
+    regions = _Regions(names)
+    counted = buckets.mapInArrow(regions, "region int, keys long").groupBy("region").agg(F.sum("keys").alias("keys"))
+    member = [F.shiftright("region", i).bitwiseAND(F.lit(1)).alias(n) for i, n in enumerate(names)]
+    return counted.where("keys > 0").select(*member, "keys")
+
+
+class _Regions:
+    """Of each bucket's bitmaps, the number of keys in every combination of sets, the empty one left out."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+
+    def __call__(self, batches):
+        import numpy as np
+        import pyarrow as pa
+
+        size = 1 << len(self.names)
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                # Each key's region number, a bit per set; then how often each number occurs.
+                number = 0
+                for i, name in enumerate(self.names):
+                    blob = batch.column(name)[row].as_py()
+                    if blob is not None:
+                        number = number + (np.unpackbits(np.frombuffer(blob, np.uint8)).astype(np.int64) << i)
+                total += np.bincount(number, minlength=size)
+        found = np.flatnonzero(total[1:]) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], ["region", "keys"])
+
+
 def grouped_structs(df: DataFrame, key: str, fields: list[str], name: str) -> DataFrame:
     """Sorted list of structs per key; a list is as long as its group (attribute lists, nutrient groups)."""
     return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))

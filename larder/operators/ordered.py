@@ -86,6 +86,22 @@ def numbered(df: DataFrame, order: list[Column], name: str = "row_num", slices:
     return cut.join(before, SLICE).withColumn(name, F.col("_before") + local).drop("_before", SLICE)
 
 
+def in_file_order(df: DataFrame, name: str = "row_num") -> DataFrame:
+    """Number rows from 1 as they lie in their files, files in order of their paths, however many splits they are read in.
+
+    df comes straight from files: it still has their hidden column _metadata. Inside a split rows follow each other, so
+    a split's first row number, a sum over the splits before it, is all that its rows need. Nothing is sorted but splits.
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    # Running ids depend on how a scan packs its splits; written once, they are the same for both readers.
+    placed = materialize(df.select("*", *split, F.monotonically_increasing_id().alias("_at")))
+    splits = placed.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    before = F.sum("_rows").over(Window.orderBy("_file", "_start").rowsBetween(*EARLIER))
+    offsets = splits.select("_file", "_start", (F.coalesce(before, F.lit(0)) + 1 - F.col("_first")).alias("_offset"))
+    numbered_rows = placed.join(offsets, ["_file", "_start"])
+    return numbered_rows.withColumn(name, F.col("_at") + F.col("_offset")).drop("_file", "_start", "_at", "_offset")
+
+
 def best_per_group(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each group in ascending order; every task keeps one row per group before the shuffle."""
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

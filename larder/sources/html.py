@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+PIECE = 1 << 16  # characters parsed at once
 
 
 class _Cells(HTMLParser):
@@ -64,6 +64,27 @@ class _Cells(HTMLParser):
             self.current = None
 
 
+def table_reader(table_tag: str = "tbody", row_tag: str = "tr", cell_tags: tuple[str, ...] = ("td", "th")):
+    """A table function for lateral joins: of a page's text the rows (table_no, row_no, cells) of all its tables.
+
+    A page is fed to the parser in pieces and its rows go out as they are found: memory holds a piece and a row.
+    """
+
+    class Reader:
+        def eval(self, html: str) -> Iterator[tuple[int, int, list[str]]]:
+            if html is None:
+                return
+            parser = _Cells(table_tag, row_tag, cell_tags)
+            for at in range(0, len(html), PIECE):
+                parser.feed(html[at : at + PIECE])
+                yield from parser.rows
+                parser.rows.clear()
+            parser.close()
+            yield from parser.rows
+
+    return F.udtf(Reader, returnType="table_no int, row_no int, cells array<string>")
+
+
 def extract_tables(
     pages: DataFrame,
     page: str,
@@ -73,23 +94,6 @@ def extract_tables(
     cell_tags: tuple[str, ...] = ("td", "th"),
 ) -> DataFrame:
     """(page, table_no, row_no, cells) for every row of every table of every page; numbers start at 0."""
-    schema = T.StructType(
-        [
-            T.StructField(page, pages.schema[page].dataType),
-            T.StructField("table_no", T.IntegerType()),
-            T.StructField("row_no", T.IntegerType()),
-            T.StructField("cells", T.ArrayType(T.StringType())),
-        ]
-    )
-
-    def parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for key, text in zip(batch[page], batch[html], strict=True):
-                parser = _Cells(table_tag, row_tag, cell_tags)
-                parser.feed(text)
-                parser.close()
-                found += [(key, *row) for row in parser.rows]
-            yield pd.DataFrame(found, columns=schema.names)
-
-    return pages.select(page, html).where(F.col(html).isNotNull()).mapInPandas(parse, schema)
+    read = table_reader(table_tag, row_tag, cell_tags)
+    kept = pages.select(page, html).where(F.col(html).isNotNull())
+    return kept.lateralJoin(read(F.col(html).outer())).select(page, "table_no", "row_no", "cells")

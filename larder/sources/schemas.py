@@ -114,3 +114,27 @@ PRICES = T.StructType(
         for name in names
     ]
 )
+
+# The columns of the product catalog that are used.
+_TAGS = T.ArrayType(T.StringType())
+PRODUCTS = T.StructType(
+    [
+        T.StructField("code", T.StringType()),
+        T.StructField("countries_tags", _TAGS),
+        T.StructField("nova_group", T.IntegerType()),
+        T.StructField("nutriments", NUTRIMENTS),
+        T.StructField("ecoscore_score", T.IntegerType()),
+        T.StructField("nutriscore_score", T.IntegerType()),
+        T.StructField("product_name", T.ArrayType(_text("lang", "text"))),
+        T.StructField("product_quantity_unit", T.StringType()),
+        T.StructField("product_quantity", T.StringType()),
+        T.StructField("quantity", T.StringType()),
+        T.StructField("categories", T.StringType()),
+        T.StructField("categories_tags", _TAGS),
+        T.StructField("compared_to_category", T.StringType()),
+        T.StructField(
+            "categories_properties",
+            T.StructType([T.StructField(n, T.IntegerType()) for n in ("ciqual_food_code", "agribalyse_food_code", "agribalyse_proxy_food_code")]),
+        ),
+    ]
+)

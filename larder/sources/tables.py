@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions import text as X
+from larder.operators.ordered import in_file_order
+from larder.operators.quality import Rule
 from larder.sources import schemas as S
 from larder.sources.xml import read_xml_rows
 
@@ -14,7 +16,7 @@ from larder.sources.xml import read_xml_rows
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Columns of `schema` by header name, whatever else the file holds and in whatever order.
 
-    Everything is read as text first, so one unreadable cell cannot shift a row.
+    Everything is read as text first, so one unreadable cell cannot shift a row. The hidden column _metadata stays.
     """
     text = spark.read.option("header", True).option("multiLine", False).option("escape", '"').csv(path)
     present = {c.lower(): c for c in text.columns}
@@ -32,8 +34,8 @@ def nutrient_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def nutrient_map_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The whole nutrient map with its file order as `row_num`, to be rewritten; one small file, read as one split."""
-    return read_csv(spark, path, S.NUTRIENT_MAP).withColumn("row_num", F.monotonically_increasing_id())
+    """The whole nutrient map with its file order as `row_num`, to be rewritten; from 0, over all its files and splits."""
+    return in_file_order(read_csv(spark, path, S.NUTRIENT_MAP)).withColumn("row_num", F.col("row_num") - 1)
 
 
 def ciqual_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
@@ -77,12 +79,17 @@ def ciqual_compo(rows: DataFrame) -> DataFrame:
     )
 
 
+def readable_measures() -> list[Rule]:
+    """Of composition text rows: each number is missing, marked as unknown, or can be read."""
+    return [
+        Rule(f"{c} is readable", F.coalesce(F.col(c) == "-", F.lit(True)) | X.measured(F.col(c)).isNotNull()) for c in ("min", "max", "teneur")
+    ]
+
+
 def unreadable_measures(rows: DataFrame) -> DataFrame:
     """Composition rows whose numbers `ciqual_compo` could not read, to be looked at rather than lost."""
-    broken = [
-        F.col(c).isNotNull() & (F.col(c) != "-") & X.measured(F.col(c)).isNull() for c in ("min", "max", "teneur")
-    ]
-    return rows.where(broken[0] | broken[1] | broken[2])
+    first, second, third = (~r.holds for r in readable_measures())
+    return rows.where(first | second | third)
 
 
 def ciqual_sources(rows: DataFrame) -> DataFrame:
@@ -117,10 +124,15 @@ def calnut_values(rows: DataFrame) -> DataFrame:
     )
 
 
+def readable_calnut() -> list[Rule]:
+    """Of the composition file's text rows: each number is missing or can be read."""
+    return [Rule(f"{c} is readable", F.coalesce(F.trim(c) == "", F.lit(True)) | X.decimal_comma(F.col(c)).isNotNull()) for c in _CALNUT_NUMBERS]
+
+
 def unreadable_calnut(rows: DataFrame) -> DataFrame:
     """Text rows with a number that is given but can't be read."""
-    broken = [(F.trim(c) != "") & X.decimal_comma(F.col(c)).isNull() for c in _CALNUT_NUMBERS]
-    return rows.where(F.coalesce(broken[0], F.lit(False)) | F.coalesce(broken[1], F.lit(False)) | F.coalesce(broken[2], F.lit(False)))
+    first, second, third = (~r.holds for r in readable_calnut())
+    return rows.where(first | second | third)
 
 
 def agribalyse(spark: SparkSession, path: str) -> DataFrame:
@@ -167,7 +179,12 @@ def prices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def products(spark: SparkSession, path: str) -> DataFrame:
-    return with_food_code(spark.read.parquet(path)).select(
+    """The catalog's columns that are used, typed as S.PRODUCTS says. A file that lacks one would read as NULL: that is an error."""
+    missing = sorted(set(S.PRODUCTS.names) - set(spark.read.parquet(path).columns))  # names alone, from a footer
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    rows = spark.read.schema(S.PRODUCTS).parquet(path)
+    return with_food_code(rows).select(
         "code", "countries_tags", "nova_group", "nutriments",
         F.col("ecoscore_score").alias("eco_score"), F.col("nutriscore_score").alias("nutri_score"),
         "product_name", "product_quantity_unit", F.col("product_quantity").cast("float").alias("product_quantity"),

@@ -22,6 +22,17 @@ def read_xml_rows(spark: SparkSession, path: str, row_tag: str, schema: T.Struct
     return xml_rows(records, row_tag, schema)
 
 
+def read_clean_xml_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType, charset: str = "windows-1252") -> DataFrame:
+    """Rows of a well-formed file by Spark's own XML source; `_corrupt_record` is the text of a record that does not parse.
+
+    For files whose signs are escaped; read_xml_rows repairs those that are not. The source splits large files itself.
+    """
+    checked = T.StructType([*[T.StructField(n, T.StringType()) for n in schema.names], T.StructField("_corrupt_record", T.StringType())])
+    options = {"rowTag": row_tag, "charset": charset, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "ignoreSurroundingSpaces": "true"}
+    rows = spark.read.format("xml").options(**options).schema(checked).load(path)
+    return rows.select(*[F.nullif(F.trim(f"`{n}`"), F.lit("")).alias(n) for n in schema.names], "_corrupt_record")
+
+
 def xml_rows(records: DataFrame, row_tag: str, schema: T.StructType) -> DataFrame:
     """Rows from text records (`value`), each up to a closing row tag; one that does not parse is left out."""
     parsed = _parsed(records, row_tag, schema).where("row._corrupt_record IS NULL")
