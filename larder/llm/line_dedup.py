@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.columns import unused
 from larder.llm.tokens import hash_words, mix
 from larder.operators.ordered import numbered
 from larder.runtime import Scratch
@@ -535,17 +536,19 @@ def remove_lines(docs: DataFrame, similarity: Fraction = SIMILARITY, min_words:
     A document is an id and a text: rows that repeat an id with another text are documents of their own, in order of the
     hashes of their texts. `n_chars`, where docs has it, counts the characters of the new text.
     """
-    numbers = _apart(docs, doc_id, text)
-    if numbers is None:
-        named = docs.withColumn("__doc", docs[doc_id].cast("long"))
+    number, own, removed, id_, hash_ = unused(docs, "__doc", "__own", "__gone", "__id", "__hash")
+    apart = _apart(docs, doc_id, text)
+    if apart is None:
+        named = docs.withColumn(number, docs[doc_id].cast("long"))
     else:
+        apart = apart.select(F.col("__id").alias(id_), F.col("__hash").alias(hash_), F.col("__doc").cast("long").alias(number))
         hashed = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-        named = docs.join(numbers, (F.col("__id") == docs[doc_id]) & (F.col("__hash") == hashed), "left").drop("__id", "__hash")
-    gone = repeated_lines(named, "__doc", text, similarity, min_words).groupBy(F.col("doc_id").alias("__own")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = named.join(gone, F.col("__doc") == F.col("__own"), "left").drop("__doc", "__own")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, k: ~F.array_contains("__gone", k)), "\n")
-    joined = joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).drop("__gone")
-    return joined.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else joined
+        named = docs.join(apart, (F.col(id_) == docs[doc_id]) & (F.col(hash_) == hashed), "left").drop(id_, hash_)
+    gone = repeated_lines(named, number, text, similarity, min_words).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line_no").alias(removed))
+    joined = named.join(gone, F.col(number) == F.col(own), "left").drop(number, own)
+    kept = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda x, k: ~F.array_contains(removed, k)), "\n")
+    joined = joined.withColumn(text, F.when(F.col(removed).isNull(), F.col(f"`{text}`")).otherwise(kept)).drop(removed)
+    return joined.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else joined
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

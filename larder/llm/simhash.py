@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larder.llm.columns import unused
 from larder.runtime import Scratch, materialize
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
@@ -252,15 +253,16 @@ def keep_one(
     smaller hash of a text first), and of rows that repeat both one stays. Rows without a doc_id can't be named
     as copies, and stay. Columns are those of docs.
     """
+    own, other, turn = unused(docs, "__id", "__hash", "__turn")
     hashed = F.xxhash64(F.coalesce(docs[text], F.lit("")))
     given = docs.where(docs[doc_id].isNotNull()).select(F.struct(docs[doc_id].alias("id"), hashed.alias("hash")).alias("key"), docs[text].alias("text"))
     marked = materialize(fingerprints(given, words=words, seed=seed))
-    stays = _smallest(marked, "key", budget).select(F.col("smallest.id").alias("__id"), F.col("smallest.hash").alias("__hash")).distinct()
-    kept = docs.join(stays, (F.col("__id") == docs[doc_id]) & (F.col("__hash") == hashed))
+    stays = _smallest(marked, "key", budget).select(F.col("smallest.id").alias(own), F.col("smallest.hash").alias(other)).distinct()
+    kept = docs.join(stays, (F.col(own) == docs[doc_id]) & (F.col(other) == hashed))
     # The join has brought equal documents together: this orders the repeats of one, and moves nothing.
     ordered = [F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])]
-    first = kept.withColumn("__turn", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(*ordered))).where("__turn = 1")
-    return first.drop("__id", "__hash", "__turn").unionByName(docs.where(docs[doc_id].isNull()))
+    first = kept.withColumn(turn, F.row_number().over(Window.partitionBy(own, other).orderBy(*ordered))).where(F.col(turn) == 1)
+    return first.drop(own, other, turn).unionByName(docs.where(docs[doc_id].isNull()))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
