@@ -31,8 +31,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Characters outside these ranges may be classed by the tokenizer's Unicode version otherwise than by
 #: the regex module's; words of texts that have one are cut by the tokenizer itself.
 UNSURE = re.compile("[^\x00-՗ -₎₠-ꟍ가-￿\U0001f000-\U0001faff]")
-LONG_WORD = 256  # bytes; longer words are encoded in halves
-LEAF = 1 << 18  # characters; longer texts are encoded in leaves
+LONG_WORD = 16  # bytes; longer words are encoded in halves
+LEAF = 1 << 14  # characters; longer texts are encoded in leaves
+REPEATING = 256  # characters; longer words are not remembered
 MARGIN = 4  # characters next to a cut, whose splitting may depend on what lies beyond it
 REMEMBERED = 200_000  # words a task remembers before it starts anew
 
@@ -63,6 +64,7 @@ class Vocabulary:
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.find_words = regex.compile(WORDS).findall
         self.known: dict[str, bytes] = {}
+        self.joints = {"words": 0, "leaves": 0}  # how often two encoded parts were joined
 
     def words(self, text: str) -> list[str]:
         if UNSURE.search(text):
@@ -83,6 +85,7 @@ class Vocabulary:
     def join_runs(self, left: list[int], right: list[int]) -> list[int]:
         """One encoding of what two encodings spell together."""
         width = 4
+        self.joints["words"] += 1
         while True:
             a, b = max(0, len(left) - width), min(len(right), width)
             window = b"".join(self.bytes_of[i] for i in left[a:] + right[:b])
@@ -98,7 +101,7 @@ class Vocabulary:
         ids = np.array(self.encode_bytes(word.encode()), "<u4").tobytes()
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        if len(word) <= LONG_WORD:
+        if len(word) <= REPEATING:
             self.known[word] = ids
         return ids
 
@@ -129,6 +132,7 @@ class Vocabulary:
     def join_leaves(self, left: Leaf, right: Leaf) -> Leaf:
         if not left.text or not right.text:
             return left if left.text else right
+        self.joints["leaves"] += 1
         reach = 64
         while True:
             start = left.boundary_before(len(left.text) - max(reach, MARGIN))
@@ -224,12 +228,19 @@ def _encode_long(rows: DataFrame, vocabulary: str, kept: list[str], ids: str, le
 
     Special tokens cut a text first, so that no leaf boundary falls into one.
     """
+    loaded: dict[str, Vocabulary] = {}  # a task loads the vocabulary once, for all its rows
+
+    def known() -> Vocabulary:
+        if vocabulary not in loaded:
+            loaded[vocabulary] = Vocabulary(vocabulary)
+        return loaded[vocabulary]
+
     whole = rows.select(F.monotonically_increasing_id().alias("row"), "__text", F.struct(*kept).alias("kept"))
     kept_type = whole.schema["kept"].dataType
     ddl = f"row long, part long, leaf long, piece string, kept {kept_type.simpleString()}"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vocabulary(vocabulary)
+        own = known()
         for batch in batches:
             for at in range(batch.num_rows):
                 given = batch.slice(at, 1)
@@ -245,7 +256,7 @@ def _encode_long(rows: DataFrame, vocabulary: str, kept: list[str], ids: str, le
                         )
 
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vocabulary(vocabulary)
+        own = known()
         for batch in batches:
             for k in range(batch.num_rows):
                 given = batch.slice(k, 1)
@@ -257,7 +268,7 @@ def _encode_long(rows: DataFrame, vocabulary: str, kept: list[str], ids: str, le
                 )
 
     def put_together(row: pa.Table) -> pa.Table:
-        own, ids_of = Vocabulary(vocabulary), []
+        own, ids_of = known(), []
         row = row.sort_by([("part", "ascending"), ("leaf", "ascending")])
         columns = [row.column(c).to_pylist() for c in ("part", "piece", "ids", "lengths", "counts")]
         for part, leaves in groupby(zip(*columns, strict=True), key=lambda x: x[0]):

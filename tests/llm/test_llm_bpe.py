@@ -1,12 +1,14 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from larder.llm import bpe
-from larder.llm.bpe import Leaf, Vocabulary, decode, digests, encode, join_tree, public_vocabulary
+from larder.llm.bpe import LEAF, Leaf, Vocabulary, decode, digests, encode, join_tree, public_vocabulary
 
+TABLE = "/root/testdata/sf0.01/documents.parquet"
 PIECES = [
     "a", "the", "  ", "\n", "\t", "\u00a0", "é", "ß", "'s", "'re", "12", "!!", "ab", "xyzzy", "ing", "\u3000", "漢字", "🙂", "\x1c", "\x85",
     "ℵ", "\U00010940", "\u0c5c", "'", "r", "e",
@@ -73,3 +75,20 @@ def test_digest_columns(spark):
     row = digests(docs, public_vocabulary()).first()
     assert (row.doc_id, row.n_tokens) == (5, 2)
     assert row.decoded_sha256 == docs.select(F.sha2("text", 256)).first()[0]
+
+
+@pytest.mark.skipif(not Path(TABLE).exists(), reason="test tables are not here")
+def test_given_texts_go_through_halves_and_leaves(spark):
+    """The test table's words and texts are long enough for both trees, and give what the library gives."""
+    own = Vocabulary(public_vocabulary())
+    texts = [r.text for r in spark.read.parquet(TABLE).select("text").collect()]
+    long_ones = [t for t in texts if t and len(t) > LEAF]
+    assert len(long_ones) >= 5
+    for text in texts[:300]:
+        own.encode(text or "")
+    assert own.joints["words"] > 100 and own.joints["leaves"] == 0
+    for text in long_ones[:20]:
+        leaves = [Leaf.of(text[a : a + LEAF], *own.leaf(text[a : a + LEAF])) for a in range(0, len(text), LEAF)]
+        joined = join_tree(own, leaves)
+        assert np.frombuffer(b"".join(joined.ids), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert own.joints["leaves"] >= len(long_ones[:20])
