@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from larder.functions.numeric import two_decimals
 from larder.operators.joins import null_safe_join
+from larder.runtime import Scratch
 
 # percentile_approx guarantees a rank error of at most rows / ACCURACY. The bracket leaves
 # three times that on either side of the middle, so it always contains the median, and of a
@@ -30,7 +31,9 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     as two lumps before the shuffle; only distinct values near the middle are
     ordered, never a whole group in one task.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"))
+    scratch = Scratch(df.sparkSession)
+    # Written once: the bracket and the histogram both read these few columns, not what they were joined from.
+    rows = scratch.table(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value")))
     bracket = rows.groupBy(*keys).agg(
         F.percentile_approx("_value", list(BRACKET), ACCURACY).alias("_bracket"),
         F.count(F.lit(1)).alias(count),
@@ -50,14 +53,13 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     )
     ranked = histogram.withColumn("_upto", upto)
     low, high = F.floor((F.col(count) + 1) / 2), F.floor(F.col(count) / 2) + 1
-    return (
-        ranked.groupBy(*keys, count)
-        .agg(
-            F.min(F.when(F.col("_upto") >= low, F.col("_value"))).alias("_low"),
-            F.min(F.when(F.col("_upto") >= high, F.col("_value"))).alias("_high"),
-        )
-        .select(*keys, (F.col("_low") / 2 + F.col("_high") / 2).alias(name), count)
+    middles = ranked.groupBy(*keys, count).agg(
+        F.min(F.when(F.col("_upto") >= low, F.col("_value"))).alias("_low"),
+        F.min(F.when(F.col("_upto") >= high, F.col("_value"))).alias("_high"),
     )
+    result = scratch.table(middles.select(*keys, (F.col("_low") / 2 + F.col("_high") / 2).alias(name), count))
+    scratch.close(result)
+    return result
 
 
 def pivot_long(df: DataFrame, keys: list[str], label: str, labels: list[str], values: dict[str, str]) -> DataFrame:
