@@ -1,16 +1,18 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are similar enough, by a join of prefix trees.
 
-All sets are put in one global order of n-grams, rarest first.
-
-- Two sets that are similar enough share one of their first few n-grams. Each set sends those, with its size
-  and their places; n-grams that only one set sent are dropped. What still shares n-grams, over any number of
-  steps, is a family: every link lies inside one.
+- A set can only link if that share of its n-grams also occurs in other sets. Most documents have too few such
+  n-grams, and drop out: stretches of documents send hashes of theirs, each but once, to parts by hash, and get
+  back which others have too. What is dropped has too few for certain; hashes that collide only keep a set.
+- The sets left are put in one global order of n-grams, hot ones last. Two similar sets share one of their first few
+  n-grams: each sends those, with its size and their places. What shares n-grams, over any number of steps, is a
+  family: every link lies inside one.
 - A task stores the whole sets of a family in a trie, commonest n-gram first. Each set walks the trie from its
   root: the overlap gathered on a path is shared by all sets below it, and a subtree is left as soon as this
   overlap and what remains, of the walking set and of the longest set below, can't reach the overlap needed.
 - Large families are dealt to blocks of bounded size. Each block also holds the family's HUBS, the sets with
   the smallest share of n-grams of their own, so the blocks of a group of near copies are tied together. What
-  still shares n-grams across blocks, and is not connected yet, is walked through tries of its partners.
+  still shares n-grams across blocks, and is not connected yet, meets one set of the largest group of each n-gram in
+  turn, and only what no turn connects all the others that it may be similar to.
 
 Links that connect sets are wanted, not all pairs: subtrees whose sets are all connected with the walking set
 are left too. So a group of thousands of near copies takes a walk per set, not all pairs.
@@ -25,6 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +36,16 @@ from larder.llm.tokens import hash_words, mix
 from larder.runtime import Scratch
 
 WORDS, SIMILARITY = 4, Fraction(85, 100)
-BUCKETS, SEGMENTS = 1 << 22, 64  # n-gram counts by hash; 4 MB of rarity classes go to every task
+BUCKETS, SEGMENTS = 1 << 22, 64  # n-gram counts by hash; 4 MB of classes go to every task
+STRETCH = 1 << 21  # n-grams of documents that are sent to the parts together
+PER_PART = 1 << 21  # n-grams of a part, about
+FLAGS = 1 << 24  # bits that keep other documents' sets from moving; a false hit only moves a set
 PIECE = 1 << 20  # bytes of text worked on at once
 BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 20  # sets and n-grams of a block, about
 BIN_GRAMS = 1 << 21  # n-grams of a task's blocks, about
 HUBS = 8  # sets of a large family that all its blocks hold
-PARTNERS = 256  # sets that one set is compared with in a block of the last round, about
+PARTNERS = 256  # sets that one set is compared with in a block of later rounds, about
+STARS = 2  # rounds in which what is not connected meets one set of each n-gram's largest group
 
 _letters = np.arange(1, 257, dtype=np.uint16).astype(np.uint8)
 _letters[[9, 10, 11, 12, 13, 32]] = 0
@@ -71,8 +78,8 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def keys_of(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """N-grams in global order: the class of their bucket's count leads their hash."""
-    found = classes[(grams >> np.uint64(8)) & np.uint64(BUCKETS - 1)].astype(np.uint64)
+    """N-grams in global order: the class of their bucket leads their hash."""
+    found = classes[_bucket(grams)].astype(np.uint64)
     return np.sort(found << np.uint64(56) | grams >> np.uint64(8))
 
 
@@ -86,96 +93,239 @@ def needed(n, m, similarity: Fraction):
     return -(-p * (n + m) // (p + q))
 
 
-def survey(texts: DataFrame, words: int) -> DataFrame:
-    """doc_id, row_key, node and n of every row, and in other rows segment and counts: n-grams of sets by bucket."""
-    fields = [("doc_id", pa.int64()), ("row_key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("segment", pa.int32()), ("counts", pa.binary())]
-    schema = pa.schema(fields)
+def _packed(*columns: np.ndarray) -> bytes:
+    """32-bit columns of equal length, bytes of like weight side by side, compressed."""
+    raw = b"".join(np.ascontiguousarray(c.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns)
+    return np.array([len(columns[0])], np.uint32).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
-    def rows(columns: dict[str, pa.Array]) -> pa.RecordBatch:
-        size = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(size, kind)) for name, kind in fields], schema=schema)
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(BUCKETS, np.uint32), set()
-        for batch in batches:
-            nodes, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int32)
-            for k, text in enumerate(batch.column(2)):
-                grams = grams_of(text.as_py(), words)
-                nodes[k], sizes[k] = node_of(grams), len(grams)
-                if nodes[k] not in seen:  # copies count once in a task
-                    seen.add(nodes[k])
-                    np.add.at(total, (grams >> np.uint64(8)) & np.uint64(BUCKETS - 1), np.uint32(1))
-            yield rows({"doc_id": batch.column(0), "row_key": batch.column(1), "node": pa.array(nodes), "n": pa.array(sizes)})
-        if seen:
-            for segment, part in enumerate(total.reshape(SEGMENTS, -1)):
-                # Bytes of like weight side by side: most are zero.
-                planes = np.ascontiguousarray(part.view(np.uint8).reshape(-1, 4).T).tobytes()
-                yield rows({"segment": pa.array([segment], pa.int32()), "counts": pa.array([pa.compress(planes, codec="zstd", asbytes=True)], pa.binary())})
-
-    return texts.mapInArrow(mark, "doc_id long, row_key long, node long, n int, segment int, counts binary")
-
-
-def rarity_classes(surveyed: DataFrame) -> np.ndarray:
-    """A class of each bucket, rarest first; BUCKETS bytes reach the driver."""
-    size = BUCKETS // SEGMENTS
+def _unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob[:4], np.uint32)[0])
+    raw = np.frombuffer(pa.decompress(blob[4:], decompressed_size=4 * n * columns, codec="zstd", asbytes=True), np.uint8)
+    return [np.ascontiguousarray(part.reshape(4, n).T).view(np.uint32).ravel() for part in raw.reshape(columns, 4 * n)]
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, segment = np.zeros(size, np.int64), None
-        for batch in batches:
-            segment = batch.column("segment")[0]
-            for blob in batch.column("counts"):
-                planes = np.frombuffer(pa.decompress(blob.as_py(), decompressed_size=4 * size, codec="zstd", asbytes=True), np.uint8)
-                total += np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-        classes = np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)  # steps of a twelfth
-        yield pa.RecordBatch.from_arrays([pa.array([segment.as_py()], pa.int32()), pa.array([classes.tobytes()], pa.binary())], ["segment", "classes"])
 
-    out = np.zeros((SEGMENTS, size), np.uint8)
-    parts = surveyed.where("segment is not null").select("segment", "counts")
-    for row in parts.groupBy("segment").applyInArrow(add, "segment int, classes binary").collect():
-        out[row.segment] = np.frombuffer(row.classes, np.uint8)
-    return out.ravel()
+NOBODY = 0xFFFFFFFF  # an n-gram that several sets of one stretch have
+ENTRIES, REPLY, INDEX = range(3)  # kinds of blobs: n-grams and their sets; how many n-grams of a set others have; the sets of a stretch
 
 
-def postings(texts: DataFrame, classes: np.ndarray, words: int, similarity: Fraction) -> DataFrame:
-    """key, node, n and pos: the first n-grams, and their places, of the distinct sets of each task."""
+def _stretch(sets: dict[int, np.ndarray], home: int, bits: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(part, stretch, kind, blob): what a stretch of distinct sets sends."""
+    nodes, sizes = np.array(list(sets), np.int64), np.array([len(g) for g in sets.values()], np.uint32)
+    owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), sizes)
+    grams = np.concatenate(list(sets.values()))
+    order = np.argsort(grams)
+    grams, owner = grams[order], owner[order]
+    first = np.ones(len(grams), bool)
+    first[1:] = grams[1:] != grams[:-1]
+    group = np.cumsum(first) - 1
+    several = np.bincount(group) > 1
+    inside = np.bincount(owner[several[group]], minlength=len(nodes))
+    grams, owner = grams[first], np.where(several, NOBODY, owner[first]).astype(np.uint32)
+    part = (grams >> np.uint64(64 - bits)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(part, prepend=-1, append=1 << bits))
+    named = int(mix(np.array([np.add.reduce(mix(nodes.view(np.uint64))) + np.uint64(home)], np.uint64)).view(np.int64)[0])
+    short = (grams >> np.uint64(32 - bits)).astype(np.uint32)  # the 32 bits after those that name the part
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(part[a]), named, ENTRIES, _packed(short[a:b], owner[a:b])
+    low, high = nodes.view(np.uint64) & np.uint64(0xFFFFFFFF), nodes.view(np.uint64) >> np.uint64(32)
+    parts = np.full(len(nodes), len(edges) - 1)
+    yield home, named, INDEX, _packed(low, high, sizes, inside, parts)
+
+
+_BLOBS = pa.schema([("part", pa.int32()), ("stretch", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
+
+
+def supported(texts: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """node of the sets of which so many n-grams occur in other sets too that they may be similar to one.
+
+    A stretch that has not heard from all its parts, as after a loss of tasks whose rows came in another order, keeps
+    its sets. Sets with copies in other stretches are kept too.
+    """
+    letters = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(24, max(3, int(letters / 6 / PER_PART).bit_length()))  # a word has about six letters and blanks
+    p, q = similarity.numerator, similarity.denominator
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        home = (context.partitionId() if context else 0) % (1 << bits)
         seen: set[int] = set()
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*_stretch(held, home, bits), strict=True), _BLOBS.types, strict=True)], schema=_BLOBS)
+
         for batch in batches:
-            keys, nodes, sizes = [], [], []
             for text in batch.column(0):
                 grams = grams_of(text.as_py(), words)
                 node = node_of(grams)
                 if len(grams) and node not in seen:
                     seen.add(node)
-                    keys.append(keys_of(grams, classes)[: prefix_of(len(grams), similarity)])
-                    nodes.append(node)
-                    sizes.append(len(grams))
-            if keys:
-                lengths = np.array([len(k) for k in keys])
-                pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                columns = [
-                    pa.array(np.concatenate(keys).view(np.int64)),
-                    pa.array(np.repeat(np.array(nodes, np.int64), lengths)),
-                    pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
-                    pa.array(pos.astype(np.int32)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "n", "pos"])
+                    held[node] = grams
+                    size += len(grams)
+                    if size >= STRETCH:
+                        yield rows()
+                        held, size = {}, 0
+        if held:
+            yield rows()
+
+    def reply(rows: pa.Table) -> pa.Table:
+        kinds, stretches, blobs = (rows.column(c).to_pylist() for c in ("kind", "stretch", "blob"))
+        out = [(s, k, b) for s, k, b in zip(stretches, kinds, blobs, strict=True) if k == INDEX]
+        sent = [(s, *_unpacked(b, 2)) for s, k, b in zip(stretches, kinds, blobs, strict=True) if k == ENTRIES]
+        if sent:
+            grams = np.concatenate([g for _, g, _ in sent])
+            owner = np.concatenate([o for *_, o in sent])
+            order = np.argsort(grams)
+            first = np.ones(len(grams), bool)
+            first[1:] = grams[order][1:] != grams[order][:-1]
+            group = np.cumsum(first) - 1
+            several = (np.bincount(group) > 1) | (np.bincount(group, owner[order] == NOBODY) > 0)
+            shared = np.zeros(len(grams), bool)
+            shared[order] = several[group]
+            shared &= owner != NOBODY
+            at = 0
+            for s, g, _ in sent:
+                own, counts = np.unique(owner[at : at + len(g)][shared[at : at + len(g)]], return_counts=True)
+                out.append((s, REPLY, _packed(own, counts)))
+                at += len(g)
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["stretch", "kind", "blob"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        kinds, blobs = rows.column("kind").to_pylist(), rows.column("blob").to_pylist()
+        index = [_unpacked(b, 5) for k, b in zip(kinds, blobs, strict=True) if k == INDEX]
+        if not index:
+            return pa.table([pa.array([], pa.int64())], ["node"])
+        low, high, sizes, inside, parts = index[0]
+        total, replies = inside.astype(np.int64), 0
+        for own, counts in (_unpacked(b, 2) for k, b in zip(kinds, blobs, strict=True) if k == REPLY):
+            total[own] += counts
+            replies += 1
+        enough = total * q >= sizes.astype(np.int64) * p if replies >= parts[0] else np.ones(len(total), bool)
+        nodes = (high[enough].astype(np.uint64) << np.uint64(32) | low[enough].astype(np.uint64)).view(np.int64)
+        return pa.table([pa.array(nodes)], ["node"])
+
+    sent = texts.select("text").mapInArrow(send, "part int, stretch long, kind int, blob binary")
+    replied = sent.groupBy("part").applyInArrow(reply, "stretch long, kind int, blob binary")
+    return replied.groupBy("stretch").applyInArrow(add, "node long").distinct()
+
+
+def _flag(nodes: np.ndarray) -> np.ndarray:
+    return (mix(nodes.view(np.uint64) + np.uint64(0x35)) % np.uint64(FLAGS)).astype(np.int64)
+
+
+def flags_of(nodes: DataFrame) -> np.ndarray:
+    """FLAGS flags, set for each node; FLAGS / 8 bytes reach the driver."""
+    size = FLAGS // SEGMENTS
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flag = np.unique(_flag(batch.column(0).to_numpy()))
+            edges = np.searchsorted(flag, np.arange(SEGMENTS + 1) * size)
+            found = [(s, (flag[a:b] - s * size).astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+            yield pa.RecordBatch.from_pydict({"segment": [f[0] for f in found], "flags": [f[1] for f in found]}, pa.schema([("segment", pa.int32()), ("flags", pa.binary())]))
 
-    return texts.mapInArrow(send, "key long, node long, n int, pos int")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, segment = np.zeros(size, bool), None
+        for batch in batches:
+            segment = batch.column("segment")[0].as_py()
+            for blob in batch.column("flags"):
+                flags[np.frombuffer(blob.as_py(), np.uint32)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], ["segment", "flags"])
 
+    out = np.zeros((SEGMENTS, size), bool)
+    schema = "segment int, flags binary"
+    for row in nodes.mapInArrow(place, schema).groupBy("segment").applyInArrow(join, schema).collect():
+        out[row.segment] = np.unpackbits(np.frombuffer(row.flags, np.uint8)).astype(bool)
+    return np.packbits(out.ravel())
 
-def whole_sets(texts: DataFrame, classes: np.ndarray, words: int) -> DataFrame:
-    """node and grams (keys in global order, as bytes) of every row."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def survey(texts: DataFrame, flags: np.ndarray, words: int) -> DataFrame:
+    """doc_id, node and n of every row, and the n-grams, as bytes, of the sets whose flag is set, once in a task."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("grams", pa.binary())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for text in batch.column(0):  # one by one: a set may be long
+            held, size, at = [], 0, 0
+            for k, text in enumerate(batch.column(1)):
                 grams = grams_of(text.as_py(), words)
-                arrays = [pa.array([node_of(grams)], pa.int64()), pa.array([keys_of(grams, classes).tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["node", "grams"])
+                node = node_of(grams)
+                flag = int(_flag(np.array([node], np.int64))[0])
+                wanted = len(grams) and node not in seen and flags[flag >> 3] >> (7 - (flag & 7)) & 1
+                if wanted:
+                    seen.add(node)
+                    size += len(grams)
+                held.append((node, len(grams), grams.tobytes() if wanted else None))
+                if size >= STRETCH or k == batch.num_rows - 1:  # a bounded number of bytes goes out at once
+                    columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), *columns], schema=schema)
+                    held, size, at = [], 0, k + 1
+
+    return texts.mapInArrow(mark, "doc_id long, node long, n int, grams binary")
+
+
+def hot_classes(sets: DataFrame) -> np.ndarray:
+    """A class of each bucket of n-grams, 0 unless more sets have them than chance puts there; 4 * BUCKETS bytes reach the driver."""
+    size = BUCKETS // SEGMENTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.uint32)
+        for batch in batches:
+            for blob in batch.column(0):
+                np.add.at(total, _bucket(np.frombuffer(blob.as_py(), np.uint64)), np.uint32(1))
+        for segment, part in enumerate(total.reshape(SEGMENTS, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([_packed(part)], pa.binary())], ["segment", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, segment = np.zeros(size, np.int64), None
+        for batch in batches:
+            segment = batch.column("segment")[0].as_py()
+            for blob in batch.column("counts"):
+                total += _unpacked(blob.as_py(), 1)[0]
+        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["segment", "counts"])
+
+    out = np.zeros((SEGMENTS, size), np.int64)
+    schema = "segment int, counts binary"
+    for row in sets.select("grams").mapInArrow(count, schema).groupBy("segment").applyInArrow(add, schema).collect():
+        out[row.segment] = np.frombuffer(row.counts, np.uint32)
+    usual = out.mean()
+    limit = usual + 6 * np.sqrt(usual) + 8
+    return np.where(out > limit, np.minimum(1 + 8 * np.log2(np.maximum(out / limit, 1.0)), 255), 0).astype(np.uint8).ravel()
+
+
+def _bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(8)) & np.uint64(BUCKETS - 1)
+
+
+def ordered_sets(sets: DataFrame, classes: np.ndarray) -> DataFrame:
+    """node and grams: keys in global order, as bytes."""
 
-    return texts.mapInArrow(read, "node long, grams binary")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [keys_of(np.frombuffer(g.as_py(), np.uint64), classes).tobytes() for g in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["node", "grams"])
+
+    return sets.select("node", "grams").mapInArrow(read, "node long, grams binary")
+
+
+def postings(sets: DataFrame, classes: np.ndarray, similarity: Fraction) -> DataFrame:
+    """key, node, n and pos: the first n-grams of each set, and their places."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(g.as_py()) // 8 for g in batch.column(1)], np.int32)
+            keys = [keys_of(np.frombuffer(g.as_py(), np.uint64), classes)[: prefix_of(int(n), similarity)] for g, n in zip(batch.column(1), sizes, strict=True)]
+            lengths = np.array([len(k) for k in keys], np.int64)
+            if len(keys):
+                pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                columns = [np.concatenate(keys).view(np.int64), np.repeat(batch.column(0).to_numpy(), lengths), np.repeat(sizes, lengths), pos.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "pos"])
+
+    return sets.select("node", "grams").mapInArrow(send, "key long, node long, n int, pos int")
 
 
 @dataclass
@@ -309,64 +459,83 @@ def _placed(shared: DataFrame, families: DataFrame) -> DataFrame:
     turn = F.expr("row_number() over (partition by family order by own, node)")
     hubs = given.where("blocks > 1").withColumn("turn", turn).where(F.col("turn") <= HUBS).select("node", F.lit(True).alias("hub"))
     given = given.join(hubs, "node", "left").withColumn("hub", F.coalesce("hub", F.lit(False)))
-    return given.select("node", "n", "family", "blocks", "hub", _spread("node", F.col("blocks")).alias("block"))
+    return given.select("node", "n", "own", "family", "blocks", "hub", _spread("node", F.col("blocks")).alias("block"))
 
 
-def _across(shared: DataFrame, placed: DataFrame, groups: DataFrame, similarity: Fraction) -> DataFrame:
-    """a, b: pairs of large families that share a key, may be similar by the sizes and places, and have not met.
+def _apart(shared: DataFrame, placed: DataFrame, groups: DataFrame) -> DataFrame:
+    """The n-grams of large families that several groups share: key, node, n, pos, own, block, root, and main, the key's largest group.
 
-    Of each key's group with the most sets no two are paired: they are connected already.
+    Hubs have met their whole family, and are left out.
     """
-    large = placed.where("blocks > 1").select("node", "block", "hub")
+    large = placed.where("blocks > 1 and not hub").select("node", "own", "block")
     held = shared.join(large, "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    own = held.groupBy("key", "root").count().groupBy("key")
-    main = own.agg(F.max(F.struct("count", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", F.col("main.root").alias("main"))
-    held = held.join(main, "key")
-    a = held.where("root <> main and not hub").select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "pos", "block", "root")])
-    b = held.where("not hub").select("key", "main", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "pos", "block", "root")])
+    sized = held.groupBy("key", "root").count().groupBy("key")
+    main = sized.agg(F.max(F.struct("count", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", F.col("main.root").alias("main"))
+    return held.join(main, "key")
+
+
+def _may_link(similarity: Fraction) -> Column:
+    """What sizes and places of a shared n-gram leave open, for a and b that are not connected and have not met."""
     p, q = similarity.numerator, similarity.denominator
     most = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    met = a.join(b, "key").where(
-        (F.col("a_root") != F.col("b_root"))
-        & (F.col("a_block") != F.col("b_block"))
-        & ((F.col("b_root") == F.col("main")) | (F.col("a_node") < F.col("b_node")))
-        & (most * (p + q) >= (F.col("a_n") + F.col("b_n")) * p)
-    )
+    enough = most * (p + q) >= (F.col("a_n") + F.col("b_n")) * p
+    return (F.col("a_root") != F.col("b_root")) & (F.col("a_block") != F.col("b_block")) & enough
+
+
+def _side(held: DataFrame, side: str) -> DataFrame:
+    return held.select("key", "main", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "pos", "block", "root")])
+
+
+def _star(held: DataFrame, turn: int, similarity: Fraction) -> DataFrame:
+    """a, b: what is outside a key's largest group, beside one set of that group, another in each turn."""
+    inside = held.where("root = main").withColumn("rank", F.col("own") if turn == 0 else F.xxhash64("node", F.lit(turn)))
+    one = inside.groupBy("key").agg(F.min(F.struct("rank", "node", "n", "pos", "block", "root")).alias("one")).select("key", *[F.col(f"one.{c}").alias(f"b_{c}") for c in ("node", "n", "pos", "block", "root")])
+    met = _side(held.where("root <> main"), "a").join(one, "key").where(_may_link(similarity))
     return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
-def _links(texts: DataFrame, surveyed: DataFrame, words: int, similarity: Fraction, scratch: Scratch) -> DataFrame:
-    """a, b: links that connect all sets that similar ones connect."""
-    classes = rarity_classes(surveyed)
-    posted = scratch.table(postings(texts.select("text"), classes, words, similarity))
+def _all(held: DataFrame, similarity: Fraction) -> DataFrame:
+    """a, b: what is outside a key's largest group, beside all other sets of the key."""
+    a, b = _side(held.where("root <> main"), "a").drop("main"), _side(held, "b")
+    once = (F.col("b_root") == F.col("main")) | (F.col("a_node") < F.col("b_node"))
+    return a.join(b, "key").where(_may_link(similarity) & once).select(F.col("a_node").alias("b"), F.col("b_node").alias("a")).distinct()
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """a, b: the links among pairs; each b walks through tries of its partners."""
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks"))
+    partners = pairs.join(many, "b").select(F.col("b").alias("family"), _spread("a", F.col("blocks")).alias("block"), F.col("a").alias("node"), F.lit(False).alias("walks"))
+    walkers = partners.select("family", "block").distinct().select("family", "block", F.col("family").alias("node"), F.lit(True).alias("walks"))
+    return block_links(partners.unionByName(walkers).join(sets, "node"), max(8, pairs.count() // PARTNERS), similarity)
+
+
+def _links(sets: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame:
+    """a, b: links that connect all sets that similar ones connect. sets: node and grams, each node once."""
+    classes = hot_classes(sets)
+    posted = scratch.table(postings(sets, classes, similarity))
     several = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    shared = scratch.table(posted.join(several, "key", "left_semi").distinct())
+    shared = scratch.table(posted.join(several, "key", "left_semi"))
     scratch.drop(posted)
     # A star for each key ties what shares it.
     low = shared.groupBy("key").agg(F.min("node").alias("a"))
     edges = shared.join(low, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     placed = scratch.table(_placed(shared, connected(edges)))
-    wanted = surveyed.where("node is not null").join(placed.select("node"), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
-    one_each = texts.join(wanted.select("row_key").distinct(), "row_key", "left_semi").select("text")
-    sets = whole_sets(one_each, classes, words)
+    whole = ordered_sets(sets, classes)
     everywhere = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     members = placed.withColumn("block", F.explode(everywhere)).select("node", "family", "block", F.lit(True).alias("walks"))
     grams = placed.agg(F.sum("n")).first()[0] or 0
-    large = not placed.where("blocks > 1").isEmpty()
-    if large:
-        sets = scratch.table(sets)
-    links = scratch.table(block_links(members.join(sets, "node"), max(8, grams // BIN_GRAMS), similarity))
-    if not large:
+    links = scratch.table(block_links(members.join(whole, "node"), max(8, grams // BIN_GRAMS), similarity))
+    if placed.where("blocks > 1").isEmpty():
         return links
-    groups = scratch.table(connected(links))
-    pairs = scratch.table(_across(shared, placed, groups, similarity))
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks"))
-    met = pairs.join(many, "a")
-    partners = met.select(F.col("a").alias("family"), _spread("b", F.col("blocks")).alias("block"), F.col("b").alias("node"), F.lit(False).alias("walks"))
-    walkers = partners.select("family", "block").distinct().select("family", "block", F.col("family").alias("node"), F.lit(True).alias("walks"))
-    again = partners.unionByName(walkers).join(sets, "node")
-    more = scratch.table(block_links(again, max(8, pairs.count() // PARTNERS), similarity))
-    return links.unionByName(more)
+    held = scratch.table(whole.join(placed.where("blocks > 1").select("node"), "node", "left_semi"))
+    for turn in range(STARS + 1):
+        apart = scratch.table(_apart(shared, placed, connected(links)))
+        pairs = scratch.table(_star(apart, turn, similarity) if turn < STARS else _all(apart, similarity))
+        scratch.drop(apart)
+        if not pairs.isEmpty():
+            links = links.unionByName(scratch.table(_compared(pairs, held, similarity)))
+        scratch.drop(pairs)
+    return links
 
 
 def ngram_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -381,18 +550,19 @@ def ngram_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """
     scratch = Scratch(docs.sparkSession)
     given = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    texts = given.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    surveyed = scratch.table(survey(texts.select("doc_id", "row_key", "text"), words))
-    links = _links(texts, surveyed, words, similarity, scratch)
-    groups = connected(links)
-    rows = surveyed.where("node is not null")
-    owners = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(groups, "node")
-    named = scratch.table(owners.select("node", "root", "least"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("smallest"))
-    # Sets without links know their own smallest id; only linked ones are brought together.
-    component = named.join(smallest, "root").select("node", "smallest")
+    able = scratch.table(supported(given, words, similarity))
+    surveyed = scratch.table(survey(given, flags_of(able), words))
+    rows = scratch.table(surveyed.drop("grams"))
+    # Copies in other tasks, and sets that a flag let through by chance, go here.
+    held = surveyed.where("grams is not null").select("node", "grams").join(able, "node", "left_semi")
+    sets = scratch.table(held.groupBy("node").agg(F.first("grams").alias("grams")))
+    scratch.drop(surveyed)
+    groups = connected(_links(sets, similarity, scratch))
     alone = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    component = alone.join(component, "node", "left").select("node", F.coalesce("smallest", "least").alias("component_id"))
+    named = scratch.table(alone.join(groups, "node", "left"))
+    # Sets without links know their own smallest id; only linked ones are brought together.
+    smallest = named.where("root is not null").groupBy("root").agg(F.min("least").alias("smallest"))
+    component = named.join(smallest, "root", "left").select("node", F.coalesce("smallest", "least").alias("component_id"))
     found = rows.join(component, "node").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
