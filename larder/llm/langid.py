@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.batches import rows_at_once
 from larder.llm.vectors import matrix
 from larder.runtime import materialize
 
@@ -32,7 +33,8 @@ MODELS = 255  # models of one language, at most: those with the most texts
 COPIES = 3  # times that copies of one text count, at most
 TEMPER = 0.25  # neighbouring trigrams share letters: each counts as a quarter of an observation
 SHRINK = 20.0  # documents that a host's or domain's parent counts for
-PIECE = 1 << 20  # bytes of text worked on at once
+PIECE = 1 << 19  # bytes of text worked on at once
+ROWS = 500  # rows of a batch that are worked on at once
 REST = "*"  # the class of languages that share a model; no declaration reads like this
 
 _letters = np.full(256, 32, np.uint8)
@@ -58,6 +60,12 @@ def _pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, np.ndarra
             yield k, raw[at : at + size + 2]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 @dataclass
 class TextModel:
     """log P(trigram | language), one row per trigram; the last column is uniform: no known language."""
@@ -171,7 +179,7 @@ def score_texts(rows: DataFrame, text: str, model: TextModel) -> DataFrame:
     given = rows.select(*kept, text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             got, letters = model.score(batch.column(batch.num_columns - 1))
             lists = [pa.array(x.tolist(), pa.list_(pa.float64())) for x in (got, _softmax(got))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists, pa.array(letters)], [*kept, "likelihood", "posterior", "letters"])
@@ -281,10 +289,11 @@ def keep_identified(docs: DataFrame, text: str = "text", declared: str = "lang",
     judge a row beside the few sums that concern it.
     """
     rows = _given(docs, [], text, declared, None, host)
-    model = fit_text_model(rows, "text", "declared", sample)
-    n = len(model.languages) + 1
-    summed = score_texts(rows, "text", model).groupBy(*EVIDENCE).agg(_summed("posterior", n).alias("mass"))
-    bias = materialize(_bias(materialize(summed), n))
+    with rows_at_once(docs.sparkSession, 2 * ROWS):
+        model = fit_text_model(rows, "text", "declared", sample)
+        n = len(model.languages) + 1
+        summed = score_texts(rows, "text", model).groupBy(*EVIDENCE).agg(_summed("posterior", n).alias("mass"))
+        bias = materialize(_bias(materialize(summed), n))
     evidence = _given(docs, [docs[c].alias(f"__{k}") for k, c in enumerate(docs.columns)], text, declared, None, host)
     same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in EVIDENCE]
     # The sums are a row for each combination of evidence: Spark knows the table's size, and broadcasts it if it is small.
@@ -294,7 +303,7 @@ def keep_identified(docs: DataFrame, text: str = "text", declared: str = "lang",
     rest = np.array([x == REST for x in model.languages] + [False])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             got, letters = model.score(batch.column("text"))
             total = got + matrix(batch.column("bias"), n)
             best = total.argmax(axis=1)

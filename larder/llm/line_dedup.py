@@ -24,9 +24,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.batches import rows_at_once
 from larder.llm.columns import unused
 from larder.llm.tokens import hash_words, mix
 from larder.operators.ordered import numbered
@@ -37,7 +38,8 @@ BUCKETS = 1 << 20  # word counts; 4 MB in a task
 SEGMENTS = 64  # of the bucket table and of bit tables
 BITS = 1 << 23  # of a filter that keeps lines nobody asked for from moving; a false hit only moves a line
 PIECE = 1 << 20  # bytes of text worked on at once
-HELD = 1 << 23  # bytes of text whose lines are deduplicated before their words are sent
+ROWS = 2000  # rows that a task holds at once
+HELD = 1 << 22  # bytes of text whose lines are deduplicated before their words are sent
 PER_PART = 250_000  # words sent to a part, about
 PROPOSED, GROWTH = 64, 64  # partners per set and word that the second round tries; times this in each later one
 HEAD = 64  # entries of a long list that are compared at once
@@ -68,7 +70,7 @@ class Lines:
 
     def parities(self) -> list[np.ndarray]:
         """Each word toggles one of 192 bits: unequal bits of two sets count at most their unequal words."""
-        bit, place = np.uint64(1) << (self.tokens & np.uint64(63)), (self.tokens >> np.uint64(6)) % np.uint64(PARITY)
+        bit, place = np.uint64(1) << (self.tokens & np.uint64(63)), ((self.tokens >> np.uint64(6)) % np.uint64(PARITY)).astype(np.uint8)
         return [np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), self.begins) for k in range(PARITY)]
 
 
@@ -144,7 +146,7 @@ def survey(texts: DataFrame, least: int) -> DataFrame:
         total = np.zeros(BUCKETS, np.uint32)
         for lines in _batches(batches, least):
             if len(lines.n):
-                total += np.bincount(_bucket(lines.tokens), minlength=BUCKETS).astype(np.uint32)
+                np.add.at(total, _bucket(lines.tokens), np.uint32(1))
                 d1, d2 = lines.digests()
                 yield rows(doc=pa.array(lines.doc), line=pa.array(lines.line), d1=pa.array(d1.view(np.int64)), d2=pa.array(d2.view(np.int64)))
         for segment, part in enumerate(total.reshape(SEGMENTS, -1)):
@@ -319,6 +321,13 @@ def _ranked(
     return i, j, np.unique(np.concatenate(more))
 
 
+def _place(doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sort keys, the last one first, of places in the corpus: one number for both where it holds them."""
+    if len(doc) and (int(doc.max()) - int(doc.min()) >> 40 or int(line.max()) >> 23):
+        return line, doc
+    return ((doc - doc.min() << 23 | line) if len(doc) else doc,)
+
+
 def _bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)) % np.uint64(BITS)).astype(np.int64)
 
@@ -335,18 +344,17 @@ def candidates(posted: DataFrame, similarity: Fraction, skip: int, take: int, on
     def pair(rows: pa.Table) -> pa.Table:
         columns = [np.concatenate(c) for c in zip(*(_unpack(b) for b in rows.column("blob").to_pylist()), strict=True)]
         cols = dict(zip((name for name, _ in POSTING), columns, strict=True))
-        order = np.argsort(cols["token"], kind="stable")
+        order = np.argsort(cols["token"])
         token = cols["token"][order]
         same = token[1:] == token[:-1]
         order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # words of one line only pair nothing
         cols = {k: v[order] for k, v in cols.items()}
-        order = np.lexsort((cols["line"], cols["doc"], cols["sig0"], cols["digest"], cols["token"]))
-        cols = {k: v[order] for k, v in cols.items()}
-        new = np.ones(len(order), bool)  # stretches of text have each sent their own first line of a set
-        new[1:] = np.any([cols[k][1:] != cols[k][:-1] for k in ("token", "digest", "sig0")], axis=0)
-        cols = {k: v[new] for k, v in cols.items()}
-        order = np.lexsort((cols["line"], cols["doc"], cols["token"]))
+        order = np.lexsort((*_place(cols["doc"], cols["line"]), cols["token"]))
         cols = {k: v[order] for k, v in cols.items()}
+        # Stretches of text have each sent their own first line of a set: the first of these is in front.
+        named = mix(cols["digest"] + cols["token"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        first = np.sort(np.unique(named, return_index=True)[1])
+        cols = {k: v[first] for k, v in cols.items()}
         doc, line, token = cols["doc"], cols["line"], cols["token"]
         new = np.ones(len(token), bool)
         new[1:] = token[1:] != token[:-1]
@@ -411,7 +419,7 @@ def _fetch(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, int, bytes]] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # texts one by one
                 raw = text.as_py().encode()
                 ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
                 numbers = np.arange(len(ends) + 1, dtype=np.int32)
@@ -466,16 +474,27 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null and empty texts have no lines. Rows without a doc_id take no part: their lines have no place in
     the order. Rows that repeat a doc_id are one document: equal line numbers are no match for each other.
     """
+    with rows_at_once(docs.sparkSession, ROWS):
+        return _repeated_lines(docs, doc_id, text, similarity, min_words)
+
+
+def _repeated_lines(docs: DataFrame, doc_id: str, text: str, similarity: Fraction, min_words: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     texts = docs.where(docs[doc_id].isNotNull() & docs[text].isNotNull()).select(docs[doc_id].cast("long").alias("doc"), docs[text].alias("text"))
     surveyed = scratch.table(survey(texts, min_words))
     lines = surveyed.where("doc is not null").select("doc", "line", "d1", "d2")
-    size = lines.count()
-    order = F.struct("doc", "line")
+    size, low, high, longest = lines.agg(F.count("*"), F.min("doc"), F.max("doc"), F.max("line")).first()
+    # A place is one number where ids and lines are small enough: these are aggregated by hash, structs by sorting.
+    small = size and low >= 0 and not high >> 40 and not longest >> 23
+
+    def place(doc: str, line: str) -> Column:
+        return F.shiftleft(doc, 23).bitwiseOR(F.col(line).cast("long")) if small else F.struct(F.col(doc).alias("doc"), F.col(line).alias("line"))
+
+    order = place("doc", "line")
     sets = scratch.table(lines.groupBy("d1", "d2").agg(F.min(order).alias("first")))
     counts = word_counts(surveyed)
     # About a fifth of the words are prefix words, and each line has one more.
-    parts = max(256, (int(counts.sum(dtype=np.int64)) // 5 + size) // PER_PART)
+    parts = max(64, (int(counts.sum(dtype=np.int64)) // 5 + size) // PER_PART)
     posted = postings(texts, counts, parts, min_words, similarity)
     words = _Words(texts, scratch)
     near = rest = found = None
@@ -513,7 +532,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if near is None:
         matched = later.where("false")
     else:
-        hit = near.select(F.struct(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).alias("x"))
+        hit = near.select(place("x_doc", "x_line").alias("x"))
         firsts = sets.join(hit, F.col("first") == F.col("x"), "left_semi").select("first")
         matched = later.join(firsts.select(F.col("first").alias("x")), order == F.col("x"), "left_semi")
     gone = later.where(order > F.col("first")).unionByName(matched)

@@ -106,3 +106,10 @@ def test_license_spans_and_long_texts(spark, monkeypatch):
 def test_bands_reach_the_probability():
     for likeness in (0.42, 0.57, 0.75):
         assert (1 - likeness**licenses.ROWS) ** bands_for(likeness) <= licenses.MISSED
+
+
+def test_places_that_fit_no_number(spark):
+    """Negative and very large ids are ordered as ids, not as bits."""
+    rows = [(-5, "one two three four"), (1 << 62, "one two three four\nfive six seven"), (7, "five six seven\none two three four"), (-(1 << 50), "other words here now")]
+    gone = sorted(map(tuple, repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert gone == sorted(brute(rows, 1))
