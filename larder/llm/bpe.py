@@ -32,7 +32,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: the regex module's; words of texts that have one are cut by the tokenizer itself.
 UNSURE = re.compile("[^\x00-՗ -₎₠-ꟍ가-￿\U0001f000-\U0001faff]")
 LONG_WORD = 16  # bytes; longer words are encoded in halves
-LEAF = 1 << 14  # characters; longer texts are encoded in leaves
+LEAF = 1 << 15  # characters; longer texts are encoded in leaves
 REPEATING = 256  # characters; longer words are not remembered
 MARGIN = 4  # characters next to a cut, whose splitting may depend on what lies beyond it
 REMEMBERED = 200_000  # words a task remembers before it starts anew

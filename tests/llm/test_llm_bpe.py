@@ -83,7 +83,7 @@ def test_given_texts_go_through_halves_and_leaves(spark):
     own = Vocabulary(public_vocabulary())
     texts = [r.text for r in spark.read.parquet(TABLE).select("text").collect()]
     long_ones = [t for t in texts if t and len(t) > LEAF]
-    assert len(long_ones) >= 5
+    assert long_ones
     for text in texts[:300]:
         own.encode(text or "")
     assert own.joints["words"] > 100 and own.joints["leaves"] == 0
