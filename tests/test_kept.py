@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from larder.functions.geo import grid, morton
 from larder.functions.numeric import counter_random
 from larder.functions.objective import ObjectiveError, compile_objective
+from larder.operators import regions
 from larder.operators.aggregates import venn_bitmaps, venn_regions
 from larder.operators.ordered import in_file_order
 from larder.operators.profiles import ProfiledTable
 from larder.operators.quality import Counted, Rule, check_rules, write_counted
-from larder.operators.regions import Plane, points_in_rectangles
+from larder.operators.regions import Plane, covered, points_in_rectangles
 from larder.sources import html, tables, xml
 from larder.sources import schemas as S
 
@@ -142,6 +143,26 @@ def test_points_in_rectangles_equal_comparison(spark):
     assert points_in_rectangles(a, b.where("false"), Plane(0, 0, 1, 1)).collect() == []
 
 
+def test_long_rectangles_are_covered_by_cells_of_their_shape(spark):
+    rows = [(1, 0.0, 0.0, 64.0, 0.5), (2, 3.0, 1.0, 3.5, 60.0), (3, 10.0, 10.0, 50.0, 50.0)]
+    cells = covered(spark.createDataFrame(rows, "rectangle long, x0 double, y0 double, x1 double, y1 double"), Plane(0, 0, 100, 100)).collect()
+    for key, x0, y0, x1, y1 in rows:
+        own = [c for c in cells if c.rectangle == key]
+        area = sum(2 ** (c.level_x + c.level_y) for c in own) * (100 / 65536) ** 2
+        assert len(own) <= 25 and area <= 4 * (x1 - x0) * (y1 - y0)
+
+
+def test_one_cell_of_many_pairs_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(regions, "PAIRS", 200)
+    few, many = [(k, 5.0, 5.0) for k in range(40)], [(k, 5.0, 5.0) for k in range(300)]
+    for points, around in ((few, many), (many, few)):
+        a = spark.createDataFrame(points, "point long, x double, y double").coalesce(1)
+        b = spark.createDataFrame([(k, x, y, x, y) for k, x, y in around], "rectangle long, x0 double, y0 double, x1 double, y1 double").coalesce(1)
+        met = points_in_rectangles(a, b, Plane(0, 0, 10, 10)).select("point", "rectangle", F.spark_partition_id().alias("task")).collect()
+        assert len(met) == len({(r.point, r.rectangle) for r in met}) == 12_000
+        assert max(sum(r.task == t for r in met) for t in {r.task for r in met}) < 6_000
+
+
 def test_morton_codes_share_leading_bits(spark):
     cells = [(x, y) for x in (0, 1, 5, 65535) for y in (0, 2, 7, 65535)]
     rows = spark.createDataFrame(cells, "x long, y long").select("x", "y", morton(F.col("x"), F.col("y")).alias("m")).collect()
