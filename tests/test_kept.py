@@ -18,6 +18,7 @@ from larder.operators.quality import Counted, Rule, check_rules, write_counted
 from larder.operators.regions import Plane, covered, points_in_rectangles
 from larder.sources import html, tables, xml
 from larder.sources import schemas as S
+from workload.kept import seeded_random
 
 
 def table_of(spark, tmp_path, rows, schema="a long, b double, c string"):
@@ -163,6 +164,21 @@ def test_one_cell_of_many_pairs_is_dealt_over_tasks(spark, monkeypatch):
         assert max(sum(r.task == t for r in met) for t in {r.task for r in met}) < 6_000
 
 
+def test_seeded_lines_are_dealt_over_all_tasks(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.exists(folder):
+        pytest.skip("test tables are not here")
+    before = {key: spark.conf.get(key) for key in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = [r["count"] for r in seeded_random(spark, folder).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert max(rows) < sum(rows) / 10
+
+
 def test_morton_codes_share_leading_bits(spark):
     cells = [(x, y) for x in (0, 1, 5, 65535) for y in (0, 2, 7, 65535)]
     rows = spark.createDataFrame(cells, "x long, y long").select("x", "y", morton(F.col("x"), F.col("y")).alias("m")).collect()

@@ -102,7 +102,7 @@ DRAWN = "random() + 10 * random() * l_discount"
 
 def seeded_random(spark, folder):
     """A random objective over lines, the same however they are dealt."""
-    lines = I.table(spark, folder, "lineitem").repartition(5, "l_tax")
+    lines = I.table(spark, folder, "lineitem").repartition("l_tax", "l_orderkey")
     key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(compile_objective(DRAWN, lines.schema, key, 7), 9).alias("drawn"))
 
