@@ -26,6 +26,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.batches import rows_at_once
+from larder.runtime import materialize
+
 #: Fixed value: the word pattern of byte-level vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters outside these ranges may be classed by the tokenizer's Unicode version otherwise than by
@@ -35,6 +38,7 @@ LONG_WORD = 16  # bytes; longer words are encoded in halves
 LEAF = 1 << 15  # characters; longer texts are encoded in leaves
 REPEATING = 256  # characters; longer words are not remembered
 MARGIN = 4  # characters next to a cut, whose splitting may depend on what lies beyond it
+ROWS = 500  # rows that a worker of digests is handed at once
 REMEMBERED = 200_000  # words a task remembers before it starts anew
 
 
@@ -301,14 +305,19 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "d
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of documents."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of documents.
+
+    The job runs here, few rows at a time: a task has texts, ids and decoded texts of a batch on both sides of two workers.
+    """
     both = decode(encode(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids"), vocabulary)
-    return both.select(
+    digested = both.select(
         "doc_id",
         F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
     )
+    with rows_at_once(docs.sparkSession, ROWS):
+        return materialize(digested)
 
 
 def public_vocabulary() -> str:

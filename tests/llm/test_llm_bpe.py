@@ -92,3 +92,12 @@ def test_given_texts_go_through_halves_and_leaves(spark):
         joined = join_tree(own, leaves)
         assert np.frombuffer(b"".join(joined.ids), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
     assert own.joints["leaves"] >= len(long_ones[:20])
+
+
+def test_digests_hand_over_few_rows_at_once(spark, monkeypatch):
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], bpe.materialize
+    monkeypatch.setattr(bpe, "materialize", lambda df: (seen.append(int(spark.conf.get(name))), write(df))[1])
+    before = spark.conf.get(name)
+    docs = spark.range(1200).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    assert digests(docs, public_vocabulary()).count() == 1200
+    assert seen == [bpe.ROWS] and spark.conf.get(name) == before
