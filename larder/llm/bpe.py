@@ -15,6 +15,7 @@ leaf and meets a boundary of the right one, both clear of the cut, proves all wo
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -49,6 +50,21 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+def bytes_by_id(tokens: dict[str, int]) -> list[bytes]:
+    back = {c: b for b, c in enumerate(byte_characters())}
+    out = [b""] * (max(tokens.values(), default=-1) + 1)
+    for token, i in tokens.items():
+        out[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+    return out
+
+
+def spellings(path: str) -> list[bytes]:
+    """Each id's bytes, special tokens included, from a vocabulary's file alone: decoding needs no encoder, which is four times as large."""
+    with open(path, encoding="utf-8") as file:
+        given = json.load(file)
+    return bytes_by_id(given["model"]["vocab"] | {t["content"]: t["id"] for t in given.get("added_tokens") or []})
+
+
 class Vocabulary:
     """A byte-level BPE file of the tokenizers library; encodes and decodes whole texts."""
 
@@ -57,15 +73,10 @@ class Vocabulary:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        table = byte_characters()
-        self.to_characters = {b: table[b] for b in range(256)}
-        back = {c: b for b, c in enumerate(table)}
+        self.to_characters = dict(enumerate(byte_characters()))
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes_of = [b""] * (max(tokens.values(), default=-1) + 1)
-        for token, i in tokens.items():
-            self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        self.bytes_of = bytes_by_id(self.tokenizer.get_vocab(with_added_tokens=True))
         self.find_words = regex.compile(WORDS).findall
         self.known: dict[str, bytes] = {}
         self.joints = {"words": 0, "leaves": 0}  # how often two encoded parts were joined
@@ -294,7 +305,7 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "d
     schema = given.drop("__ids").withColumn(decoded, F.lit("")).schema
 
     def decode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Vocabulary(vocabulary).bytes_of  # the rest of the vocabulary is let go
+        table = spellings(vocabulary)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)

@@ -101,3 +101,9 @@ def test_digests_hand_over_few_rows_at_once(spark, monkeypatch):
     docs = spark.range(1200).selectExpr("id AS doc_id", "concat('text ', id) AS text")
     assert digests(docs, public_vocabulary()).count() == 1200
     assert seen == [bpe.ROWS] and spark.conf.get(name) == before
+
+
+def test_decoding_needs_the_file_alone():
+    """Bytes of every id are those the tokenizer has, special tokens included, but no tokenizer is built."""
+    path = public_vocabulary()
+    assert bpe.spellings(path) == Vocabulary(path).bytes_of
