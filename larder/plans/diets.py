@@ -91,16 +91,19 @@ def optimize_diets(
 
     Rounds end when no candidate of a scenario would lower its objective. Each round adds candidates
     that were not among its columns, so they end. Tables written on the way are deleted.
+    Inputs are computed once each: bounds and shops may be drawn from as large a table as candidates.
     """
+    scratch = Scratch(bounds.sparkSession)
+    bounds = scratch.table(bounds)
     unknown = bounds.where(~F.coalesce(F.col("nutrient_id").isin(nutrients), F.lit(False))).select("nutrient_id").first()
     if unknown:
+        scratch.close()
         raise ValueError(f"a bound is on {unknown[0]!r}, which is not among the nutrients {nutrients}")
     item_type = candidates.schema["item"].dataType
     if shops is None:
         candidates = candidates.withColumnRenamed("scenario", "place")
         shops = bounds.select("scenario", F.col("scenario").alias("place"))
     k = per_round or 2 * len(nutrients) + 20
-    scratch = Scratch(bounds.sparkSession)
     limits = _limits(bounds, nutrients).withColumn("steps", F.lit(0))
     limits = scratch.table(limits.withColumns({c: F.lit(None).cast(kind) for c, kind in _basis_types(item_type).items()}))
     shops = scratch.table(shops.select("scenario", "place").distinct().join(limits.select("scenario"), "scenario", "left_semi"))

@@ -273,3 +273,19 @@ def test_rounds_go_on_from_the_last_basis(candidates, bounds, monkeypatch):
     assert {s: v[2] for s, v in warm.items()} == {s: v[2] for s, v in cold.items()}
     assert max(v[1] for v in warm.values()) >= 3
     assert sum(v[0] for v in warm.values()) < 0.7 * sum(v[0] for v in cold.values())
+
+
+def test_bounds_are_computed_once(spark, candidates):
+    """Bounds may come from a query as large as the candidates' own."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    schema = "scenario string, nutrient_id string, lower double, upper double"
+    rows = spark.createDataFrame([(s, "protein", 90.0, 150.0) for s in ("hot", "a", "b")], schema).mapInPandas(counted, schema)
+    solved = D.optimize_diets(candidates, rows, NUTRIENTS)
+    assert {r.status for r in solved.scenarios.collect()} == {"optimal"}
+    assert seen.value == 3

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions.objective import compile_objective
 from larder.plans import diets as D
 from larder.plans import reports as R
+from larder.runtime import materialize
 from workload import inputs as I
 from workload.marts import CHOICE_INPUTS, PER_100_G, PROFILES, SELLABLE, STEPS, build_price_mart
 
@@ -121,13 +122,17 @@ ZONE_BOUNDS = {"protein": (NEEDED, None), "fat": (None, 1e9)}
 
 
 def _solved_from_mart(spark, folder):
-    """Diets per currency zone from the price mart: a zone's shops are its scenario's places."""
-    mart = build_price_mart(spark, folder)
+    """Diets per currency zone from the price mart: a zone's shops are its scenario's places.
+
+    Zones, candidates and the report read the mart, so what they need of it is made once and stored.
+    """
     item = F.concat_ws("-", "price_id", "product_code", "location_id", "price_date", F.col("product_quantity").cast("int"))
+    read = [*D.OFFER_COLUMNS, *NUTRIENTS, "calcium", "product_currency", "location_id", "price_date", "product_quantity"]
+    mart = materialize(build_price_mart(spark, folder).select(*read, item.alias("item")))
     zones = mart.select(F.col("product_currency").alias("scenario"), F.col("location_id").alias("place")).distinct()
     bounds = _bounds(zones.select("scenario").distinct(), ZONE_BOUNDS)
-    solved = D.optimize_diets(D.place_candidates(mart, NUTRIENTS, OBJECTIVE, item), bounds, NUTRIENTS, zones)
-    return mart.withColumn("item", item), bounds, solved
+    solved = D.optimize_diets(D.place_candidates(mart, NUTRIENTS, OBJECTIVE, F.col("item")), bounds, NUTRIENTS, zones)
+    return mart, bounds, solved
 
 
 def diet_report(spark, folder):
