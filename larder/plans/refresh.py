@@ -39,9 +39,12 @@ def digests(df: DataFrame, name: str, key: str | None, buckets: int) -> DataFram
     """
     bucket = bucket_of(key, buckets) if key else F.lit(WHOLE)
     row = F.xxhash64(*[F.to_json(c) if _has_map(df, c) else F.col(f"`{c}`") for c in sorted(df.columns)])
-    hashed = df.select(bucket.alias("bucket"), row.cast("decimal(38,0)").alias("row"))
-    summed = hashed.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("row").alias("digest"))
-    return summed.select(F.lit(name).alias("input"), "bucket", "rows", "digest")
+    hashed = df.select(bucket.alias("bucket"), row.alias("row"))
+    # Sums of 16 bits each, the highest with the sign: longs that no table overflows, where decimals would cost an object a row.
+    sixteen = {k: F.shiftright("row", k) if k == 48 else F.shiftright("row", k).bitwiseAND(F.lit(0xFFFF)) for k in range(0, 64, 16)}
+    summed = hashed.groupBy("bucket").agg(F.count("*").alias("rows"), *[F.sum(part).alias(f"_{k}") for k, part in sixteen.items()])
+    digest = sum(F.col(f"_{k}").cast("decimal(20,0)") * F.lit(1 << k).cast("decimal(15,0)") for k in sixteen)
+    return summed.select(F.lit(name).alias("input"), "bucket", "rows", digest.cast("decimal(38,0)").alias("digest"))
 
 
 def _has_map(df: DataFrame, column: str) -> bool:

@@ -10,7 +10,7 @@ from larder.plans.marts import food_mart, price_mart
 from larder.plans.vocabulary import PRICE_COLUMNS
 from larder.sources import catalog as C
 from workload import inputs as I
-from workload.stored import _shared_inputs, _yesterday
+from workload.stored import _shared_inputs, _yesterday, price_mart_refresh
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -181,3 +181,24 @@ def test_food_mart_is_refreshed_through_its_offers(spark, tmp_path):
     assert len(got.buckets) <= 1
     whole = food_mart(*today, rates, nutrients=I.NUTRIENTS, nutrient_ids=I.IDS, **others)
     assert rows_of(got.table) == rows_of(whole)
+
+
+def test_refreshed_mart_puts_prices_together_once(spark, monkeypatch):
+    seen, plain = spark.sparkContext.accumulator(0), I.prices
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    monkeypatch.setattr(I, "prices", lambda *given: plain(*given).mapInPandas(counted, plain(*given).schema))
+    price_mart_refresh(spark, FOLDER)
+    assert seen.value == plain(spark, FOLDER).count()
+
+
+def test_digest_is_the_sum_of_row_hashes(spark):
+    """Exactly, so that folders of earlier versions stay fresh."""
+    rows = spark.range(5000).selectExpr("id AS key", "id * id AS v")
+    got = {r.bucket: (r.rows, r.digest) for r in R.digests(rows, "t", "key", 4).collect()}
+    summed = rows.groupBy(R.bucket_of("key", 4).alias("b")).agg(F.count("*").alias("n"), F.sum(F.xxhash64("key", "v").cast("decimal(38,0)")).alias("d"))
+    assert got == {r.b: (r.n, r.d) for r in summed.collect()}

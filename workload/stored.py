@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.plans import refresh as R
 from larder.plans.vocabulary import PRICE_COLUMNS
-from larder.runtime import shared_folder
+from larder.runtime import materialize, shared_folder
 from larder.sources import catalog as C
 from workload import inputs as I
 from workload.marts import FOOD_MART_SQL, PRICE_MART_SQL
@@ -60,31 +60,38 @@ def _yesterday(prices: DataFrame, products: DataFrame) -> tuple[DataFrame, DataF
     return before, listed.withColumn("product_quantity", F.when(code == 5, F.lit(10).cast("float")).otherwise(F.col("product_quantity")))
 
 
+def _today(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Prices and products. Refreshes read prices several times, so their rows are put together once and stored."""
+    return materialize(I.prices(spark, folder)), I.products(spark, folder)
+
+
 def _shared_inputs(spark, folder) -> dict[str, DataFrame]:
-    return {
+    """The other tables of a mart; those that are sums over events are stored, as refreshes read them several times."""
+    made = {
         "ciqual_alim": I.ciqual_alim(spark, folder), "ciqual_compo": I.ciqual_compo(spark, folder), "calnut_1": I.calnut_1(spark, folder),
         "agribalyse": I.agribalyse(spark, folder), "colors": I.colors(spark, folder),
     }
+    return made | {name: materialize(made[name]) for name in ("ciqual_compo", "calnut_1")}
 
 
 def price_mart_refresh(spark, folder):
     """The price mart of yesterday's inputs, brought up to date: only buckets of changed products are computed."""
-    today = I.prices(spark, folder), I.products(spark, folder)
+    today = _today(spark, folder)
     store = R.Store(spark, _fresh(spark))
     columns = {old: new for old, new in PRICE_COLUMNS.items() if old in I.PRICE_COLUMNS}
+    others = {"rates": I.rates(spark, folder)} | _shared_inputs(spark, folder)
     for prices, products in (_yesterday(*today), today):
-        others = {"rates": I.rates(spark, folder)} | _shared_inputs(spark, folder)
         mart = R.refresh_price_mart(store, prices, products, I.NUTRIENTS, I.IDS, columns, **others)
     return I.widened(mart.table, "ciqual_code", "ciqual_food_code")
 
 
 def food_mart_refresh(spark, folder):
     """The food mart, likewise: changed offers touch the foods they are of."""
-    today = I.prices(spark, folder), I.products(spark, folder)
+    today = _today(spark, folder)
     offers, foods = R.Store(spark, _fresh(spark)), R.Store(spark, _fresh(spark))
+    others = _shared_inputs(spark, folder)
+    others["calnut_0"] = others["calnut_1"].select("ALIM_CODE").distinct()
     for prices, products in (_yesterday(*today), today):
-        others = _shared_inputs(spark, folder)
-        others["calnut_0"] = others["calnut_1"].select("ALIM_CODE").distinct()
         mart = R.refresh_food_mart(offers, foods, prices, products, I.rates(spark, folder), I.NUTRIENTS, I.IDS, **others)
     return I.widened(mart.table, "ciqual_code", "price_count")
 
