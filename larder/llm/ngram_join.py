@@ -4,15 +4,16 @@
   n-grams, and drop out: stretches of documents send hashes of theirs, each but once, to parts by hash, and get
   back which others have too. What is dropped has too few for certain; hashes that collide only keep a set.
 - The sets left are put in one global order of n-grams, hot ones last. Two similar sets share one of their first few
-  n-grams: each sends those, with its size and their places. What shares n-grams, over any number of steps, is a
-  family: every link lies inside one.
+  n-grams: each sends those, with its size and their places. The place of a set's n-gram bounds the size of what it can
+  be similar to through it. What shares n-grams and fits in size, over any number of steps, is a family: every link
+  lies inside one.
 - A task stores the whole sets of a family in a trie, commonest n-gram first. Each set walks the trie from its
   root: the overlap gathered on a path is shared by all sets below it, and a subtree is left as soon as this
   overlap and what remains, of the walking set and of the longest set below, can't reach the overlap needed.
 - Large families are dealt to blocks of bounded size. Each block also holds the family's HUBS, the sets with
   the smallest share of n-grams of their own, so the blocks of a group of near copies are tied together. What
   still shares n-grams across blocks, and is not connected yet, meets one set of the largest group of each n-gram in
-  turn, and only what no turn connects all the others that it may be similar to.
+  turn, and only what no turn connects all the others that it may be similar to; these at once where they are few.
 
 Links that connect sets are wanted, not all pairs: subtrees whose sets are all connected with the walking set
 are left too. So a group of thousands of near copies takes a walk per set, not all pairs.
@@ -20,6 +21,7 @@ are left too. So a group of thousands of near copies takes a walk per set, not a
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,6 +48,7 @@ BIN_GRAMS = 1 << 21  # n-grams of a task's blocks, about
 HUBS = 8  # sets of a large family that all its blocks hold
 PARTNERS = 256  # sets that one set is compared with in a block of later rounds, about
 STARS = 2  # rounds in which what is not connected meets one set of each n-gram's largest group
+LISTED, FEW = 64, 8  # pairs looked at for each n-gram sent, and pairs left for each set, up to which all meet at once
 
 _letters = np.arange(1, 257, dtype=np.uint16).astype(np.uint8)
 _letters[[9, 10, 11, 12, 13, 32]] = 0
@@ -235,11 +238,11 @@ def flags_of(nodes: DataFrame) -> np.ndarray:
                 flags[np.frombuffer(blob.as_py(), np.uint32)] = True
         yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], ["segment", "flags"])
 
-    out = np.zeros((SEGMENTS, size), bool)
+    out = np.zeros((SEGMENTS, size // 8), np.uint8)
     schema = "segment int, flags binary"
     for row in nodes.mapInArrow(place, schema).groupBy("segment").applyInArrow(join, schema).collect():
-        out[row.segment] = np.unpackbits(np.frombuffer(row.flags, np.uint8)).astype(bool)
-    return np.packbits(out.ravel())
+        out[row.segment] = np.frombuffer(row.flags, np.uint8)
+    return out.ravel()
 
 
 def survey(texts: DataFrame, flags: np.ndarray, words: int) -> DataFrame:
@@ -268,7 +271,10 @@ def survey(texts: DataFrame, flags: np.ndarray, words: int) -> DataFrame:
 
 
 def hot_classes(sets: DataFrame) -> np.ndarray:
-    """A class of each bucket of n-grams, 0 unless more sets have them than chance puts there; 4 * BUCKETS bytes reach the driver."""
+    """A class of each bucket of n-grams, 0 unless more sets have them than chance puts there.
+
+    At most 4 * BUCKETS bytes reach the driver, compressed; it unpacks a segment at a time.
+    """
     size = BUCKETS // SEGMENTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,15 +292,19 @@ def hot_classes(sets: DataFrame) -> np.ndarray:
             segment = batch.column("segment")[0].as_py()
             for blob in batch.column("counts"):
                 total += _unpacked(blob.as_py(), 1)[0]
-        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["segment", "counts"])
+        total = np.minimum(total, 2**32 - 1)
+        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([_packed(total)], pa.binary()), pa.array([int(total.sum())])], ["segment", "counts", "total"])
 
-    out = np.zeros((SEGMENTS, size), np.int64)
-    schema = "segment int, counts binary"
-    for row in sets.select("grams").mapInArrow(count, schema).groupBy("segment").applyInArrow(add, schema).collect():
-        out[row.segment] = np.frombuffer(row.counts, np.uint32)
-    usual = out.mean()
+    counted = sets.select("grams").mapInArrow(count, "segment int, counts binary").groupBy("segment")
+    rows = counted.applyInArrow(add, "segment int, counts binary, total long").collect()
+    usual = sum(row.total for row in rows) / BUCKETS
     limit = usual + 6 * np.sqrt(usual) + 8
-    return np.where(out > limit, np.minimum(1 + 8 * np.log2(np.maximum(out / limit, 1.0)), 255), 0).astype(np.uint8).ravel()
+    classes = np.zeros((SEGMENTS, size), np.uint8)
+    for row in rows:
+        found = _unpacked(row.counts, 1)[0]
+        hot = np.flatnonzero(found > limit)
+        classes[row.segment, hot] = np.minimum(1 + 8 * np.log2(found[hot] / limit), 255).astype(np.uint8)
+    return classes.ravel()
 
 
 def _bucket(grams: np.ndarray) -> np.ndarray:
@@ -444,6 +454,22 @@ def block_links(members: DataFrame, bins: int, similarity: Fraction) -> DataFram
     return dealt.sortWithinPartitions("family", "block").mapInArrow(join, "a long, b long")
 
 
+def _edges(shared: DataFrame, similarity: Fraction) -> DataFrame:
+    """a, b: edges over which all that may be similar hangs together.
+
+    n-gram number i of a set of n lets it be similar, from there on, to a set of at most (n - i) * (p + q) / p - n. Of
+    two similar sets the larger is within that bound of the smaller at the first n-gram they share. So sizes are cut to
+    levels, a set goes to all from its own to that of its bound, and what shares n-gram and level is tied by a star.
+    """
+    p, q = similarity.numerator, similarity.denominator
+    steps = F.lit(2 / max(-math.log(p / q), 1 / 32))  # two levels or so from a set's size to that of the largest similar one
+    most = F.floor((F.col("n").cast("long") - F.col("pos")) * (p + q) / p) - F.col("n")
+    first, last = (F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) * steps) for size in (F.col("n"), most))
+    dealt = shared.select("key", "node", F.explode(F.sequence(first, F.greatest(first, last))).alias("level"))
+    low = dealt.groupBy("key", "level").agg(F.min("node").alias("a"))
+    return dealt.join(low, ["key", "level"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
 def _spread(column: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(column, F.lit(11)), blocks).cast("int")
 
@@ -463,15 +489,16 @@ def _placed(shared: DataFrame, families: DataFrame) -> DataFrame:
 
 
 def _apart(shared: DataFrame, placed: DataFrame, groups: DataFrame) -> DataFrame:
-    """The n-grams of large families that several groups share: key, node, n, pos, own, block, root, and main, the key's largest group.
+    """The n-grams of large families that several groups share: key, family, node, n, pos, own, block, root, and main, the
+    largest group of key and family.
 
     Hubs have met their whole family, and are left out.
     """
-    large = placed.where("blocks > 1 and not hub").select("node", "own", "block")
+    large = placed.where("blocks > 1 and not hub").select("node", "own", "family", "block")
     held = shared.join(large, "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sized = held.groupBy("key", "root").count().groupBy("key")
-    main = sized.agg(F.max(F.struct("count", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", F.col("main.root").alias("main"))
-    return held.join(main, "key")
+    sized = held.groupBy("key", "family", "root").count().groupBy("key", "family")
+    main = sized.agg(F.max(F.struct("count", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    return held.join(main.select("key", "family", F.col("main.root").alias("main")), ["key", "family"])
 
 
 def _may_link(similarity: Fraction) -> Column:
@@ -483,14 +510,15 @@ def _may_link(similarity: Fraction) -> Column:
 
 
 def _side(held: DataFrame, side: str) -> DataFrame:
-    return held.select("key", "main", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "pos", "block", "root")])
+    return held.select("key", "family", "main", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "pos", "block", "root")])
 
 
 def _star(held: DataFrame, turn: int, similarity: Fraction) -> DataFrame:
     """a, b: what is outside a key's largest group, beside one set of that group, another in each turn."""
     inside = held.where("root = main").withColumn("rank", F.col("own") if turn == 0 else F.xxhash64("node", F.lit(turn)))
-    one = inside.groupBy("key").agg(F.min(F.struct("rank", "node", "n", "pos", "block", "root")).alias("one")).select("key", *[F.col(f"one.{c}").alias(f"b_{c}") for c in ("node", "n", "pos", "block", "root")])
-    met = _side(held.where("root <> main"), "a").join(one, "key").where(_may_link(similarity))
+    least = inside.groupBy("key", "family").agg(F.min(F.struct("rank", "node", "n", "pos", "block", "root")).alias("one"))
+    one = least.select("key", "family", *[F.col(f"one.{c}").alias(f"b_{c}") for c in ("node", "n", "pos", "block", "root")])
+    met = _side(held.where("root <> main"), "a").join(one, ["key", "family"]).where(_may_link(similarity))
     return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
@@ -498,7 +526,21 @@ def _all(held: DataFrame, similarity: Fraction) -> DataFrame:
     """a, b: what is outside a key's largest group, beside all other sets of the key."""
     a, b = _side(held.where("root <> main"), "a").drop("main"), _side(held, "b")
     once = (F.col("b_root") == F.col("main")) | (F.col("a_node") < F.col("b_node"))
-    return a.join(b, "key").where(_may_link(similarity) & once).select(F.col("a_node").alias("b"), F.col("b_node").alias("a")).distinct()
+    return a.join(b, ["key", "family"]).where(_may_link(similarity) & once).select(F.col("a_node").alias("b"), F.col("b_node").alias("a")).distinct()
+
+
+def _few(held: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame | None:
+    """All pairs left if they are in proportion to the sets, or nothing."""
+    outside = F.count_if(F.col("root") != F.col("main")).cast("decimal(20,0)")
+    sized = held.groupBy("key", "family").agg(F.count("*").alias("sent"), (F.count("*") * outside).alias("pairs"))
+    sent, most = sized.agg(F.sum("sent"), F.sum("pairs")).first()
+    if most is None or most > LISTED * sent:
+        return None
+    pairs = scratch.table(_all(held, similarity))
+    if pairs.count() <= FEW * held.select("node").distinct().count():
+        return pairs
+    scratch.drop(pairs)
+    return None
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
@@ -516,10 +558,7 @@ def _links(sets: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame
     several = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     shared = scratch.table(posted.join(several, "key", "left_semi"))
     scratch.drop(posted)
-    # A star for each key ties what shares it.
-    low = shared.groupBy("key").agg(F.min("node").alias("a"))
-    edges = shared.join(low, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    placed = scratch.table(_placed(shared, connected(edges)))
+    placed = scratch.table(_placed(shared, connected(_edges(shared, similarity))))
     whole = ordered_sets(sets, classes)
     everywhere = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     members = placed.withColumn("block", F.explode(everywhere)).select("node", "family", "block", F.lit(True).alias("walks"))
@@ -528,14 +567,24 @@ def _links(sets: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame
     if placed.where("blocks > 1").isEmpty():
         return links
     held = scratch.table(whole.join(placed.where("blocks > 1").select("node"), "node", "left_semi"))
-    for turn in range(STARS + 1):
-        apart = scratch.table(_apart(shared, placed, connected(links)))
-        pairs = scratch.table(_star(apart, turn, similarity) if turn < STARS else _all(apart, similarity))
-        scratch.drop(apart)
-        if not pairs.isEmpty():
-            links = links.unionByName(scratch.table(_compared(pairs, held, similarity)))
+    turn, apart = 0, None
+    while True:
+        if apart is None:
+            apart = scratch.table(_apart(shared, placed, connected(links)))
+            if apart.isEmpty():
+                return links
+        rest = _few(apart, similarity, scratch) if turn < STARS else scratch.table(_all(apart, similarity))
+        pairs = scratch.table(_star(apart, turn, similarity)) if rest is None else rest
+        found = scratch.table(_compared(pairs, held, similarity))
         scratch.drop(pairs)
-    return links
+        if rest is not None:
+            return links.unionByName(found)
+        if found.isEmpty():  # nothing has changed, and another star would hardly find more
+            turn = STARS
+        else:
+            links, turn = links.unionByName(found), turn + 1
+            scratch.drop(apart)
+            apart = None
 
 
 def ngram_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:

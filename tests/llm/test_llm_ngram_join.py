@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
@@ -152,3 +153,74 @@ def test_prefixes_are_long_enough():
     for n in range(1, 300):
         least = min(n, -(-85 * n // 100))
         assert prefix_of(n, J) == n - least + 1
+
+
+def test_families_end_where_sizes_do(spark, monkeypatch):
+    """A passage that texts of very different sizes share ties none of them; what could link stays together."""
+    rnd = random.Random(11)
+    passage = [f"p{k}" for k in range(30)]
+    rows, at = [], 0
+    for size in (40, 80, 160, 320):
+        rest = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+        for k in range(4):
+            rows.append((at, " ".join(passage + rest[: size - k]), "", 0))
+            at += 1
+    seen = []
+
+    def spied(shared, families):
+        seen.append(sorted(r[0] for r in families.groupBy("root").count().select("count").collect()))
+        return placed(shared, families)
+
+    placed = ngram_join._placed
+    monkeypatch.setattr(ngram_join, "_placed", spied)
+    assert found(ngram_classes(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+    assert seen == [[4, 4, 4, 4]]
+
+
+def test_every_link_lies_in_a_family():
+    """The level of the larger set's size is one that the smaller set goes to."""
+    for similarity in (J, Fraction(1, 2), Fraction(1)):
+        p, q = similarity.numerator, similarity.denominator
+        steps = 2 / max(-np.log(p / q), 1 / 32)
+        for n in range(1, 120):
+            for pos in range(prefix_of(n, similarity)):
+                most = (n - pos) * (p + q) // p - n
+                for m in range(n, 260):
+                    if (n - pos) >= needed(n, m, similarity):
+                        assert m <= most and int(np.log(n) * steps) <= int(np.log(m) * steps) <= int(np.log(most) * steps)
+
+
+def test_what_is_left_meets_at_once_where_it_is_little(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
+    monkeypatch.setattr(ngram_join, "HUBS", 1)
+    calls = []
+    monkeypatch.setattr(ngram_join, "connected", lambda links, real=ngram_join.connected: calls.append(1) or real(links))
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([f"v{j}" if j < 5 * k and j % 5 == 0 else w for j, w in enumerate(base)]), "", 0) for k in range(40)]
+    assert found(ngram_classes(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+    assert len(calls) == 3  # families, what blocks leave, the result
+
+
+@pytest.mark.parametrize("listed, few", [(0, 8), (64, 0)])
+def test_stars_come_first_where_much_is_left(spark, monkeypatch, listed, few):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    monkeypatch.setattr(ngram_join, "HUBS", 1)
+    monkeypatch.setattr(ngram_join, "LISTED", listed)
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rows = near_copies(9, groups=3)
+    assert found(ngram_classes(spark.createDataFrame(rows, SCHEMA).repartition(5))) == brute(rows)
+
+
+def test_classes_take_little_of_the_driver(spark):
+    draw = np.random.default_rng(7)
+    hot = draw.integers(0, 2**63, 5).astype(np.uint64)
+    sets = [np.unique(np.concatenate([hot[: 1 + k % 5], draw.integers(0, 2**63, 50).astype(np.uint64)])) for k in range(200)]
+    df = spark.createDataFrame([(k, bytearray(g.tobytes())) for k, g in enumerate(sets)], "node long, grams binary")
+    tracemalloc.start()
+    classes = ngram_join.hot_classes(df)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = np.bincount(np.concatenate([ngram_join._bucket(g) for g in sets]).astype(np.int64), minlength=ngram_join.BUCKETS)
+    limit = counts.mean() + 6 * np.sqrt(counts.mean()) + 8
+    assert (classes == np.where(counts > limit, np.minimum(1 + 8 * np.log2(np.maximum(counts / limit, 1)), 255), 0).astype(np.uint8)).all()
+    assert (classes > 0).any() and peak < 24 << 20
