@@ -48,7 +48,7 @@ BIN_GRAMS = 1 << 21  # n-grams of a task's blocks, about
 HUBS = 8  # sets of a large family that all its blocks hold
 PARTNERS = 256  # sets that one set is compared with in a block of later rounds, about
 STARS = 2  # rounds in which what is not connected meets one set of each n-gram's largest group
-LISTED, FEW = 64, 8  # pairs looked at for each n-gram sent, and pairs left for each set, up to which all meet at once
+LOOKED, FEW = 512, 8  # pairs looked at for each n-gram sent, and pairs left for each set, up to which all meet at once
 
 _letters = np.arange(1, 257, dtype=np.uint16).astype(np.uint8)
 _letters[[9, 10, 11, 12, 13, 32]] = 0
@@ -523,24 +523,21 @@ def _star(held: DataFrame, turn: int, similarity: Fraction) -> DataFrame:
 
 
 def _all(held: DataFrame, similarity: Fraction) -> DataFrame:
-    """a, b: what is outside a key's largest group, beside all other sets of the key."""
+    """a, b: what is outside a key's largest group, beside all other sets of the key; a pair for each key that it shares."""
     a, b = _side(held.where("root <> main"), "a").drop("main"), _side(held, "b")
     once = (F.col("b_root") == F.col("main")) | (F.col("a_node") < F.col("b_node"))
-    return a.join(b, ["key", "family"]).where(_may_link(similarity) & once).select(F.col("a_node").alias("b"), F.col("b_node").alias("a")).distinct()
+    return a.join(b, ["key", "family"]).where(_may_link(similarity) & once).select(F.col("a_node").alias("b"), F.col("b_node").alias("a"))
 
 
-def _few(held: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame | None:
-    """All pairs left if they are in proportion to the sets, or nothing."""
+def _few(held: DataFrame, similarity: Fraction) -> bool:
+    """Whether all pairs left are in proportion to the sets. They are counted, not written."""
     outside = F.count_if(F.col("root") != F.col("main")).cast("decimal(20,0)")
     sized = held.groupBy("key", "family").agg(F.count("*").alias("sent"), (F.count("*") * outside).alias("pairs"))
     sent, most = sized.agg(F.sum("sent"), F.sum("pairs")).first()
-    if most is None or most > LISTED * sent:
-        return None
-    pairs = scratch.table(_all(held, similarity))
-    if pairs.count() <= FEW * held.select("node").distinct().count():
-        return pairs
-    scratch.drop(pairs)
-    return None
+    if most > LOOKED * sent:
+        return False
+    pairs = _all(held, similarity).agg(F.approx_count_distinct(F.xxhash64("a", "b"))).first()[0]
+    return pairs <= FEW * held.agg(F.approx_count_distinct("node")).first()[0]
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
@@ -573,11 +570,11 @@ def _links(sets: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame
             apart = scratch.table(_apart(shared, placed, connected(links)))
             if apart.isEmpty():
                 return links
-        rest = _few(apart, similarity, scratch) if turn < STARS else scratch.table(_all(apart, similarity))
-        pairs = scratch.table(_star(apart, turn, similarity)) if rest is None else rest
+        last = turn >= STARS or _few(apart, similarity)
+        pairs = scratch.table(_all(apart, similarity).distinct() if last else _star(apart, turn, similarity))
         found = scratch.table(_compared(pairs, held, similarity))
         scratch.drop(pairs)
-        if rest is not None:
+        if last:
             return links.unionByName(found)
         if found.isEmpty():  # nothing has changed, and another star would hardly find more
             turn = STARS

@@ -201,11 +201,11 @@ def test_what_is_left_meets_at_once_where_it_is_little(spark, monkeypatch):
     assert len(calls) == 3  # families, what blocks leave, the result
 
 
-@pytest.mark.parametrize("listed, few", [(0, 8), (64, 0)])
-def test_stars_come_first_where_much_is_left(spark, monkeypatch, listed, few):
+@pytest.mark.parametrize("looked, few", [(0, 8), (512, 0)])
+def test_stars_come_first_where_much_is_left(spark, monkeypatch, looked, few):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
     monkeypatch.setattr(ngram_join, "HUBS", 1)
-    monkeypatch.setattr(ngram_join, "LISTED", listed)
+    monkeypatch.setattr(ngram_join, "LOOKED", looked)
     monkeypatch.setattr(ngram_join, "FEW", few)
     rows = near_copies(9, groups=3)
     assert found(ngram_classes(spark.createDataFrame(rows, SCHEMA).repartition(5))) == brute(rows)
