@@ -5,6 +5,9 @@ letter changes one of its bits, a replaced one two, so near words are at a Hammi
 The bits are dealt to PARTS parts by hash. Two bits touch at most two parts, so near words agree exactly in
 all the others: a word signs each choice of PARTS - 2 parts with what it has there, words that share a
 signature are joined on it, and the edit itself is verified on the words.
+
+Every join has the vocabulary on both sides, and deals them by key. Left to Spark's estimate a side could be broadcast
+through the driver: it sizes signatures as the words they are made of, and words as their compressed files.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ DISTANCE = 2  # bits that one edit changes, at most
 PARTS = 8  # 28 signatures a word, each over six eighths of the bits
 SLIPS = 97  # of so many hashes one slips
 LEAST_LENGTH, LEAST_COUNT, RATIO = 5, 3, 2
+DEALT = "merge"  # the hint that keeps a join from broadcasting, whatever the estimate
 
 
 def slipped(run: Column, doc_id: Column, every: int = SLIPS) -> Column:
@@ -72,7 +76,7 @@ def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
     """
     signed = signatures(words.select("word"), parts)
     a, b = signed.alias("a"), signed.alias("b")
-    met = a.join(b, F.col("a.signature") == F.col("b.signature")).where("a.word < b.word")
+    met = a.join(b.hint(DEALT), F.col("a.signature") == F.col("b.signature")).where("a.word < b.word")
     pairs = met.select(F.col("a.word").alias("a"), F.col("b.word").alias("b")).where(F.levenshtein("a", "b", 1) == 1).distinct()
     return pairs.select(F.col("a").alias("word"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other")))
 
@@ -80,8 +84,8 @@ def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
 def forms(counted: DataFrame, near: DataFrame, ratio: int = RATIO) -> DataFrame:
     """word, n, n_near, form and form_n: the commonest near word (ties: the first in code-point order), if common enough."""
     others = counted.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
-    best = near.join(others, "other").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
-    found = counted.join(best, "word", "left")
+    best = near.join(others.hint(DEALT), "other").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
+    found = counted.join(best.hint(DEALT), "word", "left")
     enough = -F.col("best.less") >= ratio * F.col("n")
     return found.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.other")).alias("form"), F.when(enough, -F.col("best.less")).alias("form_n")
@@ -96,7 +100,7 @@ def roots(formed: DataFrame, scratch: Scratch) -> DataFrame:
     steps = formed.select("word", F.coalesce("form", "word").alias("root"))
     while True:
         onward = steps.select(F.col("word").alias("root"), F.col("root").alias("further")).where("root <> further")
-        after = scratch.table(steps.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        after = scratch.table(steps.join(onward.hint(DEALT), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         moved = not after.where("moved").isEmpty()
         steps = after.drop("moved")
         if not moved:
@@ -122,7 +126,7 @@ def spelling_variants(
     counted = scratch.table(vocabulary(docs, doc_id, text, every, length, count))
     formed = scratch.table(forms(counted, near_words(counted, parts), ratio))
     rooted = roots(formed, scratch)
-    result = scratch.table(formed.join(rooted, "word"))
+    result = scratch.table(formed.join(rooted.hint(DEALT), "word"))
     scratch.close(result)
     return result
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.llm.spelling import near_words, signatures, spelling_variants
+from larder.runtime import Scratch
 
 SCHEMA = "doc_id long, text string, word string, n long"
 
@@ -111,3 +112,19 @@ def test_empty_tables(spark):
     assert spelling_variants(none).collect() == []
     assert spelling_variants(spark.createDataFrame([(1, "one two three", "", 0)], SCHEMA)).columns == spelling_variants(none).columns
     assert near_words(none.select(F.col("word"))).collect() == []
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Signatures are 28 times the words that Spark sizes them by: no join may go by its estimate, nor by what it finds while it runs."""
+    ran, table = [], Scratch.table
+
+    def noted(self, df):
+        df.collect()
+        ran.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df)
+
+    monkeypatch.setattr(Scratch, "table", noted)
+    rows = [(1, "spell spell spell spelll spelll spelll spelll spelll spelll others others others", "", 0)]
+    assert found(spelling_variants(spark.createDataFrame(rows, SCHEMA), every=1 << 40)) == brute(rows, 1 << 40)
+    assert [plan for plan in ran if "Broadcast" in plan] == []
+    assert sum("SortMergeJoin" in plan for plan in ran) >= 3
